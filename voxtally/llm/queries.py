@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, quantile, repetition, topn
+from . import bpe, leak, pii, quantile, repetition, topn
 
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -28,8 +28,21 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_documents(table(spark, base, "documents"))
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return leak.leaked(table(spark, base, "documents"), table(spark, base, "eval_items"), table(spark, base, "name_list"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.mentions(table(spark, base, "documents"), table(spark, base, "name_list"))
+
+
+def p9_masked(spark: SparkSession, base: str) -> DataFrame:
+    return pii.masked(table(spark, base, "documents"), table(spark, base, "name_list"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p6_found": p6_found, "p7_ids": p7_ids,
+    "p8_found": p8_found, "p9_found": p9_found, "p9_masked": p9_masked,
 }
 
 SQL: dict[str, str] = {
