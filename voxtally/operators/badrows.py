@@ -68,16 +68,19 @@ def structural(df: DataFrame, id_col: str, raw_col: str, names: list[str]) -> Da
 
 
 def invalid_dictionary(cells: DataFrame, checks: list[Check]) -> DataFrame:
-    """field, digest, place of the first reason: one row per distinct value that cannot be read."""
-    values = cells.select("field", "value").distinct()
-    parts = []
-    for place, c in enumerate(checks):
-        bad = values.where(F.col("field").isin(*c.fields)).where(~F.coalesce(c.valid(F.col("value"), F.col("field")), F.lit(False)))
-        parts.append(bad.select("field", F.sha2("value", 256).alias("digest"), F.lit(place).alias("place")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """field, digest, place of the reason: one row per distinct value that cannot be read.
+
+    The condition refers to the count of the value, else the optimizer would move the casts below the aggregation
+    and so back to every record.
+    """
+    values = cells.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(checks))):
+        mine = F.col("field").isin(*c.fields)
+        ok = F.coalesce(c.valid(F.when(mine, F.col("value")), F.col("field")), F.lit(False))
+        place = F.when(mine & ~ok, F.lit(i)).otherwise(place)
+    place = F.when(F.col("n") > 0, place)
+    return values.withColumn("place", place).where("place is not null").select("field", F.sha2("value", 256).alias("digest"), "place")
 
 
 def split_valid(df: DataFrame, id_col: str, raw_col: str, names: list[str], checks: list[Check], salt: int = 8) -> tuple[DataFrame, DataFrame]:

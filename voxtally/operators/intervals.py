@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 CLOCK = r"\A([0-9]+):([0-9]{1,2}):([0-9]{1,2})(?:\.([0-9]{1,3}))?\z"
 
 
@@ -54,6 +56,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start_ms", en
     for c in same[1:]:
         on = on & c
     part = part.alias("p").join(reach.alias("r"), on).select("p.*", "r.carry")
+    # a few rows per entity and block by now; written once, as several steps below read them
+    part = cut(part)
     # spans that begin within the reach of earlier blocks continue a period of theirs
     part = part.withColumn("new", F.coalesce(F.col("s") > F.col("carry"), F.lit(True)))
     fresh = part.where("new")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reports
 
-FLAGSHIP = "p4_found"
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+FLAGSHIP = "wer_by_model"
+QUERIES = {**problems.QUERIES, **reports.QUERIES}
+SQL = {**problems.SQL, **reports.SQL}
