@@ -168,25 +168,24 @@ def _stream_cost(pairs: list[tuple[str, str]], r: dict, h: dict, sub_cost: int)
 
 
 def di_cp_wer(ref: list[Segment], hyp: list[Segment]) -> float:
-    """Diarisation-invariant rate: from the best permutation, single hypothesis segments move to another speaker while
-    the total falls, first with substitutions at 1, then at 2. The denominator counts reference segments."""
-    r, h = by_speaker(ref), {k: list(v) for k, v in by_speaker(hyp).items()}
-    pairs = _cp(ref, hyp)[1]
+    """Diarisation-invariant rate: from the best permutation, single hypothesis segments change their speaker, keeping
+    their place in time, while the total falls, first with substitutions at 1, then at 2. The denominator counts
+    reference segments, and so does the cost of a stream without a partner."""
+    r, pairs = by_speaker(ref), _cp(ref, hyp)[1]
+    who, texts = [s for s, _ in hyp], [t for _, t in hyp]
+    speakers = list(dict.fromkeys(who))
+    total = lambda labels, sub_cost: _stream_cost(pairs, r, by_speaker(list(zip(labels, texts))), sub_cost)
     for sub_cost in (1, 2):
-        best, moved = _stream_cost(pairs, r, h, sub_cost), True
+        best, moved = total(who, sub_cost), True
         while moved:
             moved = False
-            for source in list(h):
-                for k in range(len(h[source])):
-                    for target in list(h):
-                        if target == source or k >= len(h[source]):
-                            continue
-                        trial = {s: list(v) for s, v in h.items()}
-                        trial[target].append(trial[source].pop(k))
-                        cost = _stream_cost(pairs, r, trial, sub_cost)
-                        if cost < best:
-                            best, h, moved = cost, trial, True
-    return _stream_cost(pairs, r, h, 1) / sum(len(v) for v in r.values())
+            for i, s in product(range(len(who)), speakers):
+                if s != who[i]:
+                    trial = [*who[:i], s, *who[i + 1 :]]
+                    cost = total(trial, sub_cost)
+                    if cost < best:
+                        best, who, moved = cost, trial, True
+    return total(who, 1) / sum(len(v) for v in r.values())
 
 
 def orc_wer(ref: list[str], hyp: list[str], words=str.split) -> float:

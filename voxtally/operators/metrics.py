@@ -103,7 +103,8 @@ def evaluate(refs: DataFrame, hyps: DataFrame, models: DataFrame, metrics: list[
                     except (ArithmeticError, ValueError, KeyError) as e:
                         one = {"failure": f"{type(e).__name__}: {e}"}
                 out.append(one)
-            yield pd.DataFrame(out, columns=[*(m for m in METRICS if m != "wer"), "failure"], index=range(len(out)))
+            frame = pd.DataFrame(out, columns=[*(m for m in METRICS if m != "wer"), "failure"], index=range(len(out)))
+            yield frame.astype({m: "float64" for m in METRICS if m != "wer"} | {"failure": object})
 
     live = F.col("missing").isNull() & ~F.col("empty")
     if python:
@@ -146,3 +147,74 @@ def alignment(ref: Column, hyp: Column, variant: int = 1) -> Column:
             yield pd.DataFrame(out, columns=["rate", "distance", "steps"])
 
     return run(ref, hyp)
+
+
+HYPOTHESES = "record_id long, clip_id string, model_name string, segments array<struct<speaker: string, text: string>>"
+
+
+def hypotheses(transcription: DataFrame) -> DataFrame:
+    """clip_id, model_name, segments of the payloads; of a clip delivered several times the latest record counts per
+    model, of equal times the larger record_id. Records without a clip are left out."""
+    import json
+
+    from .nested import segment_text, segments_of
+
+    def speaker(x: object) -> str | None:
+        x = x.get("speaker") if isinstance(x, dict) else x[0] if isinstance(x, list) and x else None
+        return None if x is None else str(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rid, cid, payload, at in b.itertuples(index=False):
+                try:
+                    models = list(json.loads(payload)["transcript"].items())
+                except (TypeError, ValueError, KeyError, AttributeError, RecursionError):
+                    continue
+                out += [(rid, cid, m, [{"speaker": speaker(x), "text": segment_text(x)} for _, x in segments_of(v)], at) for m, v in models]
+            yield pd.DataFrame(out, columns=["record_id", "clip_id", "model_name", "segments", "received_at"]).astype({"record_id": "int64", "received_at": "datetime64[us]"})
+
+    src = transcription.select("record_id", "clip_id", "payload", "received_at").where("clip_id is not null and payload is not null and record_id is not null")
+    rows = src.mapInPandas(run, HYPOTHESES + ", received_at timestamp")
+    return rows.groupBy("clip_id", "model_name").agg(F.max_by("segments", F.struct("received_at", "record_id")).alias("segments"))
+
+
+def real_scores(refs: DataFrame, hyps: DataFrame) -> DataFrame:
+    """clip_id, model_name, wer, orc_wer, counts and is_segmented over raw words; the combination rate only where the
+    hypothesis has several segments. Segments without text are left out, pairs without reference words too."""
+    clean = lambda c: F.filter(c, lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
+    rows = refs.select("clip_id", clean("segments").alias("ref")).join(hyps.select("clip_id", "model_name", clean("segments").alias("hyp")), "clip_id")
+    raw = lambda c: F.filter(F.flatten(F.transform(c, lambda s: F.split(s["text"], r"\s+"))), lambda w: w != "")
+    rows = rows.withColumn("rw", raw("ref")).withColumn("hw", raw("hyp")).where(F.size("rw") > 0)
+
+    @F.pandas_udf("double")
+    def orc(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ref, hyp in pairs:
+            out = []
+            for r, h in zip(ref, hyp):
+                if h is None:
+                    out.append(None)
+                    continue
+                join = lambda segs: [" ".join(v) for v in kernels.by_speaker([(str(s["speaker"]), s["text"]) for s in segs]).values()]
+                out.append(kernels.orc_wer(join(r), join(h)))
+            yield pd.Series(out, dtype="float64")
+
+    several = F.size("hyp") > 1
+    pair = lambda c: F.when(several, F.transform(c, lambda s: F.struct(s["speaker"].alias("speaker"), s["text"].alias("text"))))
+    return rows.select(
+        "clip_id", "model_name", text.error_rate(F.col("rw"), F.col("hw")).alias("wer"), orc(pair(F.col("ref")), pair(F.col("hyp"))).alias("orc_wer"),
+        F.size("hyp").alias("hyp_segment_count"), F.size("ref").alias("ref_segment_count"), several.alias("is_segmented_hypothesis"),
+    )
+
+
+def timing_rollup(timings: DataFrame) -> DataFrame:
+    """Per model: runs, samples, seconds, seconds per sample and mean real-time factor."""
+    return timings.groupBy("model").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("sample_count").alias("samples"), F.sum("processing_sec").alias("seconds"),
+        F.try_divide(F.sum("processing_sec"), F.sum("sample_count")).alias("sec_per_sample"), F.avg("rtfx").alias("mean_rtfx"),
+    )
+
+
+def accuracy_and_speed(scores: DataFrame, timings: DataFrame, value: str = "wer") -> DataFrame:
+    """Mean score beside the timing of each model that has both."""
+    return scores.where(F.col(value).isNotNull()).groupBy("model").agg(F.avg(value).alias("mean_score")).join(timing_rollup(timings), "model")

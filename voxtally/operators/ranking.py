@@ -29,16 +29,16 @@ def exceedance(df: DataFrame, keys: list[str], value: str, low: float = 0.0, hig
     multiplied by the thresholds.
     """
     width = (high - low) / (steps - 1)
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    at = F.least(F.greatest(F.ceil((F.col("v") - low) / width), F.lit(0)), F.lit(steps)).cast("int")
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    at = F.least(F.greatest(F.ceil((F.col("__v") - low) / width), F.lit(0)), F.lit(steps)).cast("int")
     # step k counts as exceeded by bin b if b > k; the bin is moved where rounding put a value on the wrong side
     edge = lambda k: F.lit(low) + k * F.lit(width)
-    at = F.when((at > 0) & (F.col("v") <= edge(at - 1)), at - 1).when((at < steps) & (F.col("v") > edge(at)), at + 1).otherwise(at)
-    bins = v.withColumn("bin", at).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = bins.groupBy(*keys).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")
-    above = F.aggregate(F.map_entries("m"), F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["key"] > F.col("k"), e["value"]).otherwise(0))
-    return grid.select(*keys, "total", "m", k).select(*keys, "total", edge(F.col("k")).alias("threshold"), (above / F.col("total")).alias("share"))
+    at = F.when((at > 0) & (F.col("__v") <= edge(at - 1)), at - 1).when((at < steps) & (F.col("__v") > edge(at)), at + 1).otherwise(at)
+    bins = v.withColumn("__bin", at).groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    grid = bins.groupBy(*keys).agg(F.sum("__n").alias("total"), F.collect_list(F.struct(F.col("__bin").alias("bin"), F.col("__n").alias("n"))).alias("__m"))
+    above = F.aggregate("__m", F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["bin"] > F.col("__k"), e["n"]).otherwise(0))
+    grid = grid.select(*keys, "total", "__m", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("__k"))
+    return grid.select(*keys, edge(F.col("__k")).alias("threshold"), "total", (above / F.col("total")).alias("share"))
 
 
 def holm(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> DataFrame:

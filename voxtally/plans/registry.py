@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems, reports
+from . import problems, reports, scoring
 
 FLAGSHIP = "wer_by_model"
-QUERIES = {**problems.QUERIES, **reports.QUERIES}
+QUERIES = {**problems.QUERIES, **reports.QUERIES, **scoring.QUERIES}
 SQL = {**problems.SQL, **reports.SQL}
