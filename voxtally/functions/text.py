@@ -47,14 +47,21 @@ def squeeze(text: Column) -> Column:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two word arrays; null if they have more than MAX_WORDS distinct words."""
-    voc = F.array_distinct(F.concat(ref, hyp))
+    """Levenshtein distance of two word arrays; null if they have more than MAX_WORDS distinct words.
 
-    def code(words: Column) -> Column:
+    The pair and its vocabulary go through a one-element array, as an expression inside a lambda is evaluated anew for
+    every word.
+    """
+    pair = F.struct(F.array_distinct(F.concat(ref, hyp)).alias("voc"), ref.alias("r"), hyp.alias("h"))
+
+    def code(words: Column, voc: Column) -> Column:
         one = lambda w: F.decode(F.unhex(F.hex(F.array_position(voc, w) + F.lit(0x4E00 - 1))), "UTF-16BE")
         return F.array_join(F.transform(words, one), "")
 
-    return F.when(F.size(voc) <= MAX_WORDS, F.levenshtein(code(ref), code(hyp)))
+    def distance(p: Column) -> Column:
+        return F.when(F.size(p["voc"]) <= MAX_WORDS, F.levenshtein(code(p["r"], p["voc"]), code(p["h"], p["voc"])))
+
+    return F.get(F.transform(F.array(pair), distance), F.lit(0))
 
 
 def error_rate(ref: Column, hyp: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, text
 from ..operators import frames, ranking, segment, stats, summary
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,7 +155,7 @@ x AS (
 
 
 def pair_errors(spark, base) -> DataFrame:
-    w = table(spark, base, "worst_wer_examples").where("reference is not null")
+    w = spread(table(spark, base, "worst_wer_examples").where("reference is not null"), "example_id")
     w = w.select("example_id", "model", text.n1(F.col("reference")).alias("r"), text.n1(F.col("hypothesis")).alias("h")).where(F.size("r") > 0)
     return w.select("example_id", "model", F.size("r").alias("n_ref"), F.size("h").alias("n_hyp"), text.word_distance(F.col("r"), F.col("h")).cast("long").alias("dist"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, text
 from ..operators import metrics
-from ..session import table
+from ..session import spread, table
 from ..sources import readers
 from .reports import rounded
 
@@ -58,7 +58,7 @@ def align_ops(spark: SparkSession, base: str) -> DataFrame:
     """Counts of alignment steps per model over the listed examples."""
     w = table(spark, base, "worst_wer_examples").where("reference is not null")
     a = metrics.alignment(text.n1(F.col("reference")), text.n1(F.col("hypothesis")))
-    steps = w.repartition("example_id").select("model", F.explode(a["steps"]).alias("s"))
+    steps = spread(w, "example_id").select("model", F.explode(a["steps"]).alias("s"))
     return steps.groupBy("model", F.col("s.op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -46,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it from there, so that a lost executor costs no recomputation."""
     ensure_shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs far more than a shuffle. An input of
+    enough files or splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
