@@ -7,7 +7,7 @@ suffix matches, a pair test settles u and t, and back-pointers give the ids. The
 number of matches, whatever the text looks like; no merge loop is run.
 
 Texts are cut into pieces by the vocabulary's own pattern first; a piece's ids are kept per worker in a table of
-bounded size, which changes the speed only. No shuffle takes place. The vocabulary (a fixed 50 256 entries) is read on
+bounded size, which changes the speed only. No shuffle takes place, unless the input has fewer splits than cores. The vocabulary (a fixed 50 256 entries) is read on
 the driver and broadcast.
 
 Defined results: null and empty texts give an empty list; a special token's spelling is ordinary text.
@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that cuts texts into pieces for this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,4 +166,5 @@ def encode_column(spark: SparkSession, text: Column, path: str = VOCABULARY) ->
 
 def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids."""
+    documents = spread(documents.select("doc_id", "text"), "doc_id")
     return documents.select("doc_id", encode_column(documents.sparkSession, F.col("text"), path).alias("ids"))

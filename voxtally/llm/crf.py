@@ -92,31 +92,32 @@ class Crf:
         ids = [i for i in map(self.index.get, feats) if i is not None]
         return self.weight[ids].sum(axis=0) if ids else np.zeros(len(self.labels))
 
-    def viterbi(self, emits: list[np.ndarray], size: int = 128) -> list[np.ndarray]:
-        """The best label sequences; sequences of like length share a batch."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(emits)
+    def viterbi(self, emits: list[np.ndarray], size: int = 256) -> list[np.ndarray]:
+        """The best label sequences; sequences of like length share a batch, a step works on all of it."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(emits)
         order = sorted((i for i in range(len(emits)) if len(emits[i])), key=lambda i: len(emits[i]))
+        into, first = np.ascontiguousarray(self.trans.T.astype(np.float32)), self.first.astype(np.float32)
         for at in range(0, len(order), size):
             part = order[at : at + size]
             lens = np.array([len(emits[i]) for i in part])
             b, t, k = len(part), int(lens.max()), len(self.labels)
-            emit = np.zeros((b, t, k), dtype=np.float32)
+            emit = np.zeros((t, b, k), dtype=np.float32)
             for r, i in enumerate(part):
-                emit[r, : lens[r]] = emits[i]
-            back = np.zeros((b, t, k), dtype=np.int8)
-            now = emit[:, 0] + self.first
-            last = now.copy()
+                emit[: lens[r], r] = emits[i]
+            back = np.zeros((t, b, k), dtype=np.int8)
+            now = emit[0] + first
             for i in range(1, t):
-                x = now[:, :, None] + self.trans[None]
-                back[:, i] = x.argmax(axis=1)
-                now = x.max(axis=1) + emit[:, i]
-                ends = lens > i
-                last[ends] = now[ends]
-            lab = last.argmax(axis=1)
+                live = slice(int(np.searchsorted(lens, i, "right")), b)  # sorted by length: the longer ones are last
+                x = now[live, None, :] + into
+                back[i, live] = best = x.argmax(axis=2)
+                now[live] = np.take_along_axis(x, best[:, :, None], 2)[:, :, 0] + emit[i, live]
+            lab = now.argmax(axis=1).astype(np.int8)
+            y = np.zeros((t, b), dtype=np.int8)
+            rows = np.arange(b)
+            for i in range(t - 1, -1, -1):
+                y[i] = lab
+                live = lens > i
+                lab = np.where(live, back[i, rows, lab], lab) if i else lab
             for r, i in enumerate(part):
-                y = np.zeros(lens[r], dtype=int)
-                y[-1] = c = lab[r]
-                for j in range(lens[r] - 1, 0, -1):
-                    y[j - 1] = c = back[r, j, c]
-                out[i] = y
+                out[i] = y[: lens[r], r]
         return out

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import pii_table
 from .crf import Crf
 
@@ -29,6 +30,7 @@ LABELS = ["O"] + [f"{b}{k}" for k in SLOTS for b in "BI"]
 NAMES_BOUND = 100_000
 
 _TOKEN = regex.compile(r"\p{Latin}+(?:['’]\p{Latin}+)*|\p{Nd}+|[\p{L}\p{M}]+|[^\s\p{Z}]")
+_LINE = regex.compile(r"\n")
 _HIDDEN = regex.compile(r"[\p{Cf}]")
 
 #: Words of the classes that the features name.
@@ -124,13 +126,16 @@ def word_features(t: str, cls: str) -> tuple[list[str], list[str], list[str]]:
 
 
 RUN_PARTS = frozenset("+()-./")
+NUMERIC = frozenset([f"d{k}" for k in range(1, 12)] + ["nw", "plus"])
 
 
 def runs(tokens: list[str], cls: list[str], gap: list[int]) -> list[list[str]]:
     """For tokens in a run of digits or number words: features of the run as a whole."""
+    numeric = [c in NUMERIC for c in cls]
     out: list[list[str]] = [[] for _ in tokens]
+    if True not in numeric:
+        return out
     n, i = len(tokens), 0
-    numeric = [c[0] == "d" and c[1:].isdigit() or c in ("nw", "plus") for c in cls]
     while i < n:
         if not numeric[i]:
             i += 1
@@ -178,97 +183,132 @@ def runs(tokens: list[str], cls: list[str], gap: list[int]) -> list[list[str]]:
 
 def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
     """Tokens, their places and what stands before each (0 nothing, 1 blank, 2 line break)."""
-    tokens, at, gap, last = [], [], [], 0
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        tokens.append(m.group())
-        at.append(a)
-        gap.append(2 if "\n" in text[last:a] else 1 if a > last else 0)
-        last = b
-    return tokens, at, gap
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    tokens = [text[a:b] for a, b in spans]
+    if not spans:
+        return [], [], []
+    edge = np.array(spans)
+    before = np.append(0, edge[:-1, 1])
+    lines = np.array([m.start() for m in _LINE.finditer(text)], dtype=np.int64)
+    broken = np.searchsorted(lines, edge[:, 0]) > np.searchsorted(lines, before)
+    gap = np.where(broken, 2, (edge[:, 0] > before).astype(np.int64))
+    return tokens, edge[:, 0].tolist(), gap.tolist()
+
+
+def _joint(p: str, c: str, q: str, r: str, g: int, h: int) -> list[str]:
+    return [f"pc={p}|{c}", f"cq={c}|{q}", f"pcq={p}|{c}|{q}", f"cqr={c}|{q}|{r}", f"g={g}{h}|{c}", f"gq={h}|{c}|{q}", f"gp={g}|{p}|{c}"]
 
 
 def joint_features(i: int, cls: list[str], gap: list[int]) -> list[str]:
+    """Features of a token's class with those before and behind it and the space around it."""
     n = len(cls)
-    p, c, q = cls[i - 1] if i else "^", cls[i], cls[i + 1] if i + 1 < n else "$"
-    r = cls[i + 2] if i + 2 < n else "$"
-    g, h = gap[i], gap[i + 1] if i + 1 < n else 2
-    return [f"pc={p}|{c}", f"cq={c}|{q}", f"pcq={p}|{c}|{q}", f"cqr={c}|{q}|{r}", f"g={g}{h}|{c}", f"gq={h}|{c}|{q}", f"gp={g}|{p}|{c}"]
+    at = lambda k: cls[k] if k < n else "$"
+    return _joint(cls[i - 1] if i else "^", cls[i], at(i + 1), at(i + 2), gap[i], gap[i + 1] if i + 1 < n else 2)
 
 
 class Tagger:
+    """Decodes texts in batches. What a token contributes to itself and its neighbours is worked out once per distinct
+    token, what a row of four classes contributes once per distinct row; the rest is gathering and adding in numpy."""
+
+    TOKENS, JOINTS = 200_000, 200_000
+
     def __init__(self, crf: Crf, lists: Lists) -> None:
         self.crf, self.lists = crf, lists
-        self.words: dict[str, tuple] = {}
-        self.joint: dict[tuple, np.ndarray] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        k = len(LABELS)
+        self.row: dict[str, int] = {}
+        self.classes: dict[str, int] = {"$": 0, "^": 1}
+        self.names = ["$", "^"]
+        self.class_row = np.zeros(1024, dtype=np.int64)
+        self.gain = np.zeros((1024, 5, k), dtype=np.float32)  # row 0 is the space between texts
+        self.used = 1
+        self.joint: dict[int, np.ndarray] = {}
         self.run: dict[str, np.ndarray] = {}
 
-    def _word(self, t: str) -> tuple:
-        got = self.words.get(t)
-        if got is None:
-            if len(self.words) > 100_000:
-                self.words.clear()
-            cls = class_of(t, self.lists)
-            own, near, far = word_features(t, cls)
-            s = self.crf.score
-            got = self.words[t] = (cls, s(own), s([f"-1{f}" for f in near]), s([f"+1{f}" for f in near]), s([f"-2{f}" for f in far]), s([f"+2{f}" for f in far]))
-        return got
-
-    def emissions(self, tokens: list[str], gap: list[int]) -> np.ndarray:
-        n = len(tokens)
-        got = [self._word(t) for t in tokens]
-        cls = [g[0] for g in got]
-        e = np.array([g[1] for g in got])
-        for d, k in ((1, 2), (-1, 3), (2, 4), (-2, 5)):
-            v = np.array([g[k] for g in got])
-            if n > abs(d):
-                if d > 0:
-                    e[d:] += v[:-d]
-                else:
-                    e[:d] += v[-d:]
-        pad, gaps = ["^", *cls, "$", "$"], [*gap, 2]
-        joint = self.joint
-        if len(joint) > 200_000:
-            joint.clear()
-        for i in range(n):
-            key = (pad[i], pad[i + 1], pad[i + 2], pad[i + 3], gaps[i], gaps[i + 1])
-            v = joint.get(key)
-            if v is None:
-                v = joint[key] = self.crf.score(joint_features(i, cls, gap))
-            e[i] += v
-        for i, feats in enumerate(runs(tokens, cls, gap)):
-            if feats:
-                if len(self.run) > 100_000:
-                    self.run.clear()
+    def _add(self, t: str) -> int:
+        if self.used == len(self.gain):
+            self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
+            self.class_row = np.concatenate([self.class_row, np.zeros_like(self.class_row)])
+        cls = class_of(t, self.lists)
+        if cls not in self.classes:
+            self.classes[cls] = len(self.names)
+            self.names.append(cls)
+        own, near, far = word_features(t, cls)
+        sets = [own, *([d + f for f in near] for d in ("-1", "+1")), *([d + f for f in far] for d in ("-2", "+2"))]
+        r = self.row[t] = self.used
+        self.gain[r] = [self.crf.score(f) for f in sets]
+        self.class_row[r] = self.classes[cls]
+        self.used += 1
+        return r
+
+    def _joint(self, key: int) -> np.ndarray:
+        v = self.joint.get(key)
+        if v is None:
+            h, g = key % 3, key // 3 % 3
+            r, q, c, p = ((key // 9) >> (12 * i) & 4095 for i in range(4))
+            n = self.names
+            v = self.joint[key] = self.crf.score(_joint(n[p], n[c], n[q], n[r], g, h)).astype(np.float32)
+        return v
+
+    def emissions(self, docs: list[tuple[list[str], list[int]]]) -> list[np.ndarray]:
+        """The label scores of the tokens of each text (tokens, gaps)."""
+        if self.used > self.TOKENS or len(self.names) > 4000 or len(self.joint) > self.JOINTS:
+            self._reset()
+        get, ids, gaps, at = self.row.get, [0, 0], [2, 2], []
+        for tokens, gap in docs:
+            at.append(len(ids))
+            ids += [get(t) or self._add(t) for t in tokens]
+            gaps += gap
+            ids += (0, 0)
+            gaps += (2, 2)
+        i, g = np.array(ids), np.array(gaps, dtype=np.int64)
+        c = self.class_row[i]
+        left = c.copy()
+        left[np.array(at) - 1] = 1
+        e = self.gain[i, 0]
+        e[1:] += self.gain[i[:-1], 1]
+        e[:-1] += self.gain[i[1:], 2]
+        e[2:] += self.gain[i[:-2], 3]
+        e[:-2] += self.gain[i[2:], 4]
+        inner = slice(1, len(i) - 2)
+        key = (((left[:-3] << 36) + (c[1:-2] << 24) + (c[2:-1] << 12) + c[3:]) * 9) + g[1:-2] * 3 + g[2:-1]
+        kinds, back = np.unique(key, return_inverse=True)
+        e[inner] += np.array([self._joint(int(x)) for x in kinds])[back]
+        out = []
+        for a, (tokens, gap) in zip(at, docs):
+            part = e[a : a + len(tokens)]
+            names = [self.names[x] for x in c[a : a + len(tokens)]]
+            for j, feats in enumerate(runs(tokens, names, gap)):
                 for f in feats:
                     v = self.run.get(f)
                     if v is None:
+                        if len(self.run) > 100_000:
+                            self.run.clear()
                         v = self.run[f] = self.crf.score([f])
-                    e[i] += v
-        return e
+                    part[j] += v
+            out.append(part)
+        return out
 
     def mentions(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """kind, start and end (code points from 0) of the mentions of each text."""
-        parts, emits = [], []
-        for t in texts:
-            clean, back = visible(t or "")
-            tokens, at, gap = tokenize(clean)
-            parts.append((clean, back, tokens, at))
-            emits.append(self.emissions(tokens, gap) if tokens else np.zeros((0, len(LABELS))))
+        clean = [visible(t or "") for t in texts]
+        cut = [tokenize(t) for t, _ in clean]
+        labels = self.crf.viterbi(self.emissions([(tokens, gap) for tokens, _, gap in cut]))
         out = []
-        for (clean, back, tokens, at), lab in zip(parts, self.crf.viterbi(emits)):
-            spans, i = [], 0
-            while i < len(lab):
-                if not lab[i]:
-                    i += 1
-                    continue
-                k = (lab[i] - 1) // 2
-                j = i + 1
-                while j < len(lab) and lab[j] == 2 * k + 2:
+        for (text, back), (tokens, at, _), lab in zip(clean, cut, labels):
+            spans, marked = [], np.flatnonzero(lab)
+            j = 0
+            while j < len(marked):
+                a = int(marked[j])
+                k, b = (lab[a] - 1) // 2, a + 1
+                while b < len(lab) and lab[b] == 2 * k + 2:
+                    b += 1
+                spans.append((SLOTS[k], at[a], at[b - 1] + len(tokens[b - 1])))
+                while j < len(marked) and marked[j] < b:
                     j += 1
-                spans.append((SLOTS[k], at[i], at[j - 1] + len(tokens[j - 1])))
-                i = j
-            found = settle(clean, spans, self.lists)
+            found = settle(text, spans, self.lists)
             out.append([(k, a, b) if back is None else (k, int(back[a]), int(back[b - 1]) + 1) for k, a, b in found])
         return out
 
@@ -453,7 +493,7 @@ def tagged(spark: SparkSession, documents: DataFrame, names: DataFrame, schema:
                 part = b.iloc[at : at + 512]
                 yield emit(part, tagger.mentions(list(part.text)))
 
-    return documents.select("doc_id", "text").mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, schema)
 
 
 def _mention_rows(b: pd.DataFrame, found: list) -> pd.DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.nested import segment_text, segments_of
-from ..session import cut
+from ..session import cut, spread
 
 WINDOW, MIN_WORDS, MIN_SHARE = 5, 20, 0.4
 #: 0.975 quantile of chi-square with three degrees of freedom; h / n; floor of a variance.
@@ -145,7 +145,7 @@ def mcd_distance(vectors: DataFrame, keys: list[str], steps: int = 3, salt: int
 
 def outliers(texts: DataFrame, keys: list[str], id_col: str, min_share: float = MIN_SHARE, salt: int = 8) -> DataFrame:
     """texts without their text, with statistics, d2 and the stratum's cut; only those at or beyond the cut."""
-    v = _vector(texts.withColumn("s", text_stats("text")).drop("text").select("*", "s.*").drop("s").where(F.col("n_words") >= MIN_WORDS))
+    v = _vector(spread(texts, id_col).withColumn("s", text_stats("text")).drop("text").select("*", "s.*").drop("s").where(F.col("n_words") >= MIN_WORDS))
     v = cut(v.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salt)).cast("int")))
     b = math.asin(math.sqrt(min_share))
     least = F.when(F.col("m1") < b, F.pow(b - F.col("m1"), 2) / F.col("c11")).otherwise(0.0)
