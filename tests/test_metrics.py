@@ -15,7 +15,7 @@ SEG = "array<struct<speaker: string, text: string>>"
 def tables(spark):
     refs = [("c1", [("A", "Hello world"), ("B", "goodbye earth")]), ("c2", []), ("c3", [("A", "x")]), ("c5", None), ("c6", [("A", "one two")])]
     hyps = [("c1", "m", [("d", "hello goodbye world earth")]), ("c2", "m", [("d", "word")]), ("c3", "m", [("d", "")]), ("c4", "m", [("d", "lost")]), ("c6", "n", [("d", "one"), ("e", "two")]), ("c2", "n", [])]
-    return spark.createDataFrame(refs, f"clip_id string, segments {SEG}"), spark.createDataFrame(hyps, f"clip_id string, model_name string, segments {SEG}"), spark.createDataFrame([("m",), ("n",)], "model_name string")
+    return spark.createDataFrame(refs, f"clip_id string, segments {SEG}"), spark.createDataFrame(hyps, f"clip_id string, model_name string, segments {SEG}"), ["m", "n"]
 
 
 def test_evaluate(tables):

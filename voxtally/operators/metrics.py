@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, text
 from ..functions.clip import METRICS
+from ..session import spread
 
 #: Names under which a metric may be asked for.
 ALIASES = {"mrs": "mrs_wer", "mrswer": "mrs_wer", "dss_wer": "mrs_wer", "orc": "orc_wer", "orcwer": "orc_wer", "cp": "cpwer", "cp_wer": "cpwer"}
@@ -66,15 +67,15 @@ def score_pair(ref: list[tuple], hyp: list[tuple], metrics: list[str], mode: str
     return out
 
 
-def evaluate(refs: DataFrame, hyps: DataFrame, models: DataFrame, metrics: list[str] | None = None, mode: str = "exact", partitions: int | None = None) -> DataFrame:
+def evaluate(refs: DataFrame, hyps: DataFrame, models: list[str], metrics: list[str] | None = None, mode: str = "exact", partitions: int | None = None) -> DataFrame:
     """clip_id, model_name, status, error, ref_segments, hyp_segments, is_segmented, the metrics, wer_method, metric_type.
 
     refs: clip_id, segments; hyps: clip_id, model_name, segments (array of struct with speaker and text), each unique;
-    models: model_name. The clips are those of the hypotheses and the references together.
+    models: their names, a short list that every clip is set against. The clips are those of the hypotheses and the references together.
     """
     metrics = metrics or list(METRICS)
     clips = refs.select("clip_id").unionByName(hyps.select("clip_id")).where("clip_id is not null").distinct()
-    grid = clips.join(models.select("model_name").where("model_name is not null").distinct())
+    grid = clips.select("clip_id", F.explode(F.array(*map(F.lit, dict.fromkeys(models)))).alias("model_name"))
     rows = grid.join(hyps.select("clip_id", "model_name", F.col("segments").alias("hyp")), ["clip_id", "model_name"], "left")
     rows = rows.join(refs.select("clip_id", F.col("segments").alias("ref")), "clip_id", "left")
     rows = rows.repartition(partitions, "clip_id", "model_name") if partitions else rows.repartition("clip_id", "model_name")
@@ -174,7 +175,7 @@ def hypotheses(transcription: DataFrame) -> DataFrame:
                 out += [(rid, cid, m, [{"speaker": speaker(x), "text": segment_text(x)} for _, x in segments_of(v)], at) for m, v in models]
             yield pd.DataFrame(out, columns=["record_id", "clip_id", "model_name", "segments", "received_at"]).astype({"record_id": "int64", "received_at": "datetime64[us]"})
 
-    src = transcription.select("record_id", "clip_id", "payload", "received_at").where("clip_id is not null and payload is not null and record_id is not null")
+    src = spread(transcription.select("record_id", "clip_id", "payload", "received_at"), "record_id").where("clip_id is not null and payload is not null and record_id is not null")
     rows = src.mapInPandas(run, HYPOTHESES + ", received_at timestamp")
     return rows.groupBy("clip_id", "model_name").agg(F.max_by("segments", F.struct("received_at", "record_id")).alias("segments"))
 

@@ -59,7 +59,7 @@ def friedman(pairs: DataFrame, block: str, treatments: list[str]) -> DataFrame:
     r = long.withColumn("r", average_rank([block], "v"))
     ties = long.groupBy(block, "v").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     sums = r.groupBy("treatment").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
-    one = sums.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n")).crossJoin(ties)  # one row each
+    one = sums.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n")).withColumn("ties", ties.scalar())
     n = F.col("n")
     chi = (12 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * k * (k * k - 1)))
     one = one.withColumn("chi2", F.when(n >= 2, chi))
@@ -171,9 +171,10 @@ def effects(df: DataFrame, value: str, factors: list[str]) -> DataFrame:
     for f in factors:
         one = cells.groupBy(f).agg((F.sum("s") ** 2 / F.sum("n")).alias("b")).agg(F.sum("b").alias("b")).select(F.lit(f).alias("factor"), "b")
         out = one if out is None else out.unionByName(one)
-    out = out.crossJoin(total).withColumn("ss", F.col("b") - F.col("s") ** 2 / F.col("n"))  # one row each
-    rest = out.agg((F.max("ss_total") - F.sum("ss")).alias("ss_residual"))
-    return out.crossJoin(rest).select("factor", "n", "ss", "ss_total", "ss_residual", (F.col("ss") / (F.col("ss") + F.col("ss_residual"))).alias("partial_eta2"))
+    one = lambda c: total.select(c).scalar()
+    out = out.withColumn("n", one("n")).withColumn("ss_total", one("ss_total")).withColumn("ss", F.col("b") - one(F.col("s") ** 2 / F.col("n")))
+    rest = out.agg(F.max("ss_total") - F.sum("ss"))
+    return out.withColumn("ss_residual", rest.scalar()).select("factor", "n", "ss", "ss_total", "ss_residual", (F.col("ss") / (F.col("ss") + F.col("ss_residual"))).alias("partial_eta2"))
 
 
 def least_squares(df: DataFrame, x: dict[str, Column], y: str) -> tuple[list[str], np.ndarray, dict[str, float]]:

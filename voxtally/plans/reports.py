@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clip, text
 from ..operators import frames, ranking, segment, stats, summary
 from ..session import spread, table
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -312,10 +313,16 @@ def overlap_from_manifest(spark, base):
 @query(S + """, p AS (SELECT DISTINCT clip_id, model FROM s WHERE clip_id IS NOT NULL AND model IS NOT NULL), g AS (SELECT c.clip_id, m.model FROM (SELECT DISTINCT clip_id FROM mixture_meta) c CROSS JOIN (SELECT DISTINCT model FROM s WHERE model IS NOT NULL) m)
 SELECT model, count(*) AS n_missing FROM g ANTI JOIN p USING (clip_id, model) GROUP BY model""")
 def missing_results(spark, base):
-    s = scores(spark, base).where("model is not null and clip_id is not null")
-    models = s.select("model").distinct()
-    grid = table(spark, base, "mixture_meta").select("clip_id").distinct().select("clip_id").join(F.broadcast(models.limit(1000)))  # the model names: a handful
-    return grid.join(s.select("clip_id", "model").distinct(), ["clip_id", "model"], "left_anti").groupBy("model").agg(F.count(F.lit(1)).alias("n_missing"))
+    """Clips of the manifest without a result, per model: the number of clips less those that have one."""
+    s = scores(spark, base).where("model is not null and clip_id is not null").select("model", "clip_id").distinct()
+    clips = table(spark, base, "mixture_meta").select("clip_id").where("clip_id is not null").distinct()
+    have = s.join(clips.withColumn("wanted", F.lit(1)), "clip_id", "left").groupBy("model").agg(F.count("wanted").alias("n"))
+    return have.select("model", (clips.agg(F.count("clip_id")).scalar() - F.col("n")).alias("n_missing")).where("n_missing > 0")
+
+
+@query("SELECT clip_id FROM (SELECT DISTINCT clip_id FROM mixture_meta) ANTI JOIN (SELECT DISTINCT clip_id FROM mixture_transcription WHERE clip_id IS NOT NULL) USING (clip_id)")
+def untranscribed(spark, base):
+    return readers.pending(table(spark, base, "mixture_meta").select("clip_id").distinct(), table(spark, base, "mixture_transcription").where("clip_id is not null"), ["clip_id"])
 
 
 @query("""SELECT side, count(*) AS n FROM (
@@ -514,6 +521,90 @@ def delta_to_clean(spark, base):
     return rounded(stats.baseline_delta(frames.successful(scores(spark, base)), ["ovr_label"], "snr_label", "clean", "wer"))
 
 
+@query(S + "SELECT model, result_id, round(abs(wer - mrs_wer), 6) AS gap FROM ok WHERE abs(overlap_ratio) <= 1e-8 AND abs(wer - mrs_wer) > 1e-10")
+def zero_overlap_gaps(spark, base):
+    """Results without overlap whose two rates differ."""
+    gap = F.abs(F.col("wer") - F.col("mrs_wer"))
+    return frames.successful(scores(spark, base)).where((F.abs("overlap_ratio") <= 1e-8) & (gap > 1e-10)).select("model", "result_id", r6(gap).alias("gap"))
+
+
+@query(
+    S + """, a AS (SELECT model, ovr_label, avg(wer) AS m FROM ok WHERE wer IS NOT NULL AND model IS NOT NULL GROUP BY ALL), b AS (SELECT model, avg(wer) AS m FROM worst_wer_examples WHERE wer IS NOT NULL GROUP BY model)
+SELECT a.model, a.ovr_label, round(a.m, 6) AS mean, round(b.m, 6) AS real_mean, round(a.m - b.m, 6) AS gap FROM a LEFT JOIN b USING (model)"""
+)
+def gap_by_overlap(spark, base):
+    """Mean per model and overlap beside the mean of another corpus (here the listed examples)."""
+    a = frames.successful(scores(spark, base)).where("wer is not null and model is not null").groupBy("model", "ovr_label").agg(F.avg("wer").alias("mean"))
+    b = table(spark, base, "worst_wer_examples").where("wer is not null").groupBy("model").agg(F.avg("wer").alias("real_mean"))
+    return rounded(a.join(b, "model", "left").select("model", "ovr_label", "mean", "real_mean", (F.col("mean") - F.col("real_mean")).alias("gap")))
+
+
+@query(
+    S + """, a AS (SELECT model, avg(wer) FILTER (snr_label = 'clean') AS c, avg(wer) FILTER (snr_label <> 'clean') AS n FROM ok WHERE wer IS NOT NULL AND model IS NOT NULL GROUP BY model)
+SELECT count(*) AS n_models, round(avg(100 * (n - c) / c), 6) AS mean_degradation_pct FROM a WHERE c > 0 AND n IS NOT NULL"""
+)
+def degradation(spark, base):
+    """Mean over models of the relative loss from clean to noisy results, in per cent."""
+    a = frames.successful(scores(spark, base)).where("wer is not null and model is not null").groupBy("model").agg(F.avg(F.when(F.col("snr_label") == "clean", F.col("wer"))).alias("c"), F.avg(F.when(F.col("snr_label") != "clean", F.col("wer"))).alias("n"))
+    return rounded(a.where("c > 0 and n is not null").agg(F.count(F.lit(1)).alias("n_models"), F.avg(100 * (F.col("n") - F.col("c")) / F.col("c")).alias("mean_degradation_pct")))
+
+
+@query(
+    S + """, h AS (SELECT CASE WHEN abs(overlap_ratio) <= 1e-8 THEN 'non_overlap' ELSE 'overlap' END AS scope, model, mrs_wer - wer AS d FROM ok WHERE mrs_wer IS NOT NULL AND wer IS NOT NULL AND overlap_ratio IS NOT NULL AND model IS NOT NULL),
+g AS (SELECT scope, CASE WHEN grouping(model) = 1 THEN 'all_models' ELSE model END AS model, count(*) AS n, avg(d) AS mean_diff, median(d) AS median_diff, 100 * avg(CASE WHEN d < -1e-12 THEN 1.0 ELSE 0.0 END) AS pct_below, 100 * avg(CASE WHEN d > 1e-12 THEN 1.0 ELSE 0.0 END) AS pct_above FROM h GROUP BY GROUPING SETS ((scope, model), (scope)))
+SELECT scope, model, n, round(mean_diff, 6) AS mean_diff, round(median_diff, 6) AS median_diff, round(pct_below, 6) AS pct_below, round(pct_above, 6) AS pct_above, CASE WHEN mean_diff < -1e-3 THEN 'lower' WHEN mean_diff > 1e-3 THEN 'higher' ELSE 'same' END AS direction FROM g"""
+)
+def hypothesis_table(spark, base):
+    """Two-stream rate against the plain rate per scope and model and over all models, in one pass, with the direction."""
+    return rounded(_hypotheses(spark, base, tests=False))
+
+
+def _hypotheses(spark, base, tests: bool, permutations: int = 40) -> DataFrame:
+    d = F.col("mrs_wer") - F.col("wer")
+    rows = frames.successful(scores(spark, base)).where("mrs_wer is not null and wer is not null and overlap_ratio is not null and model is not null")
+    rows = rows.select("result_id", F.when(F.abs("overlap_ratio") <= 1e-8, "non_overlap").otherwise("overlap").alias("scope"), "model", d.alias("d"))
+    share = lambda c: 100 * F.avg(c.cast("double"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.median("d").alias("median_diff"), share(F.col("d") < -1e-12).alias("pct_below"), share(F.col("d") > 1e-12).alias("pct_above")]
+    out = summary.grouped_sets(rows, [["scope", "model"], ["scope"]], aggs).drop("grouping")
+    out = out.withColumn("model", F.coalesce("model", F.lit("all_models"))).withColumn("direction", F.when(F.col("mean_diff") < -1e-3, "lower").when(F.col("mean_diff") > 1e-3, "higher").otherwise("same"))
+    if not tests:
+        return out
+    both = rows.select("result_id", "scope", "d", F.explode(F.array("model", F.lit("all_models"))).alias("model"))
+    p = stats.sign_flip(both, ["scope", "model"], "result_id", "d", permutations).select("scope", "model", F.when(F.col("scope") == "overlap", F.col("p_less")).otherwise(F.col("p_two")).alias("p"))
+    ci = stats.bootstrap(both, ["scope", "model"], "result_id", "d", permutations).select("scope", "model", "ci_low", "ci_high")
+    out = out.join(p, ["scope", "model"]).join(ci, ["scope", "model"])
+    return out.withColumn("decision", F.when((F.col("p") < 0.05) & (F.col("direction") != "same"), "different").otherwise("not shown"))
+
+
+@query()
+def hypothesis_tests(spark, base):
+    """hypothesis_table with permutation p (one-sided under overlap), bootstrap interval and decision."""
+    return rounded(_hypotheses(spark, base, tests=True))
+
+
+@query(
+    S + """, q AS (SELECT model, quantile_cont(wer, 0.25) AS q1, quantile_cont(wer, 0.75) AS q3 FROM ok WHERE wer IS NOT NULL AND model IS NOT NULL GROUP BY model),
+o AS (SELECT model, noise_type, wer > q3 + 1.5 * (q3 - q1) AS x FROM ok JOIN q USING (model) WHERE wer IS NOT NULL AND noise_type IS NOT NULL),
+c AS (SELECT model, noise_type, count(*) FILTER (x) AS k, count(*) AS n FROM o GROUP BY ALL),
+p AS (SELECT model, noise_type, k, k / nullif(sum(k) OVER (PARTITION BY model), 0) - n / sum(n) OVER (PARTITION BY model) AS d FROM c)
+SELECT model, noise_type, k AS n_outliers, round(d, 6) AS excess, CASE WHEN d IS NULL THEN 'none' WHEN d > 0.1 THEN 'high' WHEN d < -0.1 THEN 'low' ELSE 'mixed' END AS side FROM p"""
+)
+def outlier_profile(spark, base):
+    """Share of a model's outliers by noise against its share of all results, labelled beyond a tolerance of 0.1."""
+    o = stats.iqr_outliers(frames.successful(scores(spark, base)).where("model is not null"), ["model"], "wer").where("noise_type is not null")
+    c = o.groupBy("model", "noise_type").agg(F.count_if("is_outlier").alias("k"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("model")
+    d = F.try_divide(F.col("k"), F.sum("k").over(w)) - F.col("n") / F.sum("n").over(w)
+    c = c.withColumn("d", d)
+    side = F.when(F.col("d").isNull(), "none").when(F.col("d") > 0.1, "high").when(F.col("d") < -0.1, "low").otherwise("mixed")
+    return c.select("model", "noise_type", F.col("k").alias("n_outliers"), r6("d").alias("excess"), side.alias("side"))
+
+
+@query("SELECT example_id, model FROM worst_wer_examples WHERE hypothesis IS NULL OR trim(hypothesis) = '' OR starts_with(clip_id, 'real_')")
+def odd_examples(spark, base):
+    return table(spark, base, "worst_wer_examples").where(F.col("hypothesis").isNull() | (F.trim("hypothesis") == "") | F.col("clip_id").startswith("real_")).select("example_id", "model")
+
+
 # -- utterances -------------------------------------------------------------------------------------------------------
 
 _U = r"""WITH u AS (SELECT DISTINCT utt_id, session_id, (x[1]::BIGINT * 3600 + x[2]::BIGINT * 60)::DOUBLE + x[3]::DOUBLE AS s, (y[1]::BIGINT * 3600 + y[2]::BIGINT * 60)::DOUBLE + y[3]::DOUBLE AS e

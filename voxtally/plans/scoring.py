@@ -23,14 +23,9 @@ def hypotheses(spark: SparkSession, base: str) -> DataFrame:
     return metrics.hypotheses(table(spark, base, "mixture_transcription"))
 
 
-def _models(hyps: DataFrame) -> DataFrame:
-    return hyps.select("model_name").distinct()
-
-
 def eval_scores(spark: SparkSession, base: str) -> DataFrame:
     """All metrics of every clip and model, exact two-stream distance."""
-    h = hypotheses(spark, base)
-    return rounded(metrics.evaluate(references(spark, base), h, _models(h)))
+    return rounded(metrics.evaluate(references(spark, base), hypotheses(spark, base), clip.MODELS))
 
 
 def eval_summary(spark: SparkSession, base: str) -> DataFrame:
@@ -40,8 +35,7 @@ def eval_summary(spark: SparkSession, base: str) -> DataFrame:
 
 def eval_wer_only(spark: SparkSession, base: str) -> DataFrame:
     """The plain rate alone: no Python kernel in the plan beyond the literal reader."""
-    h = hypotheses(spark, base)
-    return rounded(metrics.evaluate(references(spark, base), h, _models(h), ["wer"]))
+    return rounded(metrics.evaluate(references(spark, base), hypotheses(spark, base), clip.MODELS, ["wer"]))
 
 
 def real_eval(spark: SparkSession, base: str) -> DataFrame:

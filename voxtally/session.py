@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,26 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers of a remote cluster the package, once per application. Local masters share the file system."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="voxtally-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The parquet table `name` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
