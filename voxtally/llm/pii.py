@@ -41,6 +41,7 @@ STREET_END = ("straße", "strasse", "gasse", "weg", "allee", "platz")
 UNIT = frozenset("flat unit apt apartment suite room floor".split())
 PARTICLE = frozenset("de van von del di da la le der den du dos".split())
 TITLE = frozenset("mr ms mrs dr prof professor miss herr frau mme sir señor señora".split())
+AM_WORD = frozenset("am zum zur".split())
 AT_WORD, DOT_WORD = frozenset(["at"]), frozenset(["dot", "dash", "underscore", "hyphen"])
 
 
@@ -51,12 +52,15 @@ class Lists:
         self.sets = {"G": frozenset(x.lower() for x in given), "S": frozenset(x.lower() for x in surnames)}
         self.starts, self.ends = {}, {}
         for k, names in self.sets.items():
-            for store, cut in ((self.starts, lambda n, i: n[:i]), (self.ends, lambda n, i: n[-i:])):
-                seen: dict[str, int] = {}
-                for n in names:
-                    for i in range(2, len(n)):
-                        seen[cut(n, i)] = seen.get(cut(n, i), 0) + 1
-                store[k] = frozenset(x for x, c in seen.items() if c >= 4 and len(x) >= (2 if store is self.starts else 3))
+            after: dict[str, set[str]] = {}
+            before: dict[str, set[str]] = {}
+            for n in names:
+                for i in range(2, len(n) - 1):
+                    after.setdefault(n[:i], set()).add(n[i])
+                    before.setdefault(n[i:], set()).add(n[i - 1])
+            # where several letters follow a beginning, or precede an ending, a part of a name is complete
+            self.starts[k] = frozenset(x for x, c in after.items() if len(c) >= 3)
+            self.ends[k] = frozenset(x for x, c in before.items() if len(c) >= 3)
 
     def core(self, low: str) -> str:
         for p in ("o'", "o’", "mac", "mc"):
@@ -66,7 +70,7 @@ class Lists:
 
     def like(self, low: str, k: str) -> bool:
         """Whether a shared beginning and a shared ending make up the whole word."""
-        return any(low[:i] in self.starts[k] and low[i:] in self.ends[k] for i in range(2, len(low) - 2))
+        return any(low[:i] in self.starts[k] and low[i:] in self.ends[k] for i in range(2, len(low) - 1))
 
     def kind(self, low: str, hide: bool = False) -> str:
         core = self.core(low)
@@ -96,7 +100,7 @@ def class_of(t: str, lists: Lists, hide: bool = False) -> str:
         return "nw"
     if low == "plus":
         return "plus"
-    for name, words in (("str", STREET), ("unit", UNIT), ("part", PARTICLE), ("title", TITLE), ("at", AT_WORD), ("dot", DOT_WORD), ("teen", TEENS)):
+    for name, words in (("str", STREET), ("unit", UNIT), ("part", PARTICLE), ("title", TITLE), ("am", AM_WORD), ("at", AT_WORD), ("dot", DOT_WORD), ("teen", TEENS)):
         if low in words:
             return name
     if low.endswith(STREET_END) and len(low) > 6:
@@ -335,6 +339,10 @@ _DIGITS = regex.compile(rf"\d|\b{_SPOKEN}\b", regex.I)
 _NUMERIC_START = regex.compile(rf"[+(]|\d|\bplus\b|\b{_SPOKEN}\b", regex.I)
 
 
+#: Figures that stand right before a number, without white space, belong to it.
+_JOINED = regex.compile(r"(?:(?<![\p{L}\p{N}.\-])[+(]?\d[\d.()\-]*)?$")
+
+
 def digit_count(text: str) -> int:
     """Digits in figures and words; double and triple count for what follows them."""
     words = [w.lower() for w in _DIGITS.findall(text)]
@@ -356,8 +364,9 @@ def around(text: str, a: int, b: int, n: int) -> tuple[int, int]:
 
 
 def person(text: str, a: int, b: int, lists: Lists) -> tuple[int, int] | None:
-    """The part of a decoded name that is one: it begins with a name, an initial or a particle and has a name of some
-    form in it, listed, shaped like the listed ones or, with another, in capitals."""
+    """The part of a decoded name that is one: it begins with a name, an initial or a particle and has a name in it that
+    is listed or shaped like the listed ones; beside an initial, behind a title or if there are two words that the
+    patterns do not use otherwise, capitals do."""
     tokens = [(m.group(), a + m.start()) for m in _TOKEN.finditer(text[a:b]) if m.group()[0].isalpha()]
     known = lambda t: bool(lists.kind(t.lower()))
     while tokens and not (known(tokens[0][0]) or tokens[0][0][0].isupper() or len(tokens[0][0]) == 1 or tokens[0][0].lower() in PARTICLE):
@@ -365,7 +374,11 @@ def person(text: str, a: int, b: int, lists: Lists) -> tuple[int, int] | None:
     if len(tokens) < 2:
         return None
     main = [t for t, _ in tokens if len(t) > 1 and t.lower() not in PARTICLE]
-    if not main or not (any(map(known, main)) or all(t[0].isupper() for t in main)):
+    initial = any(len(t) == 1 and t.isupper() for t, _ in tokens)
+    titled = regex.search(r"(\p{L}+)\.?\s+$", text[max(0, a - 12) : tokens[0][1]])
+    capitals = (initial or titled and titled[1].lower() in TITLE) and all(t[0].isupper() for t in main)
+    titles = len(main) > 1 and all(t.istitle() and t.lower() not in pii_table.PLAIN for t in main)
+    if not (any(map(known, main)) or main and capitals or titles):
         return None
     return tokens[0][1], b
 
@@ -391,6 +404,7 @@ def settle(text: str, spans: list[tuple[str, int, int]], lists: Lists) -> list[t
                 if not m:
                     continue
                 a += m.start()
+                a -= len(_JOINED.search(text, max(0, a - 40), a)[0])
                 while a and text[a - 1] in "+(" and (a < 2 or not text[a - 2].isalnum()) and ")" in text[a:b]:
                     a -= 1
                 if not 7 <= digit_count(text[a:b]) <= 15:
@@ -400,7 +414,7 @@ def settle(text: str, spans: list[tuple[str, int, int]], lists: Lists) -> list[t
                 out.append(("identity", a, b))
         elif k == "A":
             low = [t.lower() for t in _TOKEN.findall(piece)]
-            street = any(t in STREET or t.endswith(STREET_END) for t in low)
+            street = any(t in STREET or t.endswith(STREET_END) for t in low) or low[0] in AM_WORD or low[:2] == ["an", "der"]
             number = any(t[0].isdigit() or t in NUMBER_WORDS or t in TEENS for t in low)
             if street and number:
                 out.append(("address", a, b))

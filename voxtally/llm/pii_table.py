@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import random
 
-LINES = 5600
+import regex
+
+LINES = 8000
 KINDS = {"E": "email", "P": "phone", "I": "identity", "A": "address", "N": "name"}
 
 WITH_SLOTS = """{T}{N} rang from {P} while we recorded.|Ms {N} and Mr {N} swapped seats.|Contact: {N} <{E}>|signed, {N} ({E})|You can reach {N} at {P} or {E}.
@@ -21,7 +23,7 @@ uh yeah so {N} uh lives at {A} i think|speaker consent was signed by {N}, {A}.|W
 Die Mikrofone stehen in {A}.|Le studio est au {A}.|Écrire à {E}.|Bitte an {E} schreiben.|Proszę pisać na {E}.|Пишите на {E}.|请写信到{E}。|連絡先は{E}です。|Telefon: {P}.|电话:{P}。|電話は{P}です。|Телефон {P}.|Llame a {N} al {P}.|appelez {N} au {P}.
 (tel:{P})|tel. {P}|"name": "{N}", "tel": "{P}"|#{d} {E} asked for the raw file|cc: {E}; {E}|<a href="mailto:{E}">write</a>|mail {E} if the clip is unusable|Sent by {E} after the session.|{E}|{P}|{I}|{N}
 Phone: {P}|Please call {P} before the next round.|my number is {P}|in the recording somebody says {P} very slowly|ID: {I}|Number on the badge: {I}.|Participant's ID {I} was read out loud in minute {d}.
-{N} wrote: the second channel is silent.|{N} listened to both channels.|Owner: {N}.|Name: {N}|Thanks, {N}|Interviewer: {N}.|Listener: {N}.|annotator {N} disagreed|tell {N} i said hello|turn {d} [{N}]: could you repeat that|Dear {N},
+{N} wrote: the second channel is silent.|{N} listened to both channels.|Owner: {N}.|Name: {N}|Thanks, {N}|Regards, {N}|Interviewer: {N}.|Listener: {N}.|annotator {N} disagreed|tell {N} i said hello|turn {d} [{N}]: could you repeat that|Dear {N},
 according to {N} the mask is fine and {N} agrees|Ask {N} or {N} about the mask.|Professor {N} objected.|{N} laughed.|please tell {N} that the kitchen scales is outside the station.|{N} buried an unsigned note.|after the storm {N} carried the broken oar.
 I spoke to {N} about the invoice|{T}{N} will call you from {P}|mine is {I} and hers is {I}|send it to {A} or to {E}|Herr {N} wohnt in {A}|the parcel for {N} went to {A} by mistake|she gave me {P}, {E} and {I}
 if {N} is uneasy then leave a borrowed violin by the cold stove.|nobody knew why {N} painted the long ladder.|we were angry because {N} lifted three empty jars|give it to {N}.|Not even {N} noticed the brass clock without a word.|{N} said that the oar had been sold
@@ -41,7 +43,11 @@ she said one two three and laughed|one of the two lanes was closed, the third ro
 Please check the source file list and then wait for the next batch.|The median error is late here because two writers share one folder.|Bitte pruefen Sie einige Wörter im Messblatt.|Мы не слышим длинные реплики при сильном шуме.|评分表里听不到最后几个词。|Le modèle perd les mots courts.
 Every morning the nurse walked past and polished seven lanterns.|A quiet lodger asked whether the brass clock was still over the hill.|My guess is that the audio pruner drops the empty hypotheses only at 7.4 dB.|dot the i and mail the letter at the station
 Wir hören alle Pausen während der zweiten Aufnahme kaum.|Das Modell verliert den zweiten Sprecher in der großen Halle nach dem Neustart.|Conviene revisar la marca del hablante sin solape.|No se oye la marca de la sala después del reinicio.|Le relevé perd les mots de la fin dans la grande salle du studio.
-Il faut relire la pause du premier tour.|Nie słychać drugiego mówcę przy dużym hałasie.|O modelo perde a pausa do orador da sala.|Wer hat die letzten Wörter der langen Äußerungen von gestern geändert?|not even two students noticed the gate|the harbour clerk and the museum guard looked lost|an old ferryman, a quiet lodger and the night porter laughed""".replace("\n", "|").split("|")
+Il faut relire la pause du premier tour.|Nie słychać drugiego mówcę przy dużym hałasie.|O modelo perde a pausa do orador da sala.|Wer hat die letzten Wörter der langen Äußerungen von gestern geändert?|not even two students noticed the gate|the harbour clerk and the museum guard looked lost|an old ferryman, a quiet lodger and the night porter laughed
+Regards,|Kind regards,|Best wishes,|Many thanks,|Does anyone know why the aligner drops the last words?|After that the printer grew angry and went home.|Reviewer two wants the median error next to the ratio.|Speakers laughed.|Granite""".replace("\n", "|").split("|")
+
+#: The words of the patterns, which are nobody's name.
+PLAIN = frozenset(regex.findall(r"\p{L}+", regex.sub(r"\{.\}", " ", " ".join(WITH_SLOTS + WITHOUT)).lower()))
 
 STREETS = "Millrace|Old Kiln|Cobble|Tinker|Chandler|Weaver|Ropewalk|Saffron|Upper Dene|Quarry Hill|Larkfield|Alder|St Orrin's|Fuller's|Chestnut|Lower Mill|Baker's|Priory|Station|Queen's|North Gate|Heron|Foundry|Long Acre".split("|")
 TYPES = "Street|St|Road|Rd|Lane|Avenue|Ave|Way|Row|Mews|Court|Crescent|Terrace|Drive|Close|Square|Place|Gardens|Hill".split("|")
@@ -122,7 +128,7 @@ class Maker:
     def phone(self) -> str:
         r, d = self.r, self.digits
         forms = ["+44 7### 9## ###", "07### 9#####", "07#########", "+447#########", "01## 496 0###", "020 7946 0###", "+44 20 7946 0###", "(01###) 96####", "01### 96# ###", "(02) 5550 ####", "+61 4## 5## ###", "+614########", "(2##) 555-01##", "3##-555-01##",
-                 "6##.555.01##", "6##55501##", "+1 4## 555 01##", "1-3##-555-01##", "+33 1 99 00 ## ##", "01 99 00 ## ##", "01990#####", "+331990#####", "+49 1## 39### ##", "030 23### ###", "0049 30 23### ###", "+48 6## ### ###", "00 44 161 496 0###"]
+                 "6##.555.01##", "6##55501##", "+1 4## 555 01##", "1-3##-555-01##", "+33 1 99 00 ## ##", "01 99 00 ## ##", "01990#####", "+331990#####", "+49 1## 39### ##", "030 23### ###", "0049 30 23### ###", "+48 6## ### ###", "00 44 161 496 0###", "0049-30-23###", "0049-30-23125###", "0049 171 39200##"]
         p = "".join(d(1) if c == "#" else c for c in r.choice(forms))
         if r.random() < 0.3:
             plain = "".join(c for c in p if c.isdigit())
@@ -134,7 +140,7 @@ class Maker:
         up = r.choice("ABCDEFGHJKLMNPRTXYZ")
         x = r.randrange(8)
         if x == 0:
-            v = f"00.000.{d(3)}-{up}"
+            v = f"00.000.{d(3)}-{r.choice([up, d(1)])}"
         elif x == 1:
             v = f"{up}00{d(6)}"
         elif x == 2:
@@ -158,7 +164,7 @@ class Maker:
             if r.random() < 0.15:
                 n = self.spoken(n.rstrip("abc"))
             street = r.choice(STREETS) if r.random() < 0.8 else self.r.choice(self.sur)
-            a = f"{n} {street} {r.choice(TYPES)}"
+            a = f"{n} {street} {r.choice(TYPES)}" + "." * (r.random() < 0.05)
             if r.random() < 0.2:
                 a = f"{r.choice(['Flat', 'Unit', 'Apt', 'Apartment', 'Suite'])} {r.randrange(1, 40)}, {a}"
             if r.random() < 0.45:
@@ -176,13 +182,14 @@ class Maker:
                 a = a.replace("{w}", r.choice(WORDS), 1)
             a = f"{n}{r.choice([', ', ' '])}{a}" + (f", 00{self.digits(3)} {r.choice(['Valorne', 'Merisy'])}" if r.random() < 0.7 else "")
         else:
-            a = f"{r.choice(WORDS)}{r.choice(GERMAN_END)} {n}" + (f", 00{self.digits(3)} {r.choice(['Nordfenn', 'Altmoor'])}" if r.random() < 0.7 else "")
+            a = f"{r.choice(WORDS)}{r.choice(GERMAN_END)} {n}" if r.random() < 0.7 else f"{r.choice(['Am', 'Am', 'Zum', 'An der'])} {r.choice(['Alten ', 'Alten ', ''])}{r.choice(WORDS + ['Kiln', 'Markt'])} {n}"
+            a += (f", 00{self.digits(3)} {r.choice(['Nordfenn', 'Altmoor'])}" if r.random() < 0.7 else "")
         return a.lower() if r.random() < 0.12 else a.upper() if r.random() < 0.03 else a
 
     def line(self) -> tuple[str, list[tuple[int, int, str]]]:
         """A line and its labelled spans (start, end, slot)."""
         r = self.r
-        pattern = r.choice(WITH_SLOTS) if r.random() < 0.72 else r.choice(WITHOUT)
+        pattern = r.choice(WITH_SLOTS) if r.random() < 0.76 else r.choice(WITHOUT)
         whole = r.random()
         text, spans, i = "", [], 0
         while i < len(pattern):
