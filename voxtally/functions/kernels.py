@@ -244,14 +244,12 @@ def dss_wer(a: list[str], b: list[str], h: list[str]) -> float:
 class Beam:
     """The two-stream search with a bounded frontier, for scores comparable with published beam results.
 
-    A state (i, j, t) has used i and j words of the streams and t of the hypothesis. All successors of a frontier form
-    the next one; of equal states the cheaper, then the one reached by the better kind of step stays. The frontier is
-    ordered by cost plus weighted estimate, cost and depth, and thinned by taking turns over strips of i - j.
+    A state (i, j, t) has used i and j words of the streams and t of the hypothesis. The successors of a frontier form
+    the next one; a state keeps the least cost it was ever reached with. The frontier is ordered by cost plus weighted
+    estimate, cost and depth, and thinned by taking turns over strips of i - j; it widens where many are near the best.
     """
 
-    MATCH, SUB, GAP, DONE = 0, 1, 2, 99
-
-    def __init__(self, width: int = 64, weight: float = 1.0, lookahead: int = 20, max_expansions: int = 250_000, adaptive: bool = True, margin: float = 1.0, stride: int = 4) -> None:
+    def __init__(self, width: int = 64, weight: float = 1.0, lookahead: int = 20, max_expansions: int = 250_000, adaptive: bool = True, margin: float = 1.0, stride: int = 1) -> None:
         if width < 1 or max_expansions < 1 or lookahead < 0 or weight < 0 or stride < 1:
             raise ValueError("beam parameters out of range")
         self.width, self.weight, self.lookahead, self.limit = width, weight, lookahead, max_expansions
@@ -266,17 +264,20 @@ class Beam:
         bag.subtract(Counter(h[t : t + k]))
         return max(rest, -(-sum(map(abs, bag.values())) // 2))
 
-    def _steps(self, a: list[str], b: list[str], h: list[str], s: tuple[int, int, int]):
+    @staticmethod
+    def _steps(a: list[str], b: list[str], h: list[str], s: tuple[int, int, int]):
+        """The states one edit away with its cost: words that meet, a word too many, a word left out."""
         i, j, t = s
-        for word, to in ((a[i] if i < len(a) else None, (i + 1, j, t + 1)), (b[j] if j < len(b) else None, (i, j + 1, t + 1))):
-            if word is not None and t < len(h):
-                yield (to, 0, self.MATCH) if word == h[t] else (to, 1, self.SUB)
         if t < len(h):
-            yield (i, j, t + 1), 1, self.GAP
+            if i < len(a):
+                yield (i + 1, j, t + 1), a[i] != h[t]
+            if j < len(b):
+                yield (i, j + 1, t + 1), b[j] != h[t]
+            yield (i, j, t + 1), 1
         if i < len(a):
-            yield (i + 1, j, t), 1, self.GAP
+            yield (i + 1, j, t), 1
         if j < len(b):
-            yield (i, j + 1, t), 1, self.GAP
+            yield (i, j + 1, t), 1
 
     def _thin(self, ranked: list[tuple], width: int) -> list[tuple]:
         if len(ranked) <= width:
@@ -295,33 +296,29 @@ class Beam:
         return out
 
     def _pass(self, a: list[str], b: list[str], h: list[str], width: int) -> float:
-        goal, most = (len(a), len(b), len(h)), 2 * width
-        known: dict[tuple, int] = {}
-        frontier: dict[tuple, tuple[int, int]] = {(0, 0, 0): (0, self.MATCH)}
-        spent = 0
-        while frontier and any(s != goal for s in frontier) and spent < self.limit:
-            nxt: dict[tuple, tuple[int, int]] = {}
-            for s, (cost, _) in frontier.items():
-                moves = [(s, 0, self.DONE)] if s == goal else self._steps(a, b, h, s)
-                spent += s != goal
-                for to, add, rank in moves:
-                    got = (cost + add, rank)
-                    if to not in nxt or got < nxt[to]:
-                        nxt[to] = got
+        goal, most, far = (len(a), len(b), len(h)), 2 * width, float("inf")
+        least, estimate = {(0, 0, 0): 0}, {}
+        frontier, spent = [(0, 0, 0)], 0
+        while spent < self.limit and any(s != goal for s in frontier):
+            reached: dict[tuple, None] = {}
+            for s, so_far in [(s, least[s]) for s in frontier]:
+                if s == goal:
+                    reached[s] = None
+                    continue
+                for to, cost in self._steps(a, b, h, s):
+                    reached[to] = None
+                    least[to] = min(least.get(to, far), so_far + cost)
+                spent += 1
                 if spent >= self.limit:
                     break
-            ranked = []
-            for s, (cost, rank) in nxt.items():
-                if s not in known:
-                    known[s] = self._estimate(a, b, h, s)
-                ranked.append(((cost + self.weight * known[s], cost, -sum(s)), s, rank))
-            ranked.sort(key=lambda x: x[0])
-            keep = width
-            if self.adaptive and ranked:
-                near = sum(x[0][0] - ranked[0][0][0] <= self.margin for x in ranked[: 2 * most])
-                keep = most if near >= max(4, width // 2) else width
-            frontier = {s: (k[1], rank) for k, s, rank in self._thin(ranked, keep)}
-        return float(frontier[goal][0]) if goal in frontier else float("inf")
+            for s in reached:
+                if s not in estimate:
+                    estimate[s] = self._estimate(a, b, h, s)
+            ranked = sorted((((least[s] + self.weight * estimate[s], least[s], -sum(s)), s) for s in reached), key=lambda x: x[0])
+            near = sum(x[0][0] <= ranked[0][0][0] + self.margin for x in ranked[: 2 * most])
+            wide = self.adaptive and near >= max(4, width // 2)
+            frontier = [s for _, s in self._thin(ranked, most if wide else width)]
+        return float(least.get(goal, far))
 
     def distance(self, a: list[str], b: list[str], h: list[str]) -> float:
         """The better of a pass from the front and a narrower one over the reversed streams."""
