@@ -113,7 +113,7 @@ def test_mentions_on_held_out_lines(people):
 
 def test_mentions_cases(spark, people):
     text = "Contact: Tarwynd Quellby <osvin.x@mail.example.com>\nPhone: +44 7700 900 123. \U0001f600 Mail tarnuth​1@asr.test or write to 7 Alder Way, Fennaby. The passport 666-18-6426 is audible."
-    docs = [(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "  \n ", "x"), (5, "Pinned meeteval@0.4.2 for clip mix_0000001_0.14_2_-5_T at 14:02, version 1.2.3", "x"), (6, "word " * 60_000, "x"), (7, text, "x"), (None, text, "x")]
+    docs = [(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "  \n ", "x"), (5, "Pinned scorelib@0.4.2 for clip mix_0000001_0.14_2_-5_T at 14:02, version 1.2.3", "x"), (6, "word " * 60_000, "x"), (7, text, "x"), (None, text, "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, kind string")
     names = spark.createDataFrame([(g, "given") for g in people[0]] + [(s, "surname") for s in people[1]] + [(None, "given")], "person_name string, name_kind string")
     got = sorted(tuple(r) for r in pii.mentions(df, names).collect())

@@ -31,23 +31,15 @@ class Crf:
         n = len(self.index)
         w, trans, first = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
         gw, gt, gf = np.full((n, k), 1e-2), np.full((k, k), 1e-2), np.full(k, 1e-2)
-        data = [([np.array([self.index[f] for f in feats]) for feats in rows], np.array(y)) for rows, y in table]
+        by_size = sorted(range(len(table)), key=lambda i: len(table[i][1]))
+        groups = [self._batch([table[i] for i in by_size[at : at + batch]]) for at in range(0, len(by_size), batch)]
         rng = np.random.default_rng(seed)
-        by_size = sorted(range(len(data)), key=lambda i: len(data[i][1]))
-        groups = [by_size[i : i + batch] for i in range(0, len(by_size), batch)]
         for _ in range(epochs):
             for g in rng.permutation(len(groups)):
-                part = [data[i] for i in groups[g]]
-                b, t = len(part), max(len(y) for _, y in part)
-                mask, y = np.zeros((b, t), dtype=bool), np.zeros((b, t), dtype=int)
-                flat, owner = [], []
-                for r, (rows, lab) in enumerate(part):
-                    mask[r, : len(lab)], y[r, : len(lab)] = True, lab
-                    for c, ids in enumerate(rows):
-                        flat.append(ids)
-                        owner.append(np.full(len(ids), r * t + c))
-                ids, owner = np.concatenate(flat), np.concatenate(owner)
-                emit = np.stack([np.bincount(owner, weights=w[ids, j], minlength=b * t) for j in range(k)], axis=1).reshape(b, t, k)
+                mask, y, owner, rows, where = groups[g]
+                b, t = mask.shape
+                own = w[rows]
+                emit = np.stack([np.bincount(owner, weights=own[where, j], minlength=b * t) for j in range(k)], axis=1).reshape(b, t, k)
                 p, pair = self._marginals(emit, mask, trans, first)
                 ge = -p
                 ge[np.arange(b)[:, None], np.arange(t)[None, :], y] += 1
@@ -57,17 +49,30 @@ class Crf:
                 gtr = -pair
                 np.add.at(gtr, (y[:, :-1][both], y[:, 1:][both]), 1)
                 gfi = np.bincount(y[:, 0], minlength=k) - p[:, 0].sum(axis=0)
-                rows_ = np.unique(ids)
-                where = np.searchsorted(rows_, ids)
-                gr = np.stack([np.bincount(where, weights=ge[owner, j], minlength=len(rows_)) for j in range(k)], axis=1) - decay * b * w[rows_]
-                gw[rows_] += gr**2
-                w[rows_] += rate * gr / np.sqrt(gw[rows_])
+                gr = np.stack([np.bincount(where, weights=ge[owner, j], minlength=len(rows)) for j in range(k)], axis=1) - decay * b * own
+                gw[rows] += gr**2
+                w[rows] = own + rate * gr / np.sqrt(gw[rows])
                 gt += gtr**2
                 trans += rate * gtr / np.sqrt(gt)
                 gf += gfi**2
                 first += rate * gfi / np.sqrt(gf)
         self.weight, self.trans, self.first = w, trans, first
 
+    def _batch(self, part: list[tuple[list[list[str]], list[int]]]) -> tuple[np.ndarray, ...]:
+        """Mask and labels of a batch, and for each feature of each token the token's place and the feature's row."""
+        b, t = len(part), max(len(y) for _, y in part)
+        mask, y = np.zeros((b, t), dtype=bool), np.zeros((b, t), dtype=int)
+        ids: list[int] = []
+        at, size = [], []
+        for r, (rows, lab) in enumerate(part):
+            mask[r, : len(lab)], y[r, : len(lab)] = True, lab
+            for c, feats in enumerate(rows):
+                ids += [self.index[f] for f in feats]
+                at.append(r * t + c)
+                size.append(len(feats))
+        rows, where = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+        return mask, y, np.repeat(at, size), rows, where
+
     @staticmethod
     def _marginals(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b, t, k = emit.shape

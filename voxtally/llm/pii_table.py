@@ -30,7 +30,7 @@ if {N} is uneasy then leave a borrowed violin by the cold stove.|nobody knew why
 they hid the maps twice and {N} laughed.|after that {N} grew angry and went home.|i think {N} should have opened the garden gate sooner.|{N} was lost and weighed a crate of pears.|The oar stood at the crossroads until {N} came back.|It took 46 minutes before {N} moved the coats.|There was a box of letters and {N} looked pleased.
 I ordered the coats with {N} before sunrise.|Please tell {N} that the tin whistle is over the hill""".replace("\n", "|").split("|")
 
-WITHOUT = """Measured on 2026-03-{d} between 14:02 and 15:30.|The meadow set has an amber marker on line {d}.|Lane {d} of the plate was empty.|Pinned meeteval@0.4.{d} for this batch.|Seed 20260{d}24 gives the same sample.|Ticket #48{d}013 is still open.
+WITHOUT = """Measured on 2026-03-{d} between 14:02 and 15:30.|The meadow set has an amber marker on line {d}.|Lane {d} of the plate was empty.|Pinned scorelib@0.4.{d} for this batch.|Seed 20260{d}24 gives the same sample.|Ticket #48{d}013 is still open.
 Granite and Parakeet disagree on channel {d}.|The {X} Street recordings, set {d}, are fine.|Room {S} Hall {d} has too much echo.|The @asr_model decorator hides the exception.|We use the {X} corpus, release {d}.|wer@top{d} is reported too.
 Version 1.20.{d}-555 of the mixer|checksum 9f0c-33a1-{d}c7-00de|call number {d} in the queue was silent|max_expansions=16000{d} and lookahead 16|ratio 0.1402 : 0.39{d}|she said double {d} and nothing else|Start 00:14:{d}.6, end 00:15:40.0
 {d} Speaker files were lost on drive {d}.|{d} @ 16 kHz, take {d}|segment S0{d}-000-12 has no end|clip mix_00{d}104_0.14_2_-5_T was skipped|0.14_2_-5_T,0.20_2_None_D,1234567890123456789|1 2 3 10 100 1000 10000 3.14159
