@@ -209,3 +209,41 @@ def test_labels_contain(spark):
     by = {(n[0], n[5]): n for n in nodes}
     inside = lambda x, y: y[1] < x[1] and y[2] > x[2]
     assert inside(by["b", "b"], by["i", "1"]) and inside(by["i", "0"], by["a", "a"]) and not inside(by["b", "b"], by["i", "0"])
+
+
+def scalars(x, key=""):
+    """(key, text) of every scalar but null."""
+    if isinstance(x, dict):
+        for k, v in x.items():
+            yield from scalars(v, k)
+    elif isinstance(x, list):
+        for i, v in enumerate(x):
+            yield from scalars(v, str(i))
+    elif x is not None:
+        yield key, x if isinstance(x, str) else json.dumps(x)
+
+
+def test_node_tables_hold_every_scalar(spark):
+    def read(name):
+        return [tuple(r) for r in spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").select("record_id", "payload").collect()]
+
+    segment = '{"speaker": "s", "text": "t u", "start": 0.5, "end": 1, "words": [{"word": "t", "at": [1, 2]}, "u"]}'
+    tr = [*read("mixture_transcription"), (-1, f'{{"clip_id": "c", "transcript": {{"o": {{"segments": [{segment}, null], "lang": "en"}}, "l": [{segment}, ["s", "v", 1, 2]], "w": "whole", "n": null, "r": {{"segments": "no"}}}}, "host_info": {{"a": {{"b": true}}}}}}')]
+    tr += [(-2, '["only", {"x": 1}]'), (-3, '"bare"'), (-4, '{"transcript": {"m": ["\\ud800"]}}')]
+    fi = [*read("wer_result_files"), (-1, '{"model": "m", "summary": {"n": [1, {"k": false}]}, "timestamp": "z", "results": [null, "odd", {"clip_id": "c", "error": "e", "metrics": {"wer": 0.5, "cpwer": {"value": 1}}, "alignment": [{"op": "sub", "at": [1, 2]}, "ins"]}, {"metrics": [3], "alignment": "no"}]}')]
+    a, b = (spark.createDataFrame(x, "record_id long, payload string") for x in (tr, fi))
+    ours, files = {"record", *nested.TRANSCRIPTION_PARENTS}, {"file", *nested.RESULT_FILE_PARENTS}
+    rows = nested.all_nodes(a, b).collect()
+    for names, src in ((ours, tr), (files, fi)):
+        got = Counter((r.record_id, r.node_key, r.value) for r in rows if r.node_type in names and r.value is not None and (r.node_type != "segment" or r.parent_kind != "string"))
+        assert got == Counter((i, k, v.replace("\ud800", "\ufffd")) for i, p in src if p for k, v in scalars(json.loads(p)))
+    # each child lies in the parent it names, and segments, metric values and steps are those of p5_found
+    at = {(r.node_type, r.record_id, r.pre): r for r in rows}
+    for r in rows:
+        up = (nested.TRANSCRIPTION_PARENTS | nested.RESULT_FILE_PARENTS).get(r.node_type)
+        p = at[up, r.record_id, r.parent_pre] if up else None
+        assert (p is None and r.parent_key is None) or (p.pre <= r.pre and p.post >= r.post and p.node_key == r.parent_key)
+    got = Counter((r.node_type, r.record_id, r.parent_key, r.node_key) for r in rows if r.node_type == "op" or (r.node_type in ("segment", "metric") and r.kind != "null"))
+    assert got == plain_links(tr, fi)
+    words = [(r.parent_key, r.node_key, r.value) for r in rows if r.node_type == "word" and r.record_id == -1]
+    assert sorted(words, key=str) == [("0", "0", None), ("0", "0", None), ("0", "1", "u"), ("0", "1", "u")]

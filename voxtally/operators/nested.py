@@ -3,7 +3,8 @@
 Every node of a record gets a pre-order and a post-order number by one depth-first walk. A node A contains a node B
 of the same record exactly if A.pre < B.pre and A.post > B.post. Nodes are emitted as one table with a type per node
 (a path pattern); tables of a type are selections of it and are linked by containment, so no path has to be parsed
-again and no key has to be unique.
+again and no key has to be unique. What no pattern names belongs to the field table of the nearest named node above it,
+so every scalar of a payload is in exactly one table.
 
 Defined results: null payloads and payloads that are no JSON give no nodes; of a member named twice the last counts;
 empty tables give empty tables; extra columns are ignored. The numbers restart with each record, hence a record
@@ -41,6 +42,11 @@ def _kind(x: object) -> str:
     return {dict: "object", list: "array", str: "string"}.get(type(x), "number")
 
 
+def _text(x: str) -> str:
+    """x with lone surrogates, which JSON can hold but no Arrow string, replaced by U+FFFD."""
+    return x if x.isascii() else x.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def _trie(types: list[tuple[str, tuple]]) -> dict:
     root: dict = {}
     for name, path in types:
@@ -51,13 +57,17 @@ def _trie(types: list[tuple[str, tuple]]) -> dict:
     return root
 
 
-def walk(root: object, trie: dict) -> list[tuple]:
-    """(type, pre, post, depth, kind, key, value) of each node that a pattern names. Iterative, whatever the depth."""
+def walk(root: object, trie: dict, rest: dict[str, str] | None = None) -> list[tuple]:
+    """(type, pre, post, depth, kind, key, value) of each node that a pattern names. Iterative, whatever the depth.
+
+    rest gives the type of the unnamed nodes below a node of a named type; without it they are left out.
+    """
     out: list[list] = []
     pre = post = 0
-    stack: list[tuple] = [(root, "", (trie,), 0, None)]
+    rest = rest or {}
+    stack: list[tuple] = [(root, "", (trie,), 0, None, None)]
     while stack:
-        node, key, at, depth, leaving = stack.pop()
+        node, key, at, depth, leaving, below_type = stack.pop()
         if leaving is not None:
             if leaving >= 0:
                 out[leaving][2] = post
@@ -65,13 +75,14 @@ def walk(root: object, trie: dict) -> list[tuple]:
             continue
         kind = _kind(node)
         name = next((t[None] for t in at if None in t), None)
+        below_type, name = rest.get(name, below_type), name or below_type
         slot = -1
         if name is not None:
-            value = node if kind == "string" else None if kind in ("null", "object", "array") else json.dumps(node)
+            value = _text(node) if kind == "string" else None if kind in ("null", "object", "array") else json.dumps(node)
             slot = len(out)
-            out.append([name, pre, 0, depth, kind, key, value])
+            out.append([name, pre, 0, depth, kind, _text(key), value])
         pre += 1
-        stack.append((None, "", (), depth, slot))
+        stack.append((None, "", (), depth, slot, None))
         if kind == "object":
             children = [(v, k, tuple(t[p] for t in at for p in (k, KEY) if p in t)) for k, v in node.items()]
         elif kind == "array":
@@ -80,12 +91,12 @@ def walk(root: object, trie: dict) -> list[tuple]:
         else:
             continue
         for v, k, below in reversed(children):
-            stack.append((v, k, below, depth + 1, None))
+            stack.append((v, k, below, depth + 1, None, below_type))
     return [tuple(x) for x in out]
 
 
-def label(df: DataFrame, id_col: str, payload_col: str, types: list[tuple[str, tuple]]) -> DataFrame:
-    """The typed nodes of every record."""
+def label(df: DataFrame, id_col: str, payload_col: str, types: list[tuple[str, tuple]], rest: dict[str, str] | None = None) -> DataFrame:
+    """The typed nodes of every record; rest as in walk."""
     names = NODE_SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +108,7 @@ def label(df: DataFrame, id_col: str, payload_col: str, types: list[tuple[str, t
                     root = json.loads(payload)
                 except (TypeError, ValueError, RecursionError):
                     continue
-                rows += [(rid, *x) for x in walk(root, trie)]
+                rows += [(rid, *x) for x in walk(root, trie, rest)]
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -124,20 +135,40 @@ def contained(nodes: DataFrame, parent: str, child: str) -> DataFrame:
     )
 
 
+def linked(nodes: DataFrame, parents: dict[str, str]) -> DataFrame:
+    """Every node with parent_pre, parent_key and parent_kind of the node of the type parents[node_type] that holds it.
+
+    As contained(), for all types in one window; nodes of a type without a parent have nulls there.
+    """
+    w = Window.partitionBy("record_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    ups = sorted(set(parents.values()))
+    last = lambda p: F.last(F.when(F.col("node_type") == p, F.struct("pre", "post", F.col("node_key").alias("key"), "kind")), ignorenulls=True).over(w)
+    tagged = nodes.select("*", *[last(p).alias(f"up_{p}") for p in ups])
+    up = F.coalesce(*[F.when(F.col("node_type").isin(*[c for c, q in parents.items() if q == p]), F.col(f"up_{p}")) for p in ups])
+    return tagged.withColumn("up", up).where(~F.col("node_type").isin(*parents) | (F.col("up.post") > F.col("post"))).select(
+        *nodes.columns, F.col("up.pre").alias("parent_pre"), F.col("up.key").alias("parent_key"), F.col("up.kind").alias("parent_kind")
+    )
+
+
 # -- the project's two record shapes ----------------------------------------------------------------------------------
 
 TRANSCRIPTION = [
+    ("record", ()),
     ("model", ("transcript", KEY)),
     ("segment", ("transcript", KEY, INDEX)),
     ("segment", ("transcript", KEY, "segments", INDEX)),
+    ("word", ("transcript", KEY, INDEX, "words", INDEX)),
+    ("word", ("transcript", KEY, "segments", INDEX, "words", INDEX)),
 ]
 RESULT_FILE = [
+    ("file", ()),
     ("result", ("results", INDEX)),
     ("metric", ("results", INDEX, "metrics", KEY)),
     ("op", ("results", INDEX, "alignment", INDEX)),
-    ("op_field", ("results", INDEX, "alignment", INDEX, KEY)),
-    ("result_field", ("results", INDEX, KEY)),
 ]
+#: The parent's type of each type; a type with _field holds whatever else lies below its parent, at any depth.
+TRANSCRIPTION_PARENTS = {"record_field": "record", "model": "record", "model_field": "model", "segment": "model", "segment_field": "segment", "word": "segment", "word_field": "word"}
+RESULT_FILE_PARENTS = {"file_field": "file", "result": "file", "result_field": "result", "metric": "result", "metric_field": "metric", "op": "result", "op_field": "op"}
 
 
 def segments_of(value: object) -> list:
@@ -162,7 +193,7 @@ def segment_text(element: object) -> str:
 
 def links(transcription: DataFrame, result_files: DataFrame) -> DataFrame:
     """kind, record_id, parent_key, child_key of segments, metric values and alignment steps."""
-    t = label(transcription, "record_id", "payload", TRANSCRIPTION)
+    t = label(transcription, "record_id", "payload", [x for x in TRANSCRIPTION if x[0] in ("model", "segment")])
     seg = contained(t, "model", "segment").where("kind <> 'null'").select("record_id", "parent_key", F.col("node_key").alias("child_key"))
     whole = t.where("node_type = 'model' and kind = 'string'").select("record_id", F.col("node_key").alias("parent_key"), F.lit("0").alias("child_key"))
     r = label(result_files, "record_id", "payload", [x for x in RESULT_FILE if x[0] in ("result", "metric", "op")])
@@ -175,15 +206,27 @@ def links(transcription: DataFrame, result_files: DataFrame) -> DataFrame:
     return out
 
 
+def all_nodes(transcription: DataFrame, result_files: DataFrame) -> DataFrame:
+    """Every node of both tables, each with its type and the interval label of its parent.
+
+    A model whose value is a string has a segment at position 0 that shares the model's label.
+    """
+    types = lambda parents: {p: f"{p}_field" for p in parents.values()}
+    t = linked(label(transcription, "record_id", "payload", TRANSCRIPTION, types(TRANSCRIPTION_PARENTS)), TRANSCRIPTION_PARENTS)
+    r = linked(label(result_files, "record_id", "payload", RESULT_FILE, types(RESULT_FILE_PARENTS)), RESULT_FILE_PARENTS)
+    whole = (F.col("node_type") == "model") & (F.col("kind") == "string")
+    t = t.withColumn("as", F.explode(F.when(whole, F.array(F.lit("model"), F.lit("segment"))).otherwise(F.array("node_type"))))
+    extra = whole & (F.col("as") == "segment")
+    either = lambda a, b: F.when(extra, a).otherwise(F.col(b)).alias(b)
+    t = t.select(
+        "record_id", F.col("as").alias("node_type"), "pre", "post", "depth", "kind", either(F.lit("0"), "node_key"), "value",
+        either(F.col("pre"), "parent_pre"), either(F.col("node_key"), "parent_key"), either(F.col("kind"), "parent_kind"),
+    )
+    return t.unionByName(r)
+
+
 def tables(transcription: DataFrame, result_files: DataFrame) -> dict[str, DataFrame]:
-    """The node tables: model, segment, result, metric, op, each row with the interval label of its parent."""
-    t = label(transcription, "record_id", "payload", TRANSCRIPTION)
-    r = label(result_files, "record_id", "payload", RESULT_FILE)
-    return {
-        "model": t.where("node_type = 'model'").drop("node_type"),
-        "segment": contained(t, "model", "segment"),
-        "result": r.where("node_type = 'result'").drop("node_type"),
-        "metric": contained(r, "result", "metric"),
-        "op": contained(r, "result", "op"),
-        "op_field": contained(r, "op", "op_field"),
-    }
+    """The node tables by type, each row with the interval label of its parent; record and file rows have none."""
+    nodes = all_nodes(transcription, result_files)
+    names = ["record", *TRANSCRIPTION_PARENTS, "file", *RESULT_FILE_PARENTS]
+    return {name: nodes.where(F.col("node_type") == name).drop("node_type") for name in names}

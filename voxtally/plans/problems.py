@@ -29,12 +29,8 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_nodes(spark: SparkSession, base: str) -> DataFrame:
     """All node tables one below the other, each row with the label of its parent."""
-    parts = nested.tables(table(spark, base, "mixture_transcription"), table(spark, base, "wer_result_files"))
-    out = None
-    for name, df in parts.items():
-        one = df.select(F.lit(name).alias("node_type"), *df.columns)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    nodes = nested.all_nodes(table(spark, base, "mixture_transcription"), table(spark, base, "wer_result_files"))
+    return nodes.select("node_type", *[c for c in nodes.columns if c != "node_type"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
