@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtally.operators import frames, ranking, segment, stats, summary
-from voxtally.plans import registry
+from voxtally.plans import registry, reports
 
 
 def cell(v):
@@ -129,3 +129,32 @@ def test_frames_on_empty_and_null(spark, base):
     assert frames.clip_scores(res.limit(0)).count() == 0
     assert summary.model_totals(frames.clip_scores(res.limit(0))).count() == 0
     assert summary.duplicates(frames.clip_scores(res.limit(0)), ["clip_id"]).first().n_rows == 0
+
+
+def test_published_number_of_draws(spark, base):
+    rows = reports._hypotheses(spark, base, tests=True).collect()
+    res = frames.successful(reports.scores(spark, base)).where("mrs_wer is not null and wer is not null and overlap_ratio is not null and model is not null")
+    d = res.select("overlap_ratio", "model", (F.col("mrs_wer") - F.col("wer")).alias("d")).toPandas().query("d == d")
+    assert rows and min(r.p for r in rows) < 1 / 41  # the least p of 40 permutations
+    for r in rows:
+        x = d[((d.overlap_ratio.abs() <= 1e-8) == (r.scope == "non_overlap")) & ((d.model == r.model) | (r.model == "all_models"))].d.to_numpy()
+        p = stats.permutation_exact_order(x, 10_000, 7, "less" if r.scope == "overlap" else "two-sided")
+        assert abs(r.p - p) <= 6 * math.sqrt(2 * max(p, 1e-3) / 10_000)
+        g = np.random.default_rng(3)
+        m = np.concatenate([x[g.integers(0, len(x), (500, len(x)))].mean(axis=1) for _ in range(20)])
+        sd = m.std()
+        assert np.abs(np.percentile(m, [2.5, 97.5]) - [r.ci_low, r.ci_high]).max() < 0.2 * sd + 1e-9
+    assert min(r.draws for r in reports.bootstrap_ci(spark, base).collect()) > 9_990  # a group of n rows has none of them in a share exp(-n) of draws
+    assert {r.permutations for r in reports.sign_flip_full(spark, base).collect()} == {10_000}
+
+
+def test_draws_do_not_depend_on_the_partitioning(spark):
+    g = np.random.default_rng(5)
+    w = stats.poisson_weights(g.integers(0, 2**63, 400).astype(np.uint64), 5_000)
+    share = np.bincount(w.ravel(), minlength=8)[:7] / w.size
+    assert np.abs(share - [math.exp(-1) / math.factorial(k) for k in range(7)]).max() < 2e-3
+    rows = [(k, i, float(x)) for i, x in enumerate(g.normal(0.1, 1, 90)) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "k string, i int, d double")
+    one, many = ([tuple(r) for r in stats.flip_test(stats.flip_sums(x, ["k"], "i", "d", 1_000), ["k"]).orderBy("k").collect()] for x in (df.coalesce(1), df.repartition(7)))
+    assert len(one) == 2 and one[0][1:3] == (90, 1_000)
+    assert [x[1:] for x in one] == [pytest.approx(x[1:]) for x in many]

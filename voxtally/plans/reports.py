@@ -470,9 +470,16 @@ def sign_flip(spark, base):
     return rounded(stats.sign_flip(rows, ["model"], "result_id", "d", N_PERM))
 
 
+@query()
+def sign_flip_full(spark, base):
+    """sign_flip with the published number of permutations; sign_flip itself keeps the draws that its SQL states."""
+    rows = frames.successful(scores(spark, base)).withColumn("d", F.col("mrs_wer") - F.col("wer"))
+    return rounded(stats.flip_test(stats.flip_sums(rows, ["model"], "result_id", "d"), ["model"]))
+
+
 @query()
 def bootstrap_ci(spark, base):
-    return rounded(stats.bootstrap(frames.successful(scores(spark, base)), ["model"], "result_id", "wer", 40))
+    return rounded(stats.bootstrap(frames.successful(scores(spark, base)), ["model"], "result_id", "wer"))
 
 
 @query(
@@ -559,7 +566,7 @@ def hypothesis_table(spark, base):
     return rounded(_hypotheses(spark, base, tests=False))
 
 
-def _hypotheses(spark, base, tests: bool, permutations: int = 40) -> DataFrame:
+def _hypotheses(spark, base, tests: bool) -> DataFrame:
     d = F.col("mrs_wer") - F.col("wer")
     rows = frames.successful(scores(spark, base)).where("mrs_wer is not null and wer is not null and overlap_ratio is not null and model is not null")
     rows = rows.select("result_id", F.when(F.abs("overlap_ratio") <= 1e-8, "non_overlap").otherwise("overlap").alias("scope"), "model", d.alias("d"))
@@ -569,9 +576,10 @@ def _hypotheses(spark, base, tests: bool, permutations: int = 40) -> DataFrame:
     out = out.withColumn("model", F.coalesce("model", F.lit("all_models"))).withColumn("direction", F.when(F.col("mean_diff") < -1e-3, "lower").when(F.col("mean_diff") > 1e-3, "higher").otherwise("same"))
     if not tests:
         return out
-    both = rows.select("result_id", "scope", "d", F.explode(F.array("model", F.lit("all_models"))).alias("model"))
-    p = stats.sign_flip(both, ["scope", "model"], "result_id", "d", permutations).select("scope", "model", F.when(F.col("scope") == "overlap", F.col("p_less")).otherwise(F.col("p_two")).alias("p"))
-    ci = stats.bootstrap(both, ["scope", "model"], "result_id", "d", permutations).select("scope", "model", "ci_low", "ci_high")
+    keys = ["scope", "model"]
+    both = lambda sums: sums.withColumn("model", F.explode(F.array("model", F.lit("all_models"))))
+    p = stats.flip_test(both(stats.flip_sums(rows, keys, "result_id", "d")), keys).select(*keys, F.when(F.col("scope") == "overlap", F.col("p_less")).otherwise(F.col("p_two")).alias("p"))
+    ci = stats.bootstrap_interval(both(stats.bootstrap_sums(rows, keys, "result_id", "d")), keys).select(*keys, "ci_low", "ci_high")
     out = out.join(p, ["scope", "model"]).join(ci, ["scope", "model"])
     return out.withColumn("decision", F.when((F.col("p") < 0.05) & (F.col("direction") != "same"), "different").otherwise("not shown"))
 
