@@ -158,3 +158,21 @@ def test_draws_do_not_depend_on_the_partitioning(spark):
     one, many = ([tuple(r) for r in stats.flip_test(stats.flip_sums(x, ["k"], "i", "d", 1_000), ["k"]).orderBy("k").collect()] for x in (df.coalesce(1), df.repartition(7)))
     assert len(one) == 2 and one[0][1:3] == (90, 1_000)
     assert [x[1:] for x in one] == [pytest.approx(x[1:]) for x in many]
+
+
+def test_surface_fit_of_rows_and_conditions(spark):
+    g = np.random.default_rng(2)
+    rows = [(o, z, f"l{z}", 0.1 + o - 0.3 * z + float(e)) for o in (0.0, 0.2, 0.4) for z in (0.0, 0.4, 1.0) for e in g.normal(0, 0.1, 3 + int(10 * o))]
+    df = spark.createDataFrame([*rows, (0.2, 1.0, "l1.0", None), (None, 1.0, "l1.0", 0.3)], "o double, z double, l string, y double")
+    got = stats.surface(df, "o", F.col("z"), "y", ["l"]).first()
+    o, z, y = (np.array([r[i] for r in rows]) for i in (0, 1, 3))
+    design = lambda o, z: np.column_stack([np.ones(len(o)), o, z, o * z])
+    beta = np.linalg.lstsq(design(o, z), y, rcond=None)[0]
+    c = pd.DataFrame(rows, columns=["o", "z", "l", "y"]).groupby(["o", "l", "z"], as_index=False).y.mean()
+    for prefix, (a, b, v) in (("", (o, z, y)), ("condition_", (c.o.to_numpy(), c.z.to_numpy(), c.y.to_numpy()))):
+        e = v - design(a, b) @ beta
+        want = (len(v), 1 - (e**2).sum() / ((v - v.mean()) ** 2).sum(), np.abs(e).mean(), math.sqrt((e**2).mean()))
+        assert tuple(got[prefix + k] for k in ("n", "r2", "mae", "rmse")) == pytest.approx(want)
+    assert got.n == len(rows) and got.condition_n == 9
+    none = stats.surface(df.limit(0), "o", F.col("z"), "y", ["l"]).first()
+    assert none.n == none.condition_n == 0 and math.isnan(none.mae)

@@ -329,11 +329,20 @@ def least_squares(df: DataFrame, x: dict[str, Column], y: str) -> tuple[list[str
     return names, beta, {"n": n, "r2": 1 - rss / tss if tss else float("nan"), "rmse": math.sqrt(max(0.0, rss) / n) if n else float("nan")}
 
 
-def surface(df: DataFrame, ovr: str, z: Column, y: str) -> DataFrame:
-    """term, estimate, r2, rmse of y ~ 1 + ovr + z + ovr * z."""
-    rows = df.select(F.col(ovr).alias("ovr"), z.alias("z"), F.col(y).alias("y"))
+def surface(df: DataFrame, ovr: str, z: Column, y: str, condition: list[str] | None = None) -> DataFrame:
+    """term, estimate and the fit of y ~ 1 + ovr + z + ovr * z: n, r2, mae, rmse over the rows, and the same with the
+    prefix condition_ of the same coefficients over the means per ovr, z and the condition columns (none of them null)."""
+    condition = condition or []
+    rows = df.select(*condition, F.col(ovr).cast("double").alias("ovr"), z.cast("double").alias("z"), F.col(y).cast("double").alias("y")).dropna(subset=["ovr", "z", "y"])
     names, beta, fit = least_squares(rows, {"ovr": F.col("ovr"), "z": F.col("z"), "ovr_z": F.col("ovr") * F.col("z")}, "y")
-    return df.sparkSession.createDataFrame([(n, float(b), int(fit["n"]), float(fit["r2"]), float(fit["rmse"])) for n, b in zip(names, beta)], "term string, estimate double, n long, r2 double, rmse double")
+    e = F.col("y") - sum((F.lit(float(b)) * c for b, c in zip(beta[1:], (F.col("ovr"), F.col("z"), F.col("ovr") * F.col("z")))), F.lit(float(beta[0])))
+    means = rows.dropna(subset=["ovr", "z", *condition]).groupBy("ovr", "z", *condition).agg(F.avg("y").alias("y"))
+    mae = rows.agg(F.avg(F.abs(e))).first()[0]
+    m = means.agg(F.count("y").alias("n"), (1 - F.try_divide(F.avg(e * e), F.var_pop("y"))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).first()
+    real = lambda v: float("nan") if v is None else float(v)
+    fits = (int(fit["n"]), real(fit["r2"]), real(mae), real(fit["rmse"]), int(m.n), real(m.r2), real(m.mae), real(m.rmse))
+    one = "{0}n long, {0}r2 double, {0}mae double, {0}rmse double"
+    return df.sparkSession.createDataFrame([(n, float(b), *fits) for n, b in zip(names, beta)], f"term string, estimate double, {one.format('')}, {one.format('condition_')}")
 
 
 def baseline_delta(df: DataFrame, keys: list[str], level: str, base: str | None, value: str) -> DataFrame:

@@ -514,7 +514,7 @@ def partial_eta(spark, base):
 @query()
 def wer_surface(spark, base):
     rows = frames.successful(scores(spark, base)).where("overlap_ratio is not null")
-    return rounded(stats.surface(rows, "overlap_ratio", clip.snr_amplitude(F.col("snr_db")), "wer"))
+    return rounded(stats.surface(rows, "overlap_ratio", clip.snr_amplitude(F.col("snr_db")), "wer", ["snr_label"]))
 
 
 @query(S + "SELECT round(regr_slope(wer, overlap_ratio), 6) AS slope, round(regr_intercept(wer, overlap_ratio), 6) AS intercept, round(regr_r2(wer, overlap_ratio), 6) AS r2, regr_count(wer, overlap_ratio)::BIGINT AS n FROM ok")
