@@ -144,3 +144,15 @@ def test_crf_marginals_and_viterbi():
         for k in range(3):
             assert abs(p[0, i, k] - sum(x for x, q in zip(w, paths) if q[i] == k)) < 1e-9
     assert abs(pair.sum() - 4) < 1e-9
+
+
+def test_share_of_every_text(spark, base):
+    from voxtally.llm import queries, repetition
+
+    w = spark.createDataFrame([(1, "m", "a b c d e " * 4), (2, None, "short text"), (3, "m", None), (4, "m", "...")], "example_id long, model string, hypothesis string")
+    t = spark.createDataFrame([(1, '{"transcript": {"m": [["s", "a b c"], ["s", "d e a b c d e"]], "n": null}}'), (2, "{")], "record_id long, payload string")
+    got = {(r.text_source[0], r.row_id, r.model): (r.n_words, r.n_repeated, r.share) for r in repetition.shares(w, t).collect()}
+    assert got == {("h", 1, "m"): (20, 15, 0.75), ("h", 2, None): (2, 0, 0.0), ("h", 3, "m"): (0, 0, 0.0), ("h", 4, "m"): (0, 0, 0.0), ("t", 1, "m"): (10, 5, 0.5), ("t", 1, "n"): (0, 0, 0.0)}
+    rows = queries.QUERIES["p6_shares"](spark, base).collect()
+    cases = sorted((r.text_source, r.row_id, str(r.model)) for r in rows if r.n_words >= 20 and r.n_repeated * 5 >= r.n_words * 2)
+    assert cases == sorted((r.text_source, r.row_id, str(r.model)) for r in queries.p6_found(spark, base).collect())

@@ -24,6 +24,10 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return repetition.looping_texts(table(spark, base, "worst_wer_examples"), table(spark, base, "mixture_transcription"))
 
 
+def p6_shares(spark: SparkSession, base: str) -> DataFrame:
+    return repetition.shares(table(spark, base, "worst_wer_examples"), table(spark, base, "mixture_transcription"))
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_documents(table(spark, base, "documents"))
 
@@ -41,7 +45,7 @@ def p9_masked(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p6_found": p6_found, "p7_ids": p7_ids,
+    "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p6_found": p6_found, "p6_shares": p6_shares, "p7_ids": p7_ids,
     "p8_found": p8_found, "p9_found": p9_found, "p9_masked": p9_masked,
 }
 

@@ -4,7 +4,7 @@ Each text gives a vector: the share of repeated words (in five-word windows seen
 root), words per distinct word (logarithm) and the greatest count of one window (logarithm). Per stratum (source and
 model, the project's stand-ins for language and source) centre and scatter come from the minimum covariance
 determinant: from medians and absolute deviations, concentration steps keep the half-sample nearest by Mahalanobis
-distance, all as aggregations over all texts. A text is an outlier beyond the chi-square quantile.
+distance, all as aggregations over all texts of at least MIN_WORDS words. A text is an outlier beyond the chi-square quantile.
 
 The found query must hold every text with a share of at least 0.4. The least squared distance that a vector with
 that share can have in a stratum is (b - centre)**2 / variance of the share's component, so the stratum's cut is the
@@ -153,9 +153,20 @@ def outliers(texts: DataFrame, keys: list[str], id_col: str, min_share: float =
     return d.withColumn("cut", F.least(F.lit(CHI2), least * (1 - 1e-9))).where("d2 >= cut")
 
 
-def looping_texts(worst: DataFrame, transcription: DataFrame) -> DataFrame:
-    """text_source, row_id, model of texts of at least 20 words of which at least two fifths are repeated."""
+def _texts(worst: DataFrame, transcription: DataFrame) -> DataFrame:
+    """text_source, row_id, model, text of all hypotheses and transcripts."""
     hyp = worst.select(F.lit("hypothesis").alias("text_source"), F.col("example_id").alias("row_id"), "model", F.col("hypothesis").alias("text"))
     tra = transcript_texts(transcription).select(F.lit("transcript").alias("text_source"), F.col("record_id").alias("row_id"), "model", "text")
-    found = outliers(hyp.unionByName(tra), ["text_source", "model"], "row_id")
+    return hyp.unionByName(tra)
+
+
+def shares(worst: DataFrame, transcription: DataFrame) -> DataFrame:
+    """text_source, row_id, model, n_words, n_repeated, share of every text, whatever its length."""
+    t = spread(_texts(worst, transcription), "row_id").withColumn("s", text_stats("text")).select("text_source", "row_id", "model", "s.n_words", "s.n_repeated")
+    return t.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(0.0))
+
+
+def looping_texts(worst: DataFrame, transcription: DataFrame) -> DataFrame:
+    """text_source, row_id, model of texts of at least 20 words of which at least two fifths are repeated."""
+    found = outliers(_texts(worst, transcription), ["text_source", "model"], "row_id")
     return found.where(F.col("n_repeated") * 5 >= F.col("n_words") * 2).select("text_source", "row_id", "model")
