@@ -20,7 +20,7 @@ def passage(r, n):
 
 
 def plain_leak(items, docs):
-    """Edit distance of every item span of 15 to 34 words against every document span, word by word."""
+    """Edit distance of every item span of 15 words or more against every document span, word by word, without bound."""
     found = set()
     for i, it in items:
         w = leak.words(it)
@@ -29,11 +29,11 @@ def plain_leak(items, docs):
             if len(w) < 15 or not v or (i, d) in found:
                 continue
             for a in range(len(w) - 14):
-                row = [99] * (len(v) + 1)
+                row = [999] * (len(v) + 1)
                 hit = False
-                for k in range(a, min(len(w), a + 34)):
+                for k in range(a, len(w)):
                     if k == a:
-                        new = [99] + [0 if x == w[k] else 99 for x in v]
+                        new = [999] + [0 if x == w[k] else 999 for x in v]
                     else:
                         length = k - a + 1
                         if length >= 15 and any(x == w[k] and row[j] * 5 <= length for j, x in enumerate(v)):
@@ -42,7 +42,7 @@ def plain_leak(items, docs):
                         new = [row[0] + 1]
                         for j, x in enumerate(v):
                             new.append(min(row[j] + (x != w[k]), row[j + 1] + 1, new[j] + 1))
-                    row = [min(x, 99) for x in new]
+                    row = [min(x, 999) for x in new]
                 if hit:
                     found.add((d, i))
                     break
@@ -61,7 +61,7 @@ def test_leak_against_brute_force(spark):
     r = random.Random(8)
     items = [(i, " ".join(passage(r, r.choice([10, 15, 20, 40])))) for i in range(12)]
     docs = []
-    for d in range(150):
+    for d in range(80):
         ws = items[r.randrange(12)][1].split()
         n = r.choice([8, 12, 15, 16, 20, 30])
         a = r.randrange(max(1, len(ws) - n + 1))
@@ -73,14 +73,66 @@ def test_leak_against_brute_force(spark):
     it = spark.createDataFrame([*items, (99, None), (98, ""), (97, "too short")], "item_id long, text string").withColumn("doc_id", F.lit(7))
     got = [tuple(x) for x in leak.leaked(df.dropDuplicates(["doc_id"]), it).collect()]
     want = plain_leak(items, [x for x in docs if x[0] < 904])
-    assert set(got) == want and len(got) == len(set(got)) and len(want) > 30
+    assert set(got) == want and len(got) == len(set(got)) and len(want) > 15
     assert leak.leaked(df.limit(0), it).count() == leak.leaked(df, it.limit(0)).count() == 0
 
 
-def test_leak_in_blocks_gives_the_same(spark, base, monkeypatch):
-    one = {tuple(x) for x in queries.p8_found(spark, base).collect()}
-    monkeypatch.setattr(leak, "BLOCK_WINDOWS", 4000)
-    assert {tuple(x) for x in queries.p8_found(spark, base).collect()} == one and one
+def test_leak_of_long_passages_with_bunched_edits(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{c}" for c in "abcdefghijklmnop"]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(90))) for i in range(4)]
+    docs = []
+    for d in range(24):
+        ws = items[d % 4][1].split()
+        n = r.choice([30, 36, 38, 45, 80])
+        a = r.randrange(len(ws) - n + 1)
+        part = ws[a : a + n]
+        edits = n // 5 + r.choice([-1, 0, 1])
+        at = r.randrange(1, n - edits)
+        for p in range(at, at + edits) if r.random() < 0.5 else r.sample(range(1, n - 1), edits):
+            part[p] = "other"
+        docs.append((d, " ".join([r.choice(vocabulary) for _ in range(r.randrange(120))] + part + [r.choice(vocabulary) for _ in range(r.randrange(60))])))
+    got = {tuple(x) for x in leak.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_leak(items, docs)
+    assert got == want and 5 < len(want) < 96
+
+
+ITEM = "After 12 minutes Oselle Quellby carried 30 anvils and 8 kites past Tarwynd who sold 12 kites for 90 maps at 45 percent"
+
+
+def with_values(**to):
+    return " ".join(to.get("n" + w, to.get(w, w)) for w in ITEM.split())
+
+
+def test_other_parameters_are_found_by_placeholders(spark, monkeypatch):
+    other = with_values(n12="17", n30="44", n90="61", n8="5", n45="3", Oselle="Brinvin", Quellby="Lantern", Tarwynd="Osvin", minutes="hours")
+    docs = [
+        (1, f"Somebody wrote: {other}. That was all."), (2, ITEM), (3, other.replace("sold 17", "sold 18")),
+        (4, other.replace("44", "17")), (5, None), (6, ""), (7, "the rusty anvils " * 40),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(10, ITEM), (11, None), (12, "short")], "item_id long, text string")
+    names = spark.createDataFrame([(x, "given") for x in ("Oselle", "Quellby", "Tarwynd", "Brinvin", "Lantern", "Osvin", None)], "person_name string, name_kind string")
+    assert [tuple(x) for x in leak.leaked(df, it, names).collect()] == [(2, 10)]
+    # 3 gives one value two others, 4 gives two values one other
+    assert [tuple(x) for x in leak.reparameterised(df, it, names).collect()] == [(1, 10, 11, 10)]
+    assert leak.reparameterised(df.limit(0), it, names).count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(leak, "NUMBER_WORDS", frozenset())
+        m.setattr(leak, "UNITS", frozenset())
+        few = leak.Lexicon(None)
+        assert few.typed("seven") == 0 and few.typed("12") == leak.NUMBER
+    assert leak.reparameterised(df, it, names.limit(0)).count() == 0  # without the names the passage is not the item's template
+
+
+def test_a_document_of_numbers_only_stays_bounded(spark):
+    r = random.Random(1)
+    items = [(i, " ".join(str(r.randrange(10, 99)) for _ in range(200))) for i in range(200)]
+    long = [str(r.randrange(10, 99)) for _ in range(100_000)]
+    docs = [(1, " ".join(long)), (2, "7 " * 100_000), (3, " ".join(long[:500] + items[3][1].split()[50:80] + long[500:900]))]
+    items.append((200, "7 " * 60))
+    got = {tuple(x) for x in leak.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(2, 200), (3, 3)} <= got
 
 
 def test_leak_words():

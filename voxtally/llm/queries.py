@@ -36,6 +36,10 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return leak.leaked(table(spark, base, "documents"), table(spark, base, "eval_items"), table(spark, base, "name_list"))
 
 
+def p8_reparameterised(spark: SparkSession, base: str) -> DataFrame:
+    return leak.reparameterised(table(spark, base, "documents"), table(spark, base, "eval_items"), table(spark, base, "name_list"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return pii.mentions(table(spark, base, "documents"), table(spark, base, "name_list"))
 
@@ -46,7 +50,7 @@ def p9_masked(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p6_found": p6_found, "p6_shares": p6_shares, "p7_ids": p7_ids,
-    "p8_found": p8_found, "p9_found": p9_found, "p9_masked": p9_masked,
+    "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_masked": p9_masked,
 }
 
 SQL: dict[str, str] = {
