@@ -104,7 +104,7 @@ def with_values(**to):
     return " ".join(to.get("n" + w, to.get(w, w)) for w in ITEM.split())
 
 
-def test_other_parameters_are_found_by_placeholders(spark, monkeypatch):
+def test_other_parameters_are_found_by_placeholders(spark):
     other = with_values(n12="17", n30="44", n90="61", n8="5", n45="3", Oselle="Brinvin", Quellby="Lantern", Tarwynd="Osvin", minutes="hours")
     docs = [
         (1, f"Somebody wrote: {other}. That was all."), (2, ITEM), (3, other.replace("sold 17", "sold 18")),
@@ -117,12 +117,8 @@ def test_other_parameters_are_found_by_placeholders(spark, monkeypatch):
     # 3 gives one value two others, 4 gives two values one other
     assert [tuple(x) for x in leak.reparameterised(df, it, names).collect()] == [(1, 10, 11, 10)]
     assert leak.reparameterised(df.limit(0), it, names).count() == 0
-    with monkeypatch.context() as m:
-        m.setattr(leak, "NUMBER_WORDS", frozenset())
-        m.setattr(leak, "UNITS", frozenset())
-        few = leak.Lexicon(None)
-        assert few.typed("seven") == 0 and few.typed("12") == leak.NUMBER
-    assert leak.reparameterised(df, it, names.limit(0)).count() == 0  # without the names the passage is not the item's template
+    # without placeholders nothing is found
+    assert leak.reparameterised(df, it, names, kinds=()).count() == 0
 
 
 def test_a_document_of_numbers_only_stays_bounded(spark):

@@ -57,6 +57,8 @@ sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eigh
 first second third fourth fifth""".split())
 UNITS = frozenset("db hz khz ms s min minute minutes hour hours day days week weeks km m cm mm kg g percent".split())
 NUMBER, NAME, UNIT = 1, 2, 3
+#: The kinds of placeholders in use.
+KINDS = (NUMBER, NAME, UNIT)
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}ᅟᅠㅤ]")
 _TAG = regex.compile(r"</?[A-Za-z!][^<>]{0,300}>")
@@ -132,18 +134,16 @@ class Lexicon(dict):
 
     SLOT, HEAD, TAIL, SIZE = 1, 2, 4, 400_000
 
-    def __init__(self, names: Bitmap | None, parts: Bitmap | None = None) -> None:
+    def __init__(self, names: Bitmap | None, parts: Bitmap | None = None, kinds: tuple[int, ...] = KINDS) -> None:
         super().__init__()
-        self.names, self.parts = names, parts
+        self.names, self.parts, self.kinds = names, parts, kinds
         self.literal, self.template, self.flags = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64), np.zeros(4096, np.uint8)
 
     def typed(self, w: str) -> int:
         """The placeholder of a word, 0 if it is none."""
-        if w[0].isdigit() or w in NUMBER_WORDS:
-            return NUMBER
-        if w in UNITS:
-            return UNIT
-        return NAME if self.names is not None and self.names.one(digest("N", w)) else 0
+        named = self.names is not None and self.names.one(digest("N", w))
+        kind = NUMBER if w[0].isdigit() or w in NUMBER_WORDS else UNIT if w in UNITS else NAME if named else 0
+        return kind if kind in self.kinds else 0
 
     def __missing__(self, w: str) -> int:
         n = len(self)
@@ -172,12 +172,12 @@ class Lexicon(dict):
         return x ^ (x >> np.uint64(32))
 
 
-def item_rows(items: DataFrame, names: Bitmap | None) -> DataFrame:
+def item_rows(items: DataFrame, names: Bitmap | None, kinds: tuple[int, ...] = KINDS) -> DataFrame:
     """item_id, body, windows (distinct keys), marks (what the bitmap holds of it) of every item that is long enough."""
     shared = items.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(shared.value)
+        lexicon = Lexicon(shared.value, kinds=kinds)
         for b in batches:
             out = []
             for i, t in zip(b.item_id, b.text):
@@ -214,7 +214,7 @@ def joined_apart(ws: list[str], at: list[int], parts: Bitmap) -> list[str] | Non
     return out + ws[last:]
 
 
-def block_rows(documents: DataFrame, names: Bitmap | None, marks: Bitmap) -> DataFrame:
+def block_rows(documents: DataFrame, names: Bitmap | None, marks: Bitmap, kinds: tuple[int, ...] = KINDS) -> DataFrame:
     """doc_id, block, body, hits (key and how often) of the blocks that hold MIN_HITS windows the bitmap lets through.
 
     A document with words written apart is cut once as it stands and once with them joined (block below zero).
@@ -247,10 +247,10 @@ def block_rows(documents: DataFrame, names: Bitmap | None, marks: Bitmap) -> Dat
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(*shared.value)
+        lexicon = Lexicon(*shared.value, kinds)
         for b in batches:
             if len(lexicon) > Lexicon.SIZE:
-                lexicon = Lexicon(*shared.value)
+                lexicon = Lexicon(*shared.value, kinds)
             docs = [(i, 0, ws) for i, ws in zip(b.doc_id, map(words, b.text)) if len(ws) >= MIN_WORDS - MIN_WORDS // EDIT_SHARE]
             rows = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(ws for _, _, ws in docs)), dtype=np.int64)
             flags = np.append(lexicon.flags[rows], (0, 0)).astype(np.uint8)
@@ -391,7 +391,7 @@ def _other_values(item: list[str], doc: list[str], pairs: list[tuple[int, int]],
 # -- the operator -----------------------------------------------------------------------------------------------------
 
 
-def candidates(documents: DataFrame, items: DataFrame, names: DataFrame | None) -> tuple[DataFrame, Bitmap | None]:
+def candidates(documents: DataFrame, items: DataFrame, names: DataFrame | None, kinds: tuple[int, ...] = KINDS) -> tuple[DataFrame, Bitmap | None]:
     """(doc_id, item_id, body, item_body of the blocks and items that share MIN_HITS windows, the bitmap of the names)."""
     people = None
     if names is not None:
@@ -401,10 +401,10 @@ def candidates(documents: DataFrame, items: DataFrame, names: DataFrame | None)
                 yield pd.DataFrame({"d": _signed(digest("N", x) for x in b.person_name.str.strip().str.casefold())}, dtype="int64")
 
         people = bitmap(names.select("person_name").where("person_name is not null").mapInPandas(folded, "d long"))
-    given = cut(item_rows(items.select("item_id", "text").where("item_id is not null and text is not null"), people))
+    given = cut(item_rows(items.select("item_id", "text").where("item_id is not null and text is not null"), people, kinds))
     marks = bitmap(given.select(F.explode("marks").alias("d")).distinct())
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id")
-    blocks = cut(block_rows(texts, people, marks))
+    blocks = cut(block_rows(texts, people, marks, kinds))
 
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt")
@@ -449,14 +449,14 @@ def leaked(documents: DataFrame, items: DataFrame, names: DataFrame | None = Non
     return near.mapInPandas(run, "doc_id long, item_id long").distinct()
 
 
-def reparameterised(documents: DataFrame, items: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def reparameterised(documents: DataFrame, items: DataFrame, names: DataFrame | None = None, kinds: tuple[int, ...] = KINDS) -> DataFrame:
     """doc_id, item_id, n_slots, n_changed of the documents that hold an item's passage with other numbers, names or
     units, the values mapped one to one, and are no leak of it; of several passages the one with most slots."""
-    near, people = candidates(documents, items, names)
+    near, people = candidates(documents, items, names, kinds)
     shared = documents.sparkSession.sparkContext.broadcast(people)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(shared.value)
+        lexicon = Lexicon(shared.value, kinds=kinds)
         slot: dict[str, int] = {}
 
         def kind(w: str) -> int:
