@@ -156,9 +156,7 @@ HYPOTHESES = "record_id long, clip_id string, model_name string, segments array<
 def hypotheses(transcription: DataFrame) -> DataFrame:
     """clip_id, model_name, segments of the payloads; of a clip delivered several times the latest record counts per
     model, of equal times the larger record_id. Records without a clip are left out."""
-    import json
-
-    from .nested import segment_text, segments_of
+    from .nested import payload_of, segment_text, segments_of
 
     def speaker(x: object) -> str | None:
         x = x.get("speaker") if isinstance(x, dict) else x[0] if isinstance(x, list) and x else None
@@ -168,11 +166,11 @@ def hypotheses(transcription: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for rid, cid, payload, at in b.itertuples(index=False):
-                try:
-                    models = list(json.loads(payload)["transcript"].items())
-                except (TypeError, ValueError, KeyError, AttributeError, RecursionError):
+                root, _ = payload_of(payload)
+                models = root.get("transcript") if isinstance(root, dict) else None
+                if not isinstance(models, dict):
                     continue
-                out += [(rid, cid, m, [{"speaker": speaker(x), "text": segment_text(x)} for _, x in segments_of(v)], at) for m, v in models]
+                out += [(rid, cid, m, [{"speaker": speaker(x), "text": segment_text(x)} for _, x in segments_of(v)], at) for m, v in models.items()]
             yield pd.DataFrame(out, columns=["record_id", "clip_id", "model_name", "segments", "received_at"]).astype({"record_id": "int64", "received_at": "datetime64[us]"})
 
     src = spread(transcription.select("record_id", "clip_id", "payload", "received_at"), "record_id").where("clip_id is not null and payload is not null and record_id is not null")

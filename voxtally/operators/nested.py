@@ -6,7 +6,10 @@ of the same record exactly if A.pre < B.pre and A.post > B.post. Nodes are emitt
 again and no key has to be unique. What no pattern names belongs to the field table of the nearest named node above it,
 so every scalar of a payload is in exactly one table.
 
-Defined results: null payloads and payloads that are no JSON give no nodes; of a member named twice the last counts;
+Payloads of any depth are read: where the standard reader gives up, one without recursion takes over.
+
+Defined results: null payloads and payloads that are no JSON give no nodes, but a row of rejects() with the reason; of a
+member named twice the last counts;
 empty tables give empty tables; extra columns are ignored. The numbers restart with each record, hence a record
 delivered again under another id is simply another record.
 """
@@ -14,10 +17,13 @@ delivered again under another id is simply another record.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from enum import Enum
+from json.decoder import scanstring
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +40,97 @@ KEY, INDEX = Any.KEY, Any.INDEX
 NODE_SCHEMA = "record_id long, node_type string, pre int, post int, depth int, kind string, node_key string, value string"
 
 
+_SPACE = regex.compile(r"[ \t\n\r]*+")
+_SCALAR = regex.compile(r"(?P<n>-?(?:0|[1-9][0-9]*+)(?P<f>\.[0-9]++)?(?P<e>[eE][-+]?[0-9]++)?)|true|false|null|NaN|-?Infinity")
+_NAMED = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def read_deep(text: str) -> object:
+    """The value of a JSON text, whatever its depth; ValueError if it is none. As json.loads, but with a stack of its own."""
+    stack: list[tuple[object, str | None]] = []  # open containers, and the name under which the next one goes into each
+    at = _SPACE.match(text, 0).end()
+    while True:
+        opened = text[at : at + 1]
+        if opened in ("{", "["):
+            value: object = {} if opened == "{" else []
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] != ("}" if opened == "{" else "]"):
+                stack.append((value, None))
+                if opened == "{":
+                    at = _name(text, at, stack)
+                continue
+            at += 1
+        elif opened == '"':
+            value, at = scanstring(text, at + 1)
+        elif m := _SCALAR.match(text, at):
+            value = _NAMED[m[0]] if m["n"] is None else float(m[0]) if m["f"] or m["e"] else int(m[0])
+            at = m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        while True:  # value is complete: put it in its container, and close what ends here
+            at = _SPACE.match(text, at).end()
+            if not stack:
+                if at != len(text):
+                    raise ValueError(f"text behind the value at {at}")
+                return value
+            holder, name = stack[-1]
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            sign = text[at : at + 1]
+            at = _SPACE.match(text, at + 1).end()
+            if sign == ",":
+                if isinstance(holder, dict):
+                    at = _name(text, at, stack)
+                break
+            if sign != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"no comma or end before {at}")
+            value = stack.pop()[0]
+
+
+def _name(text: str, at: int, stack: list) -> int:
+    """Read a member's name and colon; the place of its value."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    name, at = scanstring(text, at + 1)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    stack[-1] = (stack[-1][0], name)
+    return _SPACE.match(text, at + 1).end()
+
+
+def payload_of(payload: str | None) -> tuple[object, str | None]:
+    """The value of a payload and no reason, or nothing and the reason why it cannot be read."""
+    if payload is None:
+        return None, "null"
+    try:
+        try:
+            return json.loads(payload), None
+        except RecursionError:
+            return read_deep(payload), None
+        except ValueError as e:
+            if "integer string conversion" not in str(e):
+                return None, "json"
+            sys.set_int_max_str_digits(0)  # whole numbers of any length
+            return payload_of(payload)
+    except ValueError:
+        return None, "json"
+
+
+def rejects(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """record_id, reason of the records that give no nodes: `null` for no payload, `json` for one that is no JSON."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, r) for i, r in ((i, payload_of(p)[1]) for i, p in zip(b.iloc[:, 0], b.iloc[:, 1])) if r]
+            yield pd.DataFrame(rows, columns=["record_id", "reason"]).astype({"record_id": "int64"})
+
+    src = df.select(F.col(id_col).cast("long").alias("record_id"), F.col(payload_col).alias("payload")).where("record_id is not null")
+    return src.mapInPandas(run, "record_id long, reason string")
+
+
 def _kind(x: object) -> str:
     if x is None:
         return "null"
@@ -104,9 +201,8 @@ def label(df: DataFrame, id_col: str, payload_col: str, types: list[tuple[str, t
         for b in batches:
             rows: list[tuple] = []
             for rid, payload in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                try:
-                    root = json.loads(payload)
-                except (TypeError, ValueError, RecursionError):
+                root, reason = payload_of(payload)
+                if reason:
                     continue
                 rows += [(rid, *x) for x in walk(root, trie, rest)]
                 if len(rows) > 20_000:
@@ -192,18 +288,16 @@ def segment_text(element: object) -> str:
 
 
 def links(transcription: DataFrame, result_files: DataFrame) -> DataFrame:
-    """kind, record_id, parent_key, child_key of segments, metric values and alignment steps."""
-    t = label(transcription, "record_id", "payload", [x for x in TRANSCRIPTION if x[0] in ("model", "segment")])
-    seg = contained(t, "model", "segment").where("kind <> 'null'").select("record_id", "parent_key", F.col("node_key").alias("child_key"))
-    whole = t.where("node_type = 'model' and kind = 'string'").select("record_id", F.col("node_key").alias("parent_key"), F.lit("0").alias("child_key"))
-    r = label(result_files, "record_id", "payload", [x for x in RESULT_FILE if x[0] in ("result", "metric", "op")])
-    met = contained(r, "result", "metric").where("kind <> 'null'").select("record_id", "parent_key", F.col("node_key").alias("child_key"))
-    ops = contained(r, "result", "op").select("record_id", "parent_key", F.col("node_key").alias("child_key"))
-    parts = [x.select(F.lit(k).alias("kind"), "*") for k, x in (("segment", seg), ("segment", whole), ("metric", met), ("op", ops))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """kind, record_id, parent_key, child_key of segments, metric values and alignment steps. Each payload is read and
+    labelled once."""
+    t = linked(label(transcription, "record_id", "payload", [x for x in TRANSCRIPTION if x[0] in ("model", "segment")]), {"segment": "model"})
+    r = linked(label(result_files, "record_id", "payload", [x for x in RESULT_FILE if x[0] in ("result", "metric", "op")]), {"metric": "result", "op": "result"})
+    whole = (F.col("node_type") == "model") & (F.col("kind") == "string")  # a model's text is its segment
+    seg = t.where(whole | (F.col("node_type") == "segment") & (F.col("kind") != "null")).select(
+        F.lit("segment").alias("kind"), "record_id", F.when(whole, F.col("node_key")).otherwise(F.col("parent_key")).alias("parent_key"), F.when(whole, "0").otherwise(F.col("node_key")).alias("child_key")
+    )
+    rest = r.where((F.col("node_type") == "op") | (F.col("node_type") == "metric") & (F.col("kind") != "null")).select(F.col("node_type").alias("kind"), "record_id", "parent_key", F.col("node_key").alias("child_key"))
+    return seg.unionByName(rest)
 
 
 def all_nodes(transcription: DataFrame, result_files: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +28,7 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -33,9 +36,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers of a remote cluster the package, once per application. Local masters share the file system."""
+    """Give the workers the package, once per application: they need not find it where the driver does."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="voxtally-")) / f"{root.name}.zip"
@@ -53,13 +56,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def ensure_shared(spark: SparkSession) -> None:
-    """Leave the cluster's checkpoint folder as it is; only where none is set use a local one (tests)."""
+    """Leave the cluster's checkpoint folder as it is. Where none is set a local master gets a temporary one (tests); on
+    any other master that would not be shared, so it is refused."""
     sc = spark.sparkContext
-    if sc.getConf().get(SHARED_KEY) or spark.conf.get(SHARED_KEY, None):
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(sc.getConf().get(SHARED_KEY) or spark.conf.get(SHARED_KEY))
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxtally-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    given = sc.getConf().get(SHARED_KEY) or spark.conf.get(SHARED_KEY, None)
+    if not given and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not given:
+        raise ValueError(f"{SHARED_KEY} must name a folder that all executors share")
+    sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="voxtally-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,8 +73,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """As cut, but as a compressed table of which later steps read only the columns they use; for rows with texts. The
+    table is removed when the driver ends."""
+    spark = df.sparkSession
+    ensure_shared(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended first
+        pass
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that costs far more than a shuffle. An input of
     enough files or splits is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(2 * cores, key)
