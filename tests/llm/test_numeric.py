@@ -28,17 +28,26 @@ def exact(values, p):
     return v[max(0, int(np.ceil(p * len(v))) - 1)]
 
 
-@pytest.mark.parametrize("kind", ["normal", "many ties", "lognormal", "few"])
-def test_sketch_bound(kind):
+def adversarial(kind):
     g = np.random.default_rng(3)
-    v = {"normal": g.normal(0, 5, 40_000), "many ties": g.choice([0.0, 0.1, 0.25, 7.4, -5], 20_000), "lognormal": g.lognormal(0, 3, 30_000), "few": np.array([1.0, 2, 3])}[kind]
+    return {
+        "normal": lambda: g.normal(0, 5, 40_000), "many ties": lambda: g.choice([0.0, 0.1, 0.25, 7.4, -5], 20_000), "lognormal": lambda: g.lognormal(0, 3, 30_000), "few": lambda: np.array([1.0, 2, 3]),
+        "atom": lambda: np.concatenate([np.full(12_000, 0.7), g.random(28_000)]), "two points": lambda: np.repeat([0.3, 0.30005], [15_000, 14_000]), "heavy tail": lambda: g.standard_cauchy(40_000),
+        "sixty prefixes": lambda: np.repeat(1 + np.arange(60) / 64, 500), "just below heavy": lambda: np.repeat(1 + np.arange(600) / 4096, 60), "one binade": lambda: g.uniform(1, 2, 60_000),
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["normal", "many ties", "lognormal", "few", "atom", "two points", "heavy tail", "sixty prefixes", "just below heavy", "one binade"])
+def test_sketch_bound(kind):
+    v = adversarial(kind)
     s = np.zeros(quantile.CELLS, dtype=np.int64)
     quantile.add(s, quantile.encode(v), np.ones(len(v)))
     bound = quantile.rank_error(s)
-    assert bound < 0.05
+    assert bound < (0.5 if kind == "few" else 0.05)
     sorted_v = np.sort(v)
-    for p in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99):
-        got = quantile.percentile(s, p)
+    reader = quantile.Reader(s)
+    for p in np.linspace(0.01, 0.99, 99):
+        got = reader.percentile(p)
         slack = abs(got) * 2.0**-11
         lo, hi = np.searchsorted(sorted_v, got - slack, "left") / len(v), np.searchsorted(sorted_v, got + slack, "right") / len(v)
         assert lo - bound - 1e-9 <= p and p <= hi + bound + 1.5 / len(v), (kind, p, got, lo, hi, bound)
@@ -56,6 +65,20 @@ def test_sketch_is_linear():
     assert (whole == part).all()
 
 
+def test_forms_of_a_partial_sketch_are_equal():
+    g = np.random.default_rng(6)
+    codes, weights = quantile.summed(quantile.encode(g.normal(size=60_000)).astype(np.uint32), np.ones(60_000, dtype=np.int64))
+    want = np.zeros(quantile.CELLS, dtype=np.int64)
+    quantile.add(want, codes, weights)
+    parts = [quantile.pack(codes[i::7], weights[i::7]) for i in range(7)] + [quantile.pack_counters(want)]
+    assert {p[0] for p in parts} == {0, 1}
+    total = quantile.Sum()
+    for p in parts:
+        total.add(p)
+    assert (quantile.counters(total.blob()) == 2 * want).all()
+    assert (quantile.counters(quantile.pack(codes, weights)) == want).all() and quantile.counters(quantile.pack(codes[:0], weights[:0])).sum() == 0
+
+
 def test_codes_keep_order():
     v = np.sort(np.concatenate([np.random.default_rng(0).normal(0, 1e6, 1000), [0.0, -0.0, 1e-300, -1e300]]))
     assert (np.diff(quantile.encode(v).astype(np.int64)) >= 0).all()
@@ -122,6 +145,49 @@ def test_looping_texts(spark, base):
     assert real == want and want
 
 
+def test_least_determinant_and_its_distance(spark):
+    g = np.random.default_rng(2)
+    clean = np.clip(g.multivariate_normal([0.6, 0.4, 0.3], [[0.01, 0.004, 0.002], [0.004, 0.01, 0.003], [0.002, 0.003, 0.01]], 4000), 0, 1.5)
+    far = np.clip(g.normal([1.3, 1.2, 1.2], 0.03, (700, 3)), 0, 1.55)
+    rows = [(float(a), float(b), float(c), "x", None, i) for i, (a, b, c) in enumerate(np.concatenate([clean, far]))] + [(0.2, 0.1, 0.0, "same", "m", 5000 + i) for i in range(50)] + [(0.2, 0.1, 0.0, "one", "m", 6000)]
+    df = spark.createDataFrame(rows, "u1 double, u2 double, u3 double, s string, k string, id long").repartition(5)
+    p = repetition.strata(df, ["s", "k"])
+    d = {r.id: r.d2 for r in repetition.with_distance(df, p, ["s", "k"], "id").collect()}
+    assert all(d[i] > 50 for i in range(4000, 4700)) and 0.002 < np.mean([d[i] > repetition.CHI2 for i in range(4000)]) < 0.05
+    assert all(d[i] < 1 for i in range(5000, 5050)) and d[6000] < 1
+    real = {r.s: r for r in p.collect()}["x"]
+    assert abs(real.m1 - 0.6) < 0.02 and abs(real.l11**2 - repetition.FLOOR - 0.01) < 0.001  # centre and scatter of the clean rows
+    cells = repetition.Cells(np.ones(4700), np.concatenate([clean, far]), np.einsum("ni,nj->nij", np.concatenate([clean, far]), np.concatenate([clean, far])))
+    m, c = cells.moments(np.ones(4700))
+    assert np.linalg.det(cells.step(m, c, 3525)[1]) < np.linalg.det(c)
+
+
+def test_cheap_statistics_bound_the_share(spark):
+    r = random.Random(4)
+    texts = []
+    for i in range(400):
+        w = [r.choice("abcdefghijklmnopqrstuvwxyz") * r.randrange(1, 3) for _ in range(r.randrange(0, 60))]
+        for _ in range(r.randrange(4)):
+            if len(w) > 12:
+                a, n = r.randrange(len(w) - 6), r.randrange(5, 12)
+                at = r.randrange(len(w))
+                w[at:at] = w[a : a + n]
+        texts.append((i, " ".join(w) if i % 50 else None))
+    got = spark.createDataFrame(texts, "i long, t string").select("i", "t", repetition.seen_before(F.col("t")).alias("s")).select("i", "t", "s.*").collect()
+    cases = 0
+    for x in got:
+        w = repetition.words(x.t)
+        n, k = repetition.repetition(w)[:2]
+        assert x.n == n
+        for u, size in ((x.u1, 1), (x.u2, 2), (x.u3, 3)):
+            grams = [tuple(w[i : i + size]) for i in range(n - size + 1)]
+            assert abs(np.sin(u) ** 2 - (1 - len(set(grams)) / len(grams) if grams else 0)) < 1e-9
+        if n >= 20 and k >= 0.4 * n:
+            cases += 1
+            assert all(u >= b - 1e-12 for u, b in zip((x.u1, x.u2, x.u3), repetition.BOUNDS))
+    assert cases > 20
+
+
 @pytest.fixture(scope="module")
 def public():
     tiktoken = pytest.importorskip("tiktoken")

@@ -20,10 +20,18 @@ def p3_percentiles(spark: SparkSession, base: str) -> DataFrame:
     return quantile.score_percentiles(table(spark, base, "wer_results"), table(spark, base, "mixture_meta"), PERCENTILES)
 
 
+def p3_within(spark: SparkSession, base: str) -> DataFrame:
+    return quantile.within_bound(table(spark, base, "wer_results"), table(spark, base, "mixture_meta"), PERCENTILES)
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return repetition.looping_texts(table(spark, base, "worst_wer_examples"), table(spark, base, "mixture_transcription"))
 
 
+def p6_outliers(spark: SparkSession, base: str) -> DataFrame:
+    return repetition.outliers(table(spark, base, "worst_wer_examples"), table(spark, base, "mixture_transcription"))
+
+
 def p6_shares(spark: SparkSession, base: str) -> DataFrame:
     return repetition.shares(table(spark, base, "worst_wer_examples"), table(spark, base, "mixture_transcription"))
 
@@ -49,11 +57,20 @@ def p9_masked(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p6_found": p6_found, "p6_shares": p6_shares, "p7_ids": p7_ids,
+    "p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_within": p3_within, "p6_found": p6_found, "p6_outliers": p6_outliers, "p6_shares": p6_shares, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_masked": p9_masked,
 }
 
 SQL: dict[str, str] = {
+    "p3_within": f"""
+WITH v AS (
+  SELECT 'wer' AS metric, 'model' AS group_kind, model_name AS group_key, wer AS v FROM wer_results
+  UNION ALL SELECT 'wer', 'day', scored_at::DATE::VARCHAR, wer FROM wer_results
+  UNION ALL SELECT 'snr_db', 'noise_type', noise_type, snr_db FROM mixture_meta
+  UNION ALL SELECT 'overlap_ratio_target', 'noise_type', noise_type, overlap_ratio_target FROM mixture_meta
+), n AS (SELECT metric, group_kind, group_key, count(*) AS n FROM v WHERE isfinite(v) GROUP BY ALL)
+SELECT metric, group_kind, group_key, p, n, true AS within FROM n, (SELECT unnest({PERCENTILES}::DOUBLE[]) AS p)
+""",
     "p1_found": """
 WITH c AS (
   SELECT DISTINCT result_id, clip_id, model_name, wer + 0.0 AS wer FROM wer_results
