@@ -97,6 +97,12 @@ class Crf:
         ids = [i for i in map(self.index.get, feats) if i is not None]
         return self.weight[ids].sum(axis=0) if ids else np.zeros(len(self.labels))
 
+    def sway(self) -> np.ndarray:
+        """For each label the most that a path may win on transitions by taking it in one place instead of the first one."""
+        into = np.concatenate([self.trans, self.first[None]])
+        out = np.concatenate([self.trans, np.zeros((len(self.labels), 1))], axis=1)
+        return (into - into[:, :1]).max(axis=0) + (out - out[:1]).max(axis=1)
+
     def viterbi(self, emits: list[np.ndarray], size: int = 256) -> list[np.ndarray]:
         """The best label sequences; sequences of like length share a batch, a step works on all of it."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(emits)

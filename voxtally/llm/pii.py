@@ -29,8 +29,8 @@ SLOTS = "EPIAN"
 LABELS = ["O"] + [f"{b}{k}" for k in SLOTS for b in "BI"]
 NAMES_BOUND = 100_000
 
-_TOKEN = regex.compile(r"\p{Latin}+(?:['’]\p{Latin}+)*|\p{Nd}+|[\p{L}\p{M}]+|[^\s\p{Z}]")
-_LINE = regex.compile(r"\n")
+_ONE = r"\p{Latin}+(?:['’]\p{Latin}+)*|\p{Nd}+|[\p{L}\p{M}]+|[^\s\p{Z}]"
+_TOKEN, _PIECE = regex.compile(_ONE), regex.compile(rf"([\s\p{{Z}}]*)({_ONE})")
 _HIDDEN = regex.compile(r"[\p{Cf}]")
 
 #: Words of the classes that the features name.
@@ -133,16 +133,13 @@ RUN_PARTS = frozenset("+()-./")
 NUMERIC = frozenset([f"d{k}" for k in range(1, 12)] + ["nw", "plus"])
 
 
-def runs(tokens: list[str], cls: list[str], gap: list[int]) -> list[list[str]]:
-    """For tokens in a run of digits or number words: features of the run as a whole."""
+def runs(tokens: list[str], cls: list[str], gap: list[int]) -> dict[int, list[str]]:
+    """For the places of tokens in a run of digits or number words: features of the run as a whole."""
     numeric = [c in NUMERIC for c in cls]
-    out: list[list[str]] = [[] for _ in tokens]
-    if True not in numeric:
-        return out
-    n, i = len(tokens), 0
-    while i < n:
-        if not numeric[i]:
-            i += 1
+    out: dict[int, list[str]] = {}
+    n, after = len(tokens), 0
+    for i in [i for i, x in enumerate(numeric) if x]:
+        if i < after:
             continue
         a = i
         while a > 0 and gap[a] == 0 and tokens[a - 1] in "+(":
@@ -181,22 +178,33 @@ def runs(tokens: list[str], cls: list[str], gap: list[int]) -> list[list[str]]:
         feats = [f"rn={min(digits, 14)}{'w' if words else ''}", f"rp={'w' if words else pattern[:24]}", f"rb={before}", f"ra={after}", f"rf={tokens[a].lower() if words else tokens[a][:2]}{min(digits, 14)}"]
         for k in range(a, b):
             out[k] = [*feats, f"rpos={'B' if k == a else 'I'}{min(digits, 14)}"]
-        i = max(b, i + 1)
+        after = b
     return out
 
 
-def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Tokens, their places and what stands before each (0 nothing, 1 blank, 2 line break)."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    tokens = [text[a:b] for a, b in spans]
-    if not spans:
-        return [], [], []
-    edge = np.array(spans)
-    before = np.append(0, edge[:-1, 1])
-    lines = np.array([m.start() for m in _LINE.finditer(text)], dtype=np.int64)
-    broken = np.searchsorted(lines, edge[:, 0]) > np.searchsorted(lines, before)
-    gap = np.where(broken, 2, (edge[:, 0] > before).astype(np.int64))
-    return tokens, edge[:, 0].tolist(), gap.tolist()
+class _Gaps(dict):
+    """What stands between two tokens: 0 nothing, 1 blank, 2 line break."""
+
+    def __missing__(self, g: str) -> int:
+        return 2 if "\n" in g else 1
+
+
+_GAP = _Gaps({"": 0, " ": 1, "\n": 2})
+
+
+def tokenize(text: str) -> tuple[list[str], list[str], list[int]]:
+    """Tokens, the white space before each and its kind."""
+    pieces = _PIECE.findall(text)
+    between = [g for g, _ in pieces]
+    return [t for _, t in pieces], between, [_GAP[g] for g in between]
+
+
+def places(tokens: list[str], between: list[str]) -> list[int]:
+    out, at = [], 0
+    for g, t in zip(between, tokens):
+        out.append(at + len(g))
+        at += len(g) + len(t)
+    return out
 
 
 def _joint(p: str, c: str, q: str, r: str, g: int, h: int) -> list[str]:
@@ -226,14 +234,14 @@ class Tagger:
         self.classes: dict[str, int] = {"$": 0, "^": 1}
         self.names = ["$", "^"]
         self.class_row = np.zeros(1024, dtype=np.int64)
-        self.gain = np.zeros((1024, 5, k), dtype=np.float32)  # row 0 is the space between texts
+        self.gain = np.zeros((5, 1024, k), dtype=np.float32)  # row 0 is the space between texts
         self.used = 1
         self.joint: dict[int, np.ndarray] = {}
         self.run: dict[str, np.ndarray] = {}
 
     def _add(self, t: str) -> int:
-        if self.used == len(self.gain):
-            self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
+        if self.used == len(self.class_row):
+            self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)], axis=1)
             self.class_row = np.concatenate([self.class_row, np.zeros_like(self.class_row)])
         cls = class_of(t, self.lists)
         if cls not in self.classes:
@@ -242,7 +250,7 @@ class Tagger:
         own, near, far = word_features(t, cls)
         sets = [own, *([d + f for f in near] for d in ("-1", "+1")), *([d + f for f in far] for d in ("-2", "+2"))]
         r = self.row[t] = self.used
-        self.gain[r] = [self.crf.score(f) for f in sets]
+        self.gain[:, r] = [self.crf.score(f) for f in sets]
         self.class_row[r] = self.classes[cls]
         self.used += 1
         return r
@@ -256,8 +264,8 @@ class Tagger:
             v = self.joint[key] = self.crf.score(_joint(n[p], n[c], n[q], n[r], g, h)).astype(np.float32)
         return v
 
-    def emissions(self, docs: list[tuple[list[str], list[int]]]) -> list[np.ndarray]:
-        """The label scores of the tokens of each text (tokens, gaps)."""
+    def emissions(self, docs: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, list[int]]:
+        """The label scores of the tokens (tokens, gaps) of all texts, and where each text begins."""
         if self.used > self.TOKENS or len(self.names) > 4000 or len(self.joint) > self.JOINTS:
             self._reset()
         get, ids, gaps, at = self.row.get, [0, 0], [2, 2], []
@@ -271,41 +279,68 @@ class Tagger:
         c = self.class_row[i]
         left = c.copy()
         left[np.array(at) - 1] = 1
-        e = self.gain[i, 0]
-        e[1:] += self.gain[i[:-1], 1]
-        e[:-1] += self.gain[i[1:], 2]
-        e[2:] += self.gain[i[:-2], 3]
-        e[:-2] += self.gain[i[2:], 4]
+        of = lambda k, rows: self.gain[k].take(rows, axis=0, mode="clip")
+        e = of(0, i)
+        e[1:] += of(1, i[:-1])
+        e[:-1] += of(2, i[1:])
+        e[2:] += of(3, i[:-2])
+        e[:-2] += of(4, i[2:])
         inner = slice(1, len(i) - 2)
         key = (((left[:-3] << 36) + (c[1:-2] << 24) + (c[2:-1] << 12) + c[3:]) * 9) + g[1:-2] * 3 + g[2:-1]
         kinds, back = np.unique(key, return_inverse=True)
-        e[inner] += np.array([self._joint(int(x)) for x in kinds])[back]
-        out = []
-        for a, (tokens, gap) in zip(at, docs):
-            part = e[a : a + len(tokens)]
-            names = [self.names[x] for x in c[a : a + len(tokens)]]
-            for j, feats in enumerate(runs(tokens, names, gap)):
+        e[inner] += np.array([self._joint(x) for x in kinds.tolist()]).take(back, axis=0, mode="clip")
+        numeric = np.array([n in NUMERIC for n in self.names])[c]
+        has = np.add.reduceat(numeric, np.array([x for a, (t, _) in zip(at, docs) for x in (a, a + len(t))]))[::2] if docs else []
+        for a, (tokens, gap), any_ in zip(at, docs, has):
+            if not any_:
+                continue
+            for j, feats in runs(tokens, [self.names[x] for x in c[a : a + len(tokens)].tolist()], gap).items():
                 for f in feats:
                     v = self.run.get(f)
                     if v is None:
                         if len(self.run) > 100_000:
                             self.run.clear()
                         v = self.run[f] = self.crf.score([f])
-                    part[j] += v
-            out.append(part)
+                    e[a + j] += v
+        return e, at
+
+    def labels(self, docs: list[tuple[list[str], list[int]]]) -> list[np.ndarray]:
+        """The best labels of each text. A token whose score for O beats every other label by more than any change of
+        transitions could make up is O on the best path, whatever stands beside it; only the stretches between such
+        tokens are decoded, each with one of them on either side."""
+        e, at = self.emissions(docs)
+        sure = (e[:, :1] > e[:, 1:] + self.crf.sway()[1:]).all(axis=1)
+        out, parts, where = [], [], []
+        for k, (a, (tokens, _)) in enumerate(zip(at, docs)):
+            n = len(tokens)
+            out.append(np.zeros(n, dtype=np.int8))
+            open_ = np.flatnonzero(~sure[a : a + n])
+            if not len(open_):
+                continue
+            cut = np.flatnonzero(np.diff(open_) > 1)
+            for lo, hi in zip(open_[np.append(0, cut + 1)].tolist(), open_[np.append(cut, len(open_) - 1)].tolist()):
+                lo, hi = max(0, lo - 1), min(n, hi + 2)
+                parts.append(e[a + lo : a + hi])
+                where.append((k, lo, hi))
+        for (k, lo, hi), lab in zip(where, self.crf.viterbi(parts)):
+            out[k][lo:hi] = lab
         return out
 
     def mentions(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """kind, start and end (code points from 0) of the mentions of each text."""
         clean = [visible(t or "") for t in texts]
         cut = [tokenize(t) for t, _ in clean]
-        labels = self.crf.viterbi(self.emissions([(tokens, gap) for tokens, _, gap in cut]))
+        labels = self.labels([(tokens, gap) for tokens, _, gap in cut])
         out = []
-        for (text, back), (tokens, at, _), lab in zip(clean, cut, labels):
-            spans, marked = [], np.flatnonzero(lab)
+        for (text, back), (tokens, between, _), lab in zip(clean, cut, labels):
+            marked = np.flatnonzero(lab).tolist()
+            if not marked:
+                out.append([])
+                continue
+            at, spans = places(tokens, between), []
             j = 0
             while j < len(marked):
-                a = int(marked[j])
+                a = marked[j]
                 k, b = (lab[a] - 1) // 2, a + 1
                 while b < len(lab) and lab[b] == 2 * k + 2:
                     b += 1
@@ -377,7 +412,7 @@ def person(text: str, a: int, b: int, lists: Lists) -> tuple[int, int] | None:
     initial = any(len(t) == 1 and t.isupper() for t, _ in tokens)
     titled = regex.search(r"(\p{L}+)\.?\s+$", text[max(0, a - 12) : tokens[0][1]])
     capitals = (initial or titled and titled[1].lower() in TITLE) and all(t[0].isupper() for t in main)
-    titles = len(main) > 1 and all(t.istitle() and t.lower() not in pii_table.PLAIN for t in main)
+    titles = len(main) > 1 and all(t.istitle() for t in main)
     if not (any(map(known, main)) or main and capitals or titles):
         return None
     return tokens[0][1], b
@@ -410,7 +445,7 @@ def settle(text: str, spans: list[tuple[str, int, int]], lists: Lists) -> list[t
                 if not 7 <= digit_count(text[a:b]) <= 15:
                     continue
                 out.append(("phone", a, b))
-            elif 6 <= digit_count(piece) <= 14:
+            elif 6 <= digit_count(piece) <= 15 and not (text[a - 1 : a] == "_" or text[b : b + 1] == "_"):  # part of a file's or a record's name
                 out.append(("identity", a, b))
         elif k == "A":
             low = [t.lower() for t in _TOKEN.findall(piece)]
@@ -430,7 +465,7 @@ def settle(text: str, spans: list[tuple[str, int, int]], lists: Lists) -> list[t
 
 def features(text: str, lists: Lists, hide: frozenset[int] = frozenset()) -> tuple[list[list[str]], list[int], list[str]]:
     """Feature names per token for training, token places and tokens; hidden tokens look as if in no list."""
-    tokens, at, gap = tokenize(text)
+    tokens, between, gap = tokenize(text)
     cls = [class_of(t, lists, i in hide) for i, t in enumerate(tokens)]
     base = [word_features(t, c) for t, c in zip(tokens, cls)]
     rows = []
@@ -440,9 +475,9 @@ def features(text: str, lists: Lists, hide: frozenset[int] = frozenset()) -> tup
             if 0 <= i + d < len(base):
                 f += [f"{d:+d}{x}" for x in base[i + d][1 if abs(d) == 1 else 2]]
         rows.append(f + joint_features(i, cls, gap))
-    for row, r in zip(rows, runs(tokens, cls, gap)):
-        row += r
-    return rows, at, tokens
+    for i, r in runs(tokens, cls, gap).items():
+        rows[i] += r
+    return rows, places(tokens, between), tokens
 
 
 def training_rows(given: list[str], surnames: list[str], lists: Lists) -> list[tuple[list[list[str]], list[int]]]:
