@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import staged
+
 #: One field of a record: quoted (quotes inside are doubled) or free of quotes. Possessive, so that it needs no stack.
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 BARE = r'[^",]*+'
@@ -89,7 +91,7 @@ def split_valid(df: DataFrame, id_col: str, raw_col: str, names: list[str], chec
     The join of cells with the dictionary is salted by the record's id: a value that a third of all records share,
     valid or not, is spread over `salt` keys.
     """
-    rows = structural(df, id_col, raw_col, names)
+    rows = staged(structural(df, id_col, raw_col, names))  # records are cut into fields once; later steps read the columns they need
     sound = rows.where(F.col("reason").isNull())
     checked = [f for c in checks for f in c.fields]
     pairs = ", ".join(f"'{f}', `{f}`" for f in checked)
