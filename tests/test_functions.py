@@ -133,8 +133,10 @@ def test_clip_ids(spark):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([(7.4,), (0.0,), (-0.0,), (-5.0,), (10.0,), (0.25,), (None,)], "x double")
-    assert [r[0] for r in df.select(clip.general(F.col("x"))).collect()] == ["7.4", "0", "-0", "-5", "10", "0.25", None]
+    df = spark.createDataFrame([(x,) for x in (7.4, 0.0, -0.0, -5.0, 10.0, 0.25, 123456.7, 0.000012, 1234567.0, -0.00012345678, 1e300, 999999.6, 100000.0, float("nan"), float("inf"))], "x double")
+    got = df.select("x", clip.general(F.col("x")).alias("g")).collect()
+    assert [r.g for r in got] == ["%g" % r.x for r in got]
+    assert spark.sql("select cast(null as double) as x").select(clip.general(F.col("x"))).first()[0] is None
     t = spark.createDataFrame([("0:01:1.5",), ("x",), (None,), ("1:2",)], "t string")
     assert [r[0] for r in t.select(clip.clock_seconds(F.col("t"))).collect()] == [61.5, None, None, None]
 
@@ -168,3 +170,45 @@ def test_sql_functions(spark):
     assert "wer" in register.register(spark)
     row = spark.sql("select normalize_words('a_b C', 'n2') w, word_levenshtein(array('a'), array('b', 'a')) d, wer('a b', 'a c') e, wer('', 'x') n, dss_wer(array('a'), array('b'), array('b', 'a'), 'exact') s, align_words(array('a'), array('b'))[0].op o, size(parse_transcript('[(''a'', ''b'')]')) p, stable_seed('bootstrap', 'overlap', 'wav2vec2') z").first()
     assert (row.w, row.d, row.e, row.n, row.s, row.o, row.p, row.z) == (["ab", "c"], 1, 0.5, None, 0.0, "sub", 1, 20296181)
+
+
+def test_sql_tests_and_cutting(spark):
+    register.register(spark)
+    r = spark.sql("select permutation_test(d) p, bootstrap_ci(d) b from values (1.0D), (1.2D), (0.9D), (1.1D), (1.3D), (0.8D), (1.05D), (1.0D) t(d)").first()
+    assert r.p < 0.02 and r.b[0] < 1.04 < r.b[1]
+    x = spark.sql("select parse_clip_id('mix_0001236_0.14_2_None_D') c, parse_clip_id('real_0001') r, parse_clip_id(null) n").first()
+    assert (x.c.variant_index, x.c.base_mixture_id, x.c.overlap_ratio, x.c.snr_db, x.c.noise_type) == (1236, 103, 0.14, None, "D") and (x.r.variant_index, x.r.overlap_ratio) == (1, None)
+    spark.createDataFrame([("s", 0.0, 10.0), ("s", 5.0, 15.0), ("s", 15.0, 20.0), ("s", 20.0, 50.0), ("s", 30.0, 40.0), ("t", 0.0, 1.0)], "s string, a double, b double").createOrReplaceTempView("spans")
+    got = spark.sql("select * from segment_real(table(select a, b, s from spans) partition by (s), 12.0D) order by clip_no").collect()
+    assert [tuple(g) for g in got] == [(1, 0.0, 15.0), (2, 15.0, 50.0)]
+    w = spark.sql("select normalize_words(' A-b, c_d ... ', 'n3') a, normalize_words(null, 'n1') b, word_levenshtein(array(), array('x')) c").first()
+    assert (w.a, w.b, w.c) == (["ab", "cd", ""], [], 1)
+
+
+def test_distance_of_more_words_than_characters_of_the_plane(spark):
+    df = spark.createDataFrame([(["w%d" % i for i in range(20)], ["w%d" % (i * 2) for i in range(20)])], "r array<string>, h array<string>")
+    want = kernels.distance(*[[f"w{i * k}" for i in range(20)] for k in (1, 2)])
+    whole = text.IN_BMP
+    try:
+        text.IN_BMP = 7  # the rest go beyond the plane
+        assert df.select(text.word_distance(F.col("r"), F.col("h"))).first()[0] == want
+    finally:
+        text.IN_BMP = whole
+    assert df.select(text.word_distance(F.col("r"), F.col("h"))).first()[0] == want
+
+
+def test_orc_over_a_plane_equals_all_assignments(monkeypatch):
+    import random
+
+    r = random.Random(1)
+    for _ in range(150):
+        ref = [" ".join(r.choice("abc") for _ in range(r.randrange(5))) for _ in range(r.randrange(1, 5))]
+        hyp = [" ".join(r.choice("abc") for _ in range(r.randrange(6))) for _ in range(r.randrange(1, 4))]
+        if any(x.split() for x in ref):
+            want = kernels.orc_wer(ref, hyp)
+            monkeypatch.setattr(kernels, "ASSIGNMENTS", 0)
+            assert kernels.orc_wer(ref, hyp) == want
+            monkeypatch.undo()
+    assert kernels.orc_wer(["a b c d"] * 10, ["a b c d e"] * 3) == 0.7
+    with pytest.raises(ValueError):
+        kernels.orc_wer(["a"] * 40, ["a b c d e f g h i"] * 10)

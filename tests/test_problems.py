@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxtally.operators import badrows, intervals, nested
 from voxtally.plans import problems
@@ -148,10 +149,18 @@ def test_intervals_random(spark, block):
 
 def test_clock(spark):
     texts = ["0:00:01.50", "1:2:3", "10:00:00.007", "0:0:1.2", "--:--:--", "", None, "0:00:01.5000", "0:000:01", " 0:00:01", "0:00:01\n", "99999999999999999999:0:0", "0:61:75.1"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(intervals.clock_ms("t").alias("m") if False else intervals.clock_ms(__import__("pyspark").sql.functions.col("t")).alias("m"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(intervals.clock_ms(F.col("t")).alias("m"))
     assert [r.m for r in df.collect()] == [1500, 3723000, 36000007, 1200, None, None, None, None, None, None, None, None, 3735100]
 
 
+def test_times_beyond_timestamps(spark):
+    rows = [("a", "9999999999:00:00", "9999999999:00:01"), ("a", "0:00:01", "99999999999999999:00:00"), ("a", "0:00:01", "0:00:02"), ("a", "0:00:00", "2000000000000:00:00"), ("a", "1999999999999:59:59", "2000000000001:00:00")]
+    df = spark.createDataFrame([("s", k, a, b) for k, a, b in rows], "session_id string, speaker string, start_time string, end_time string")
+    assert [tuple(r)[2:] for r in intervals.speaking(df).collect()] == [("period", 0, 2000000000001 * 3_600_000)]
+    one = spark.createDataFrame([("s", *rows[0])], df.schema)
+    assert [tuple(r)[2:] for r in intervals.speaking(one).collect()] == [("period", 9999999999 * 3_600_000, 9999999999 * 3_600_000 + 1000)]
+
+
 def plain_links(transcriptions, files):
     out = Counter()
     for rid, p in transcriptions:

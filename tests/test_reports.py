@@ -74,9 +74,34 @@ def test_wilcoxon(spark):
     assert (r.statistic, r.n, r.n_non_zero) == (4.5, 6, 5) and 0 < r.p < 1
     same = stats.wilcoxon_pairs(df.withColumn("y", F.col("x")), "b", ["x", "y"]).first()
     assert (same.statistic, same.p, same.n_non_zero) == (0.0, 1.0, 0)
+    few = stats.wilcoxon_pairs(df.where("b in (0, 2, 4)").withColumn("x", F.col("x") + F.col("b") / 100), "b", ["x", "y"]).first()
+    assert few.p == stats.wilcoxon_exact([1.5, 2.02, -0.96])[1] and few.lower_mean == "y" and few.mean_a == pytest.approx(2.56 / 3)
     assert stats.wilcoxon_exact([1, 2, 3, 4, 5]) == (0.0, 0.0625) and stats.wilcoxon_exact([0, 0]) == (0.0, 1.0)
 
 
+def test_percentiles_without_a_group_in_one_task(spark):
+    g = np.random.default_rng(8)
+    data = {"a": np.round(g.normal(size=700), 1), None: g.random(311), "one": np.array([4.0]), "same": np.full(90, 2.5)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None), ("none", None)], "k string, v double").repartition(5)
+    for buckets in (2, 64):
+        c = ranking.running_counts(df, ["k"], "v", buckets).collect()
+        for k, x in data.items():
+            got = {r.v: (r.n, r.upto, r.total) for r in c if r.k == k}
+            assert got == {v: ((x == v).sum(), (x <= v).sum(), len(x)) for v in np.unique(x)}
+    got = {r.k: (r.q0, r.q1, r.q2) for r in ranking.exact_percentiles(df, ["k"], "v", [0.25, 0.5, 0.9]).collect()}
+    assert got.keys() == data.keys() and all(got[k] == pytest.approx(tuple(np.percentile(x, [25, 50, 90]))) for k, x in data.items())
+    assert ranking.exact_percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+    s = {r.k: r for r in summary.summarise(df, ["k"], "v").collect()}
+    assert s["none"].median is None and s["none"].n == 0 and s["one"].median == 4.0
+
+
+def test_windows_in_a_wanted_number(spark):
+    df = spark.createDataFrame([("s", 0.0, 10.0), ("s", 10.0, 20.0)], "session string, a double, b double")
+    assert segment.greedy_windows(df, "session", "a", "b", 5.0, n_clips=1).count() == 1
+    with pytest.raises(Exception, match="only 2 clips"):
+        segment.greedy_windows(df, "session", "a", "b", 5.0, n_clips=3).count()
+
+
 def test_outlier_fence(spark):
     df = spark.createDataFrame([(v,) for v in (0.1, 0.2, 0.2, 0.3, 0.9, None)], "v double").withColumn("k", F.lit(1))
     rows = stats.iqr_outliers(df, ["k"], "v").collect()
@@ -87,7 +112,7 @@ def test_resampling(spark):
     g = np.random.default_rng(1)
     rows = [("up", i, float(x)) for i, x in enumerate(g.normal(1, 1, 60))] + [("none", i, float(x)) for i, x in enumerate(g.normal(0, 1, 60))] + [("none", 999, None), ("nan", 1, float("nan"))]
     df = spark.createDataFrame(rows, "k string, i int, d double")
-    f = {r.k: r for r in stats.sign_flip(df, ["k"], "i", "d", 200).collect()}
+    f = {r.k: r for r in stats.flip_test(stats.flip_sums(df, ["k"], "i", "d", 200), ["k"]).collect()}
     assert set(f) == {"up", "none"} and f["up"].p_two < 0.02 and f["none"].p_two > 0.05 and f["up"].p_greater < 0.02 < f["up"].p_less
     b = {r.k: r for r in stats.bootstrap(df, ["k"], "i", "d", 200).collect()}
     assert b["up"].ci_low < f["up"].observed < b["up"].ci_high
@@ -145,7 +170,7 @@ def test_published_number_of_draws(spark, base):
         sd = m.std()
         assert np.abs(np.percentile(m, [2.5, 97.5]) - [r.ci_low, r.ci_high]).max() < 0.2 * sd + 1e-9
     assert min(r.draws for r in reports.bootstrap_ci(spark, base).collect()) > 9_990  # a group of n rows has none of them in a share exp(-n) of draws
-    assert {r.permutations for r in reports.sign_flip_full(spark, base).collect()} == {10_000}
+    assert {r.permutations for r in reports.sign_flip(spark, base).collect()} == {10_000}
 
 
 def test_draws_do_not_depend_on_the_partitioning(spark):

@@ -21,8 +21,20 @@ VARIANTS_PER_BASE = 12
 
 def general(x: Column) -> Column:
     """A number in its shortest form with six significant digits, as %g writes it."""
-    digits = F.format_string("%.6f", F.round(x, 5))
-    return F.when(x.cast("string") == "-0.0", "-0").when(x.isNotNull(), F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+    pieces = F.split(F.format_string("%.5e", x), "e")  # d.ddddd and the exponent
+
+    def written(p: Column) -> Column:
+        mantissa, power = F.get(p, F.lit(0)), F.get(p, F.lit(1)).cast("int")
+        sign = F.when(mantissa.startswith("-"), "-").otherwise("")
+        digits = F.regexp_replace(mantissa, "[-.]", "")
+        trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        whole = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+        part = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        fixed = F.concat(sign, F.when(power >= 0, trimmed(whole)).otherwise(trimmed(part)))
+        return F.when((power >= -4) & (power < 6), fixed).otherwise(F.concat(trimmed(mantissa), F.lit("e"), F.get(p, F.lit(1))))
+
+    finite = F.get(F.transform(F.array(pieces), written), F.lit(0))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == -float("inf"), "-inf").when(x.isNotNull(), finite)
 
 
 def parts(clip_id: Column) -> Column:

@@ -188,13 +188,23 @@ def di_cp_wer(ref: list[Segment], hyp: list[Segment]) -> float:
     return total(who, 1) / sum(len(v) for v in r.values())
 
 
+#: Assignments tried one by one at most, and cells of the plane over all streams at most.
+ASSIGNMENTS, CELLS = 20_000, 20_000_000
+
+
 def orc_wer(ref: list[str], hyp: list[str], words=str.split) -> float:
     """Optimal reference combination: every reference text goes to one hypothesis stream, in order, so that the sum of
-    the distances is least. Streams times assignments are tried; a stream's words depend on the assignment only."""
+    the distances is least.
+
+    Few assignments are tried one by one; a stream's words depend on the assignment only. Of more a plane over the
+    places in all streams keeps the least cost after each reference text. ValueError if that has more than CELLS cells.
+    """
     r, h = [words(t) for t in ref], [words(t) for t in hyp]
     total = sum(map(len, r))
     if not h:
         return total / total
+    if len(h) ** len(r) > ASSIGNMENTS:
+        return _orc_plane(r, h) / total
     best = None
     known: dict[tuple, int] = {}
     for to in product(range(len(h)), repeat=len(r)):
@@ -208,6 +218,30 @@ def orc_wer(ref: list[str], hyp: list[str], words=str.split) -> float:
     return best / total
 
 
+def _orc_plane(r: list[list[str]], h: list[list[str]]) -> int:
+    """d[p, q, ..] is the least cost of the reference texts so far with p, q, .. words of the streams used up."""
+    shape = [len(s) + 1 for s in h]
+    if np.prod(shape, dtype=np.float64) > CELLS:
+        raise ValueError(f"{len(r)} reference speakers and {len(h)} streams are too many for an exact assignment")
+    ids: dict[str, int] = {}
+    codes = [np.array([ids.setdefault(w, len(ids)) for w in s], dtype=np.int64) for s in h]
+    steps = [np.arange(n, dtype=np.int32).reshape([-1 if k == i else 1 for k in range(len(h))]) for i, n in enumerate(shape)]
+    d = sum(steps, np.zeros(shape, dtype=np.int32))
+    for text in r:
+        best = None
+        for k, code in enumerate(codes):
+            e = d
+            here = lambda a, k=k: tuple(a if i == k else slice(None) for i in range(len(h)))
+            for w in text:
+                new = e + 1
+                met = e[here(slice(None, -1))] + (code != ids.get(w, -1)).astype(np.int32).reshape(steps[k][here(slice(1, None))].shape)
+                np.minimum(new[here(slice(1, None))], met, out=new[here(slice(1, None))])
+                e = np.minimum.accumulate(new - steps[k], axis=k) + steps[k]
+            best = e if best is None else np.minimum(best, e)
+        d = best
+    return int(d[tuple(-1 for _ in h)])
+
+
 # -- two-stream serialisation -----------------------------------------------------------------------------------------
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the ASCII punctuation that n3 deletes.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Distinct words of a pair that have a character of their own: U+4E00 up to the surrogates.
-MAX_WORDS = 0xD800 - 0x4E00
+#: Distinct words of a pair that have a character of their own: U+4E00 up to the surrogates, then all beyond the BMP.
+IN_BMP = 0xD800 - 0x4E00
+MAX_WORDS = IN_BMP + 0x100000
 
 
 def _split(text: Column) -> Column:
@@ -47,7 +48,8 @@ def squeeze(text: Column) -> Column:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two word arrays; null if they have more than MAX_WORDS distinct words.
+    """Levenshtein distance of two word arrays; null for a null array. A pair of more than MAX_WORDS (1 083 904) distinct
+    words fails the query, as it has more words than there are characters.
 
     The pair and its vocabulary go through a one-element array, as an expression inside a lambda is evaluated anew for
     every word.
@@ -55,11 +57,16 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     pair = F.struct(F.array_distinct(F.concat(ref, hyp)).alias("voc"), ref.alias("r"), hyp.alias("h"))
 
     def code(words: Column, voc: Column) -> Column:
-        one = lambda w: F.decode(F.unhex(F.hex(F.array_position(voc, w) + F.lit(0x4E00 - 1))), "UTF-16BE")
-        return F.array_join(F.transform(words, one), "")
+        def one(w: Column) -> Column:
+            at = F.array_position(voc, w) - 1
+            far = at - IN_BMP  # a surrogate pair
+            return F.when(at < IN_BMP, at + 0x4E00).otherwise((F.shiftright(far, 10) + 0xD800) * 0x10000 + far.bitwiseAND(0x3FF) + 0xDC00)
+
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(one(w))), "UTF-16BE")), "")
 
     def distance(p: Column) -> Column:
-        return F.when(F.size(p["voc"]) <= MAX_WORDS, F.levenshtein(code(p["r"], p["voc"]), code(p["h"], p["voc"])))
+        found = F.levenshtein(code(p["r"], p["voc"]), code(p["h"], p["voc"]))
+        return F.when(F.size(p["voc"]) <= MAX_WORDS, found).when(p["voc"].isNotNull(), F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
 
     return F.get(F.transform(F.array(pair), distance), F.lit(0))
 

@@ -180,7 +180,7 @@ def hypotheses(transcription: DataFrame) -> DataFrame:
 
 def real_scores(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     """clip_id, model_name, wer, orc_wer, counts and is_segmented over raw words; the combination rate only where the
-    hypothesis has several segments. Segments without text are left out, pairs without reference words too."""
+    hypothesis has several segments and null where kernels.orc_wer refuses the pair. Segments without text are left out, pairs without reference words too."""
     clean = lambda c: F.filter(c, lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
     rows = refs.select("clip_id", clean("segments").alias("ref")).join(hyps.select("clip_id", "model_name", clean("segments").alias("hyp")), "clip_id")
     raw = lambda c: F.filter(F.flatten(F.transform(c, lambda s: F.split(s["text"], r"\s+"))), lambda w: w != "")
@@ -195,7 +195,10 @@ def real_scores(refs: DataFrame, hyps: DataFrame) -> DataFrame:
                     out.append(None)
                     continue
                 join = lambda segs: [" ".join(v) for v in kernels.by_speaker([(str(s["speaker"]), s["text"]) for s in segs]).values()]
-                out.append(kernels.orc_wer(join(r), join(h)))
+                try:
+                    out.append(kernels.orc_wer(join(r), join(h)))
+                except ValueError:
+                    out.append(None)
             yield pd.Series(out, dtype="float64")
 
     several = F.size("hyp") > 1

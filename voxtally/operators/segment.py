@@ -30,29 +30,36 @@ def contained(utterances: DataFrame, windows: DataFrame, keys: list[str], start:
     return u.join(w, [*keys, "__b"]).where((F.col(start) >= F.col("w_start")) & (F.col(end) <= F.col("w_end"))).drop("__b")
 
 
-def greedy_windows(utterances: DataFrame, session: str, start: str, end: str, min_length: float) -> DataFrame:
-    """session, clip_no, w_start, w_end: from the first start on, the earliest boundary without crossing that makes the
-    window long enough; the next window begins at the next utterance start. Sequential, so by session; the boundaries
-    and starts of a session are distinct moments, found by the sweep first."""
+def greedy(begins: list[float], ends: list[float], min_length: float) -> list[tuple[float, float]]:
+    """Windows from sorted starts and sorted ends: from the first start on, the earliest end that makes the window long
+    enough; the next window begins at the next start that is not before that end."""
+    out, last, i, j = [], float("-inf"), 0, 0
+    while True:
+        while i < len(begins) and begins[i] < last:
+            i += 1
+        if i == len(begins):
+            return out
+        while j < len(ends) and (ends[j] <= begins[i] or ends[j] - begins[i] < min_length):
+            j += 1
+        if j == len(ends):
+            return out
+        out.append((begins[i], ends[j]))
+        last, i = ends[j], i + 1
+
+
+def greedy_windows(utterances: DataFrame, session: str, start: str, end: str, min_length: float, n_clips: int | None = None) -> DataFrame:
+    """session, clip_no, w_start, w_end: windows between boundaries that no utterance crosses, see greedy(). With n_clips
+    the first n of each session; a session that has fewer fails the query.
+
+    Sequential, so by session; its boundaries and starts are distinct moments, found by the sweep first."""
     free = crossings(utterances, [session], start, end).where("n_crossing = 0").select(session, F.col("at"), F.lit(True).alias("is_end"))
     starts = utterances.where(F.col(end) > F.col(start)).select(session, F.col(start).cast("double").alias("at"), F.lit(False).alias("is_end")).distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, begins = sorted(pdf.loc[pdf.is_end, "at"]), sorted(pdf.loc[~pdf.is_end, "at"])
-        out, last, i, j = [], float("-inf"), 0, 0
-        while True:
-            while i < len(begins) and begins[i] < last:
-                i += 1
-            if i == len(begins):
-                break
-            a = begins[i]
-            while j < len(ends) and (ends[j] <= a or ends[j] - a < min_length):
-                j += 1
-            if j == len(ends):
-                break
-            out.append((pdf[session].iat[0], len(out) + 1, a, ends[j]))
-            last, i = ends[j], i + 1
-        return pd.DataFrame(out, columns=[session, "clip_no", "w_start", "w_end"])
+        out = greedy(sorted(pdf.loc[~pdf.is_end, "at"]), sorted(pdf.loc[pdf.is_end, "at"]), min_length)
+        if n_clips is not None and len(out) < n_clips:
+            raise ValueError(f"only {len(out)} clips of {min_length} s in session {pdf[session].iat[0]}, {n_clips} are wanted")
+        return pd.DataFrame([(pdf[session].iat[0], i, a, b) for i, (a, b) in enumerate(out[:n_clips], 1)], columns=[session, "clip_no", "w_start", "w_end"])
 
     kind = dict(utterances.dtypes)[session]
     return free.unionByName(starts).where(F.col(session).isNotNull()).groupBy(session).applyInPandas(run, f"`{session}` {kind}, clip_no int, w_start double, w_end double")

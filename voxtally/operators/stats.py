@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from . import ranking
 from .ranking import average_rank
 
 
@@ -38,17 +39,22 @@ def chi2_sf(x: Column, df: int) -> Column:
 
 
 def erfc(z: Column) -> Column:
-    """Complementary error function of z >= 0 by a continued fraction beyond 2 and the series below."""
-    cf = F.lit(0.0)
-    for k in range(60, 0, -1):
-        cf = F.lit(k / 2) / (z + cf)
-    far = F.exp(-z * z) / math.sqrt(math.pi) / (z + cf)
-    term = z
-    series = z
-    for n in range(1, 40):
-        term = -term * z * z / n
-        series = series + term / (2 * n + 1)
-    return F.when(z > 2, far).otherwise(1 - 2 / math.sqrt(math.pi) * series)
+    """Complementary error function of z >= 0 by a continued fraction beyond 2 and the series below. Both are folded over
+    a sequence, as written out they would be too long for generated code."""
+
+    def value(z: Column) -> Column:
+        cf = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(0.0), lambda acc, k: (k / 2) / (z + acc))
+        far = F.exp(-z * z) / math.sqrt(math.pi) / (z + cf)
+        start = F.struct(z.alias("term"), z.alias("total"))
+
+        def add(acc: Column, n: Column) -> Column:
+            term = -acc["term"] * z * z / n
+            return F.struct(term.alias("term"), (acc["total"] + term / (2 * n + 1)).alias("total"))
+
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(39)), start, add)["total"]
+        return F.when(z > 2, far).otherwise(1 - 2 / math.sqrt(math.pi) * series)
+
+    return F.get(F.transform(F.array(z), value), F.lit(0))
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -70,64 +76,64 @@ def friedman(pairs: DataFrame, block: str, treatments: list[str]) -> DataFrame:
 
 
 def wilcoxon_pairs(pairs: DataFrame, block: str, treatments: list[str]) -> DataFrame:
-    """Signed-rank test of every pair of columns: model_a, model_b, n, n_non_zero, statistic, p, mean_diff, median_diff.
+    """Signed-rank test of every pair of columns: model_a, model_b, n, n_non_zero, statistic, p, mean_a, mean_b, mean_diff,
+    median_diff, lower_mean.
 
-    Zero differences are dropped, ties averaged, the tail is normal with the tie correction; all differences zero give
-    statistic 0 and p 1. Ranks are taken over the distinct absolute differences of a pair with their counts, so the
-    window holds distinct values, not rows.
+    Zero differences are dropped, ties averaged. Up to SMALL differences without ties or zeros have their exact tail, all
+    others the normal one with the tie correction; all differences zero give statistic 0 and p 1. Ranks come from counts
+    of the distinct absolute differences, so no task holds the rows of a pair.
     """
-    diffs = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(a) - F.col(b)).alias("d")) for a, b in combinations(treatments, 2)])
-    long = pairs.dropna(subset=treatments).select(F.explode(diffs).alias("x")).select("x.*")
+    value = lambda a, b: F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) - F.col(b)).alias("d"))
+    long = pairs.dropna(subset=treatments).select(F.explode(F.array(*[value(a, b) for a, b in combinations(treatments, 2)])).alias("x")).select("x.*")
     keys = ["model_a", "model_b"]
-    base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.median("d").alias("median_diff"))
-    c = long.where("d <> 0").groupBy(*keys, F.abs("d").alias("a")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count(F.lit(1)).alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("r", before + (F.col("t") + 1) / 2)
-    s = c.groupBy(*keys).agg(F.sum("t").alias("m"), F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("minus"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_diff"))
+    base = ranking.with_percentiles(base, long, keys, {"median_diff": (F.col("d"), 0.5)})
+    moved = long.where("d <> 0").select(*keys, F.abs("d").alias("a"), (F.col("d") > 0).alias("up"))
+    ups = moved.groupBy(*keys, "a").agg(F.count_if("up").alias("up"))
+    c = ranking.running_counts(moved, keys, "a").join(ups, [*keys, "a"])
+    r = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    s = c.groupBy(*keys).agg(F.sum("n").alias("m"), F.sum(r * F.col("up")).alias("plus"), F.sum(r * (F.col("n") - F.col("up"))).alias("minus"), F.sum(F.col("n") ** 3 - F.col("n")).alias("ties"))
     out = base.join(s, keys, "left")
-    m = F.col("m")
-    stat = F.least("plus", "minus")
+    m, stat = F.col("m"), F.least("plus", "minus")
     z = (stat - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
     out = out.withColumn("statistic", stat).withColumn("z", z)
-    return out.select(*keys, "n", F.coalesce(m, F.lit(0)).alias("n_non_zero"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), F.coalesce(normal_two_sided(F.col("z")), F.lit(1.0)).alias("p"), "mean_diff", "median_diff")
+    small = (m <= SMALL) & (m == F.col("n")) & (F.col("ties") == 0)
+    p = F.when(small, signed_rank_tail(F.when(small, m), F.when(small, F.col("statistic")))).otherwise(normal_two_sided(F.col("z")))
+    lower = F.when(F.col("mean_diff") < 0, F.col("model_a")).when(F.col("mean_diff") > 0, F.col("model_b"))
+    return out.select(
+        *keys, "n", F.coalesce(m, F.lit(0)).alias("n_non_zero"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), F.coalesce(p, F.lit(1.0)).alias("p"),
+        "mean_a", "mean_b", "mean_diff", "median_diff", lower.alias("lower_mean"),
+    )
 
 
-def wilcoxon_exact(d: list[float]) -> tuple[float, float]:
-    """Statistic and exact two-sided p of a small sample without ties, by counting sign patterns per rank sum."""
-    x = [v for v in d if v]
-    if not x:
-        return 0.0, 1.0
-    order = sorted(x, key=abs)
-    plus = sum(i for i, v in enumerate(order, 1) if v > 0)
-    n, total = len(x), len(x) * (len(x) + 1) // 2
-    ways = np.zeros(total + 1)
+#: Differences up to which the signed-rank test is exact.
+SMALL = 50
+
+
+def signed_rank_ways(n: int) -> np.ndarray:
+    """How many sign patterns of n ranks give each rank sum."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
     ways[0] = 1
     for r in range(1, n + 1):
         ways[r:] = ways[r:] + ways[:-r].copy()
-    low = min(plus, total - plus)
-    return float(low), float(min(1.0, 2 * ways[: low + 1].sum() / 2**n))
+    return ways
 
 
-def sign_flip(df: DataFrame, keys: list[str], item: str, diff: str, permutations: int, salt: str = "flip") -> DataFrame:
-    """Paired permutation test: keys, n, observed mean, p_two, p_less, p_greater.
+@F.pandas_udf(DoubleType())
+def signed_rank_tail(n: pd.Series, statistic: pd.Series) -> pd.Series:
+    """Exact two-sided p of the smaller rank sum of n differences."""
+    return pd.Series([None if pd.isna(k) else min(1.0, 2 * signed_rank_ways(int(k))[: int(s) + 1].sum() / 2.0 ** int(k)) for k, s in zip(n, statistic)], dtype="float64")
 
-    The sign of a row in a permutation is a bit of a digest of both, so the draw is the same whatever the
-    partitioning; a row is multiplied by the permutations inside its task and summed there before the shuffle.
-    """
-    rows = df.where(F.col(diff).isNotNull() & ~F.isnan(diff)).select(*keys, F.col(item).cast("string").alias("__i"), F.col(diff).alias("__d"))
-    seen = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("observed"))
-    drawn = rows.withColumn("__p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    plus = F.md5(F.concat_ws("|", F.lit(salt), F.col("__p").cast("string"), F.col("__i"))) < "8"
-    means = drawn.groupBy(*keys, "__p").agg(F.avg(F.when(plus, F.col("__d")).otherwise(-F.col("__d"))).alias("m"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    both = means.alias("a").join(seen.alias("b"), on).select("b.*", "a.m")
-    p = lambda c: ((1 + F.count_if(c)) / (permutations + 1))
-    eps = 1e-12
-    return both.groupBy(*keys, "n", "observed").agg(
-        p(F.abs(F.col("m")) >= F.abs(F.col("observed")) - eps).alias("p_two"), p(F.col("m") <= F.col("observed") + eps).alias("p_less"), p(F.col("m") >= F.col("observed") - eps).alias("p_greater")
-    )
+
+def wilcoxon_exact(d: list[float]) -> tuple[float, float]:
+    """Statistic and exact two-sided p of a small sample without ties."""
+    order = sorted((v for v in d if v), key=abs)
+    if not order:
+        return 0.0, 1.0
+    n = len(order)
+    plus = sum(i for i, v in enumerate(order, 1) if v > 0)
+    low = min(plus, n * (n + 1) // 2 - plus)
+    return float(low), float(min(1.0, 2 * signed_rank_ways(n)[: low + 1].sum() / 2**n))
 
 
 #: Draws of the published analysis; rows in one numpy block; groups a task keeps before it hands its sums on.
@@ -202,7 +208,7 @@ def drawn_sums(df: DataFrame, keys: list[str], item: str, value: str, draws: int
     so they are the same whatever the partitioning.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    rows = rows.select(*keys, F.xxhash64(F.lit(salt), F.col(item).cast("string")).alias("__s"), F.col(value).cast("double").alias("__v"))
+    rows = rows.select(*keys, F.unhex(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col(item).cast("string"))), 1, 16)).alias("__s"), F.col(value).cast("double").alias("__v"))
     spark = df.sparkSession
     rows = rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "__s")
     schema = rows.select(*keys).schema.add("n", "long").add("total", "double").add("sums", ArrayType(DoubleType()))
@@ -213,7 +219,7 @@ def drawn_sums(df: DataFrame, keys: list[str], item: str, value: str, draws: int
         for b in batches:
             for key, g in b.groupby(keys, dropna=False, sort=False):
                 got = at.setdefault(tuple(None if pd.isna(k) else k for k in key), [0, 0.0, 0.0])
-                seeds, values = g["__s"].to_numpy().astype(np.int64).view(np.uint64), g["__v"].to_numpy()
+                seeds, values = np.frombuffer(b"".join(map(bytes, g["__s"])), ">u8").astype(np.uint64), g["__v"].to_numpy()
                 got[0] += len(values)
                 got[1] += float(values.sum())
                 for i in range(0, len(values), BLOCK):
@@ -245,7 +251,7 @@ def flip_sums(df: DataFrame, keys: list[str], item: str, diff: str, permutations
 
 
 def flip_test(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, permutations, observed, p_two, p_less, p_greater from flip_sums; the columns of sign_flip."""
+    """keys, n, permutations, observed, p_two, p_less, p_greater from flip_sums."""
 
     def result(n: int, total: float, x: np.ndarray) -> tuple:
         m, seen, eps = x / n, total / n, 1e-12
@@ -292,7 +298,7 @@ def permutation_exact_order(diffs: np.ndarray, permutations: int, seed: int, alt
 
 def iqr_outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows of df with q1, q3, fence and is_outlier (above the upper fence)."""
-    q = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = ranking.exact_percentiles(df, keys, value, [0.25, 0.75]).select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     q = q.withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return df.where(F.col(value).isNotNull()).join(q, keys).withColumn("is_outlier", F.col(value) > F.col("fence"))
 

@@ -6,4 +6,4 @@ from . import problems, reports, scoring
 
 FLAGSHIP = "wer_by_model"
 QUERIES = {**problems.QUERIES, **reports.QUERIES, **scoring.QUERIES}
-SQL = {**problems.SQL, **reports.SQL}
+SQL = {**problems.SQL, **reports.SQL, **scoring.SQL}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, text
 from ..operators import frames, ranking, segment, stats, summary
-from ..session import spread, table
+from ..session import cut, spread, table
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,9 +99,9 @@ def matched_clips(spark, base):
     return frames.successful(scores(spark, base)).where("matched").select("model", "clip_id").distinct().groupBy("model").agg(F.count(F.lit(1)).alias("n_clips"))
 
 
-@query("SELECT clip_id, string_split(clip_id, '_')[3] AS overlap_text, len(source_files) AS n_chars, snr_db IS NULL AS is_clean, CASE WHEN snr_db IS NULL THEN 'No noise' ELSE format('{:g}', snr_db) || ' dB' END AS snr_text FROM mixture_meta WHERE snr_db IS NULL OR NOT isnan(snr_db)")
+@query("SELECT clip_id, string_split(clip_id, '_')[3] AS overlap_text, len(source_files) AS n_chars, snr_db IS NULL AS is_clean, CASE WHEN snr_db IS NULL THEN 'No noise' ELSE format('{:g}', snr_db) || ' dB' END AS snr_text FROM mixture_meta")
 def manifest_labels(spark, base):
-    m = table(spark, base, "mixture_meta").where("snr_db is null or not isnan(snr_db)")
+    m = table(spark, base, "mixture_meta")
     return m.select("clip_id", F.get(clip.parts(F.col("clip_id")), F.lit(2)).alias("overlap_text"), F.length("source_files").alias("n_chars"), F.col("snr_db").isNull().alias("is_clean"), F.when(F.col("snr_db").isNull(), "No noise").otherwise(F.concat(clip.general(F.col("snr_db")), F.lit(" dB"))).alias("snr_text"))
 
 
@@ -134,7 +134,7 @@ _tokens("n1", _T.format(rf"regexp_split_to_array(regexp_replace(lower(coalesce(t
 _tokens("n2", _T.format(rf"regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\s\x0b\x85\p{{Z}}]', '', 'g'), '[\s\x0b\x85\p{{Z}}]+')"))
 
 
-@query()
+@query(r"SELECT doc_id, len(w)::INTEGER AS n_words, md5(array_to_string(w, '|')) AS digest FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x85\p{Z}]+'), lambda x: x <> ''), lambda x: translate(lower(x), '" + text.PUNCTUATION.replace("'", "''") + r"', '')) AS w FROM documents)")
 def tok_n3(spark, base):
     w = text.n3(F.col("text"))
     return table(spark, base, "documents").select("doc_id", F.size(w).alias("n_words"), F.md5(F.array_join(w, "|")).alias("digest"))
@@ -169,7 +169,7 @@ def wer_pairs(spark, base):
 @query(PAIRS + "SELECT model, count(*) AS n, sum(dist)::BIGINT AS errors, sum(n_ref)::BIGINT AS words, round(sum(dist) / sum(n_ref), 6) AS corpus_wer, round(avg(dist / n_ref), 6) AS mean_wer, round(median(dist / n_ref), 6) AS median_wer FROM x GROUP BY model")
 def wer_by_model(spark, base):
     x = pair_errors(spark, base).withColumn("wer", F.col("dist") / F.col("n_ref"))
-    return x.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("errors"), F.sum("n_ref").alias("words"), r6(F.sum("dist") / F.sum("n_ref")).alias("corpus_wer"), r6(F.avg("wer")).alias("mean_wer"), r6(F.median("wer")).alias("median_wer"))
+    return x.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("errors"), F.sum("n_ref").alias("words"), r6(F.sum("dist") / F.sum("n_ref")).alias("corpus_wer"), r6(F.avg("wer")).alias("mean_wer"), r6(F.median("wer")).alias("median_wer"))  # the flagship: its table is small beside the texts it scores
 
 
 @query(r"SELECT example_id, trim(regexp_replace(hypothesis, '\s+', ' ', 'g')) AS hypothesis, length(hypothesis) AS n_chars FROM worst_wer_examples")
@@ -177,10 +177,12 @@ def squeezed_text(spark, base):
     return table(spark, base, "worst_wer_examples").select("example_id", text.squeeze(F.col("hypothesis")).alias("hypothesis"), F.length("hypothesis").cast("long").alias("n_chars"))
 
 
-@query("SELECT model, sum(coalesce(len(string_split_regex(trim(reference), '\\s+')), 0))::BIGINT AS ref_tokens, count(*) AS n FROM worst_wer_examples WHERE trim(reference) <> '' GROUP BY model")
+@query(r"""WITH t AS (SELECT model, len(string_split_regex(trim(reference), '\s+')) AS r, CASE WHEN trim(coalesce(hypothesis, '')) = '' THEN 0 ELSE len(string_split_regex(trim(hypothesis), '\s+')) END AS h FROM worst_wer_examples WHERE trim(reference) <> '')
+SELECT model, count(*) AS n, sum(r)::BIGINT AS ref_tokens, sum(h)::BIGINT AS hyp_tokens, sum(r + h)::BIGINT AS compared_tokens, round(avg(r), 6) AS mean_ref, round(avg(h), 6) AS mean_hyp FROM t GROUP BY model""")
 def token_totals(spark, base):
-    w = table(spark, base, "worst_wer_examples").where(F.trim("reference") != "")
-    return w.groupBy("model").agg(F.sum(F.size(F.split(F.trim("reference"), r"\s+"))).alias("ref_tokens"), F.count(F.lit(1)).alias("n"))
+    n = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim(c), r"\s+")))
+    t = table(spark, base, "worst_wer_examples").where(F.trim("reference") != "").select("model", n("reference").alias("r"), n("hypothesis").alias("h"))
+    return rounded(t.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("ref_tokens"), F.sum("h").alias("hyp_tokens"), F.sum(F.col("r") + F.col("h")).alias("compared_tokens"), F.avg("r").alias("mean_ref"), F.avg("h").alias("mean_hyp")))
 
 
 # -- summaries --------------------------------------------------------------------------------------------------------
@@ -233,24 +235,23 @@ def by_overlap(spark, base):
     return rounded(summary.summarise(frames.successful(scores(spark, base)), ["ovr_label"], "wer"))
 
 
-@query(S + "SELECT snr_label, " + ", ".join(f"round(avg(wer) FILTER (ovr_label = '{o}'), 6) AS \"ovr_{o}\"" for o in clip.OVR_ORDER) + " FROM ok GROUP BY snr_label")
+@query(S + "SELECT snr_label, " + ", ".join(f"round(avg(wer) FILTER (ovr_label = '{o}'), 6) AS \"ovr_{o}\"" for o in clip.OVR_ORDER) + " FROM ok RIGHT JOIN (SELECT unnest(['clean', '7.4', '0', '-5']) AS snr_label) USING (snr_label) GROUP BY snr_label")
 def cross_mean(spark, base):
-    g = summary.grid(frames.successful(scores(spark, base)), "snr_label", "ovr_label", clip.OVR_ORDER, F.avg("wer"))
+    g = summary.grid(frames.successful(scores(spark, base)), "snr_label", "ovr_label", clip.OVR_ORDER, F.avg("wer"), clip.SNR_ORDER)
     return g.select("snr_label", *[r6(F.col(f"`{o}`")).alias(f"ovr_{o}") for o in clip.OVR_ORDER])
 
 
-@query(S + "SELECT snr_label, " + ", ".join(f"nullif(count(*) FILTER (ovr_label = '{o}'), 0) AS \"ovr_{o}\"" for o in clip.OVR_ORDER) + " FROM ok GROUP BY snr_label")
+@query(S + "SELECT snr_label, " + ", ".join(f"nullif(count(*) FILTER (ovr_label = '{o}'), 0) AS \"ovr_{o}\"" for o in clip.OVR_ORDER) + " FROM ok RIGHT JOIN (SELECT unnest(['clean', '7.4', '0', '-5']) AS snr_label) USING (snr_label) GROUP BY snr_label")
 def cross_count(spark, base):
-    g = summary.grid(frames.successful(scores(spark, base)), "snr_label", "ovr_label", clip.OVR_ORDER, F.count(F.lit(1)))
+    g = summary.grid(frames.successful(scores(spark, base)), "snr_label", "ovr_label", clip.OVR_ORDER, F.count(F.lit(1)), clip.SNR_ORDER)
     return g.select("snr_label", *[F.col(f"`{o}`").alias(f"ovr_{o}") for o in clip.OVR_ORDER])
 
 
-@query(S + "SELECT snr_label, " + ", ".join(f"nullif(count(DISTINCT clip_id) FILTER (ovr_label = '{o}'), 0) AS \"ovr_{o}\"" for o in clip.OVR_ORDER) + " FROM ok GROUP BY snr_label")
+@query(S + "SELECT snr_label, " + ", ".join(f"nullif(count(DISTINCT clip_id) FILTER (ovr_label = '{o}'), 0) AS \"ovr_{o}\"" for o in clip.OVR_ORDER) + " FROM ok RIGHT JOIN (SELECT unnest(['clean', '7.4', '0', '-5']) AS snr_label) USING (snr_label) GROUP BY snr_label")
 def cross_clips(spark, base):
     d = frames.successful(scores(spark, base)).where("clip_id is not null").select("snr_label", "ovr_label", "clip_id").distinct()
-    g = summary.grid(d, "snr_label", "ovr_label", clip.OVR_ORDER, F.count(F.lit(1)))
-    rows = frames.successful(scores(spark, base)).select("snr_label").distinct()
-    return rows.join(g, "snr_label", "left").select("snr_label", *[F.col(f"`{o}`").alias(f"ovr_{o}") for o in clip.OVR_ORDER])
+    g = summary.grid(d, "snr_label", "ovr_label", clip.OVR_ORDER, F.count(F.lit(1)), clip.SNR_ORDER)
+    return g.select("snr_label", *[F.col(f"`{o}`").alias(f"ovr_{o}") for o in clip.OVR_ORDER])
 
 
 @query(
@@ -271,6 +272,16 @@ def comparison_counts(spark, base):
     return rows.select("model", F.when(d > 1e-12, "dss_above").when(d < -1e-12, "dss_below").otherwise("equal").alias("comparison")).groupBy("model", "comparison").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(S + """SELECT 'snr 7.4, T' AS slice, model, ovr_label AS level, count(wer) AS n, round(avg(wer), 6) AS mean FROM ok WHERE snr_db = 7.4 AND noise_type = 'T' GROUP BY ALL
+UNION ALL SELECT 'overlap 0.14, T', model, snr_label, count(wer), round(avg(wer), 6) FROM ok WHERE abs(overlap_ratio - 0.14) <= 1e-8 + 1e-5 * 0.14 AND noise_type = 'T' GROUP BY ALL""")
+def slices(spark, base):
+    """Means along the overlaps at 7.4 dB and along the noise levels at overlap 0.14, both with noise T."""
+    ok = frames.successful(scores(spark, base)).where("noise_type = 'T'")
+    one = lambda rows, name, level: rows.groupBy("model", F.col(level).alias("level")).agg(F.count("wer").alias("n"), r6(F.avg("wer")).alias("mean")).withColumn("slice", F.lit(name))
+    near = F.abs(F.col("overlap_ratio") - 0.14) <= 1e-8 + 1e-5 * 0.14
+    return one(ok.where("snr_db = 7.4D"), "snr 7.4, T", "ovr_label").unionByName(one(ok.where(near), "overlap 0.14, T", "snr_label"))
+
+
 @query(S + "SELECT status, wer_method, metric_type, count(*) AS n FROM s GROUP BY ALL")
 def status_counts(spark, base):
     return scores(spark, base).groupBy("status", "wer_method", "metric_type").agg(F.count(F.lit(1)).alias("n"))
@@ -336,11 +347,11 @@ def extra_and_missing(spark, base):
     return a.join(b, "clip_id", "outer").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(S + """, a AS (SELECT model, avg(wer) AS a_mean, stddev_samp(wer) AS a_sd FROM ok WHERE wer IS NOT NULL GROUP BY model),
-b AS (SELECT model, avg(wer) AS b_mean, stddev_samp(wer) AS b_sd FROM worst_wer_examples WHERE wer IS NOT NULL GROUP BY model),
-j AS (SELECT coalesce(a.model, b.model) AS model, a_mean, a_sd, b_mean, b_sd FROM a FULL JOIN b USING (model) WHERE coalesce(a.model, b.model) IS NOT NULL),
-k AS (SELECT *, CASE WHEN a_mean IS NOT NULL THEN rank() OVER (PARTITION BY a_mean IS NULL ORDER BY a_mean) END AS a_rank, CASE WHEN b_mean IS NOT NULL THEN rank() OVER (PARTITION BY b_mean IS NULL ORDER BY b_mean) END AS b_rank FROM j)
-SELECT model, round(a_mean, 6) AS a_mean, round(a_sd, 6) AS a_sd, round(b_mean, 6) AS b_mean, round(b_sd, 6) AS b_sd, a_rank::INTEGER AS a_rank, b_rank::INTEGER AS b_rank, round(b_mean - a_mean, 6) AS delta, round(b_mean / a_mean, 6) AS ratio, (b_rank - a_rank)::INTEGER AS rank_shift FROM k""")
+@query(S + """, a AS (SELECT model, avg(wer) AS a_mean, median(wer) AS a_median, stddev_samp(wer) AS a_sd FROM ok WHERE wer IS NOT NULL GROUP BY model),
+b AS (SELECT model, avg(wer) AS b_mean, median(wer) AS b_median, stddev_samp(wer) AS b_sd FROM worst_wer_examples WHERE wer IS NOT NULL GROUP BY model),
+k AS (SELECT *, rank() OVER (ORDER BY a_mean) AS a_rank, rank() OVER (ORDER BY b_mean) AS b_rank FROM a JOIN b USING (model) WHERE model IS NOT NULL)
+SELECT model, round(a_mean, 6) AS a_mean, round(a_median, 6) AS a_median, round(a_sd, 6) AS a_sd, round(b_mean, 6) AS b_mean, round(b_median, 6) AS b_median, round(b_sd, 6) AS b_sd, a_rank::INTEGER AS a_rank, b_rank::INTEGER AS b_rank,
+  round(b_mean - a_mean, 6) AS delta, round(b_mean / a_mean, 6) AS ratio, (b_rank - a_rank)::INTEGER AS rank_shift FROM k""")
 def transfer(spark, base):
     a = frames.successful(scores(spark, base)).where("model is not null").select("model", "wer")
     b = table(spark, base, "worst_wer_examples").where("model is not null").select("model", "wer")
@@ -356,10 +367,9 @@ def model_pairs(spark, base):
 
 @query("SELECT DISTINCT o.o AS overlap, s.s AS snr, n.n AS noise, format('mix_{:07d}_{:.2f}_2_{}_{}', 12 * 3, o.o, coalesce(format('{:g}', s.s), 'None'), n.n) AS clip_id FROM (SELECT unnest([0.0, 0.14, 0.2, 0.4]::DOUBLE[]) AS o) o, (SELECT unnest([NULL, 7.4, 0, -5]::DOUBLE[]) AS s) s, (SELECT unnest(['D', 'P', 'T']) AS n) n")
 def factor_grid(spark, base):
-    one = spark.range(1)
-    g = one.select(F.explode(F.array(*[F.lit(x) for x in (0.0, 0.14, 0.2, 0.4)])).alias("overlap")).select("overlap", F.explode(F.array(F.lit(None).cast("double"), F.lit(7.4), F.lit(0.0), F.lit(-5.0))).alias("snr"))
-    g = g.select("*", F.explode(F.array(*map(F.lit, clip.NOISE_ORDER))).alias("noise"))
-    return g.withColumn("clip_id", F.format_string("mix_%07d_%.2f_2_%s_%s", F.lit(36), "overlap", F.coalesce(clip.general(F.col("snr")), F.lit("None")), "noise"))
+    g = readers.factor_grid(spark, [0.0, 0.14, 0.2, 0.4], [2], [None, 7.4, 0.0, -5.0], clip.NOISE_ORDER)
+    made = readers.clip_id(F.lit(36), F.col("overlap_ratio"), F.col("max_speakers"), F.col("snr_db"), F.col("noise_type"))
+    return g.select(F.col("overlap_ratio").alias("overlap"), F.col("snr_db").alias("snr"), F.col("noise_type").alias("noise"), made.alias("clip_id"))
 
 
 # -- ranks and curves -------------------------------------------------------------------------------------------------
@@ -384,15 +394,18 @@ def model_ranks(spark, base):
     return m.select("model", r6("m").alias("mean"), F.rank().over(Window.orderBy("m")).cast("long").alias("place"))
 
 
-@query(S + "SELECT snr_label, wer, n, round(sum(n) OVER (PARTITION BY snr_label ORDER BY wer) / sum(n) OVER (PARTITION BY snr_label), 6) AS ecdf FROM (SELECT snr_label, wer, count(*) AS n FROM ok WHERE wer IS NOT NULL GROUP BY ALL)")
+_EACH = "(SELECT snr_label, wer FROM ok UNION ALL SELECT 'Overall', wer FROM ok)"
+
+
+@query(S + f"SELECT snr_label, wer, n, round(sum(n) OVER (PARTITION BY snr_label ORDER BY wer) / sum(n) OVER (PARTITION BY snr_label), 6) AS ecdf FROM (SELECT snr_label, wer, count(*) AS n FROM {_EACH} WHERE wer IS NOT NULL GROUP BY ALL)")
 def ecdf(spark, base):
-    c = ranking.value_curve(frames.successful(scores(spark, base)), ["snr_label"], "wer")
+    c = ranking.value_curve(frames.successful(scores(spark, base)), ["snr_label"], "wer", overall="Overall")
     return c.withColumn("ecdf", r6("ecdf"))
 
 
-@query(S + "SELECT snr_label, round(t.k * 0.02, 6) AS threshold, count(*) AS total, round(avg(CASE WHEN wer > t.k * 0.02 THEN 1.0 ELSE 0.0 END), 6) AS share FROM ok, (SELECT unnest(range(0, 51))::DOUBLE AS k) t WHERE wer IS NOT NULL GROUP BY snr_label, t.k")
+@query(S + f"SELECT snr_label, round(t.k * 0.02, 6) AS threshold, count(*) AS total, round(avg(CASE WHEN wer > t.k * 0.02 THEN 1.0 ELSE 0.0 END), 6) AS share FROM {_EACH}, (SELECT unnest(range(0, 51))::DOUBLE AS k) t WHERE wer IS NOT NULL GROUP BY snr_label, t.k")
 def exceedance(spark, base):
-    return rounded(ranking.exceedance(frames.successful(scores(spark, base)), ["snr_label"], "wer"))
+    return rounded(ranking.exceedance(frames.successful(scores(spark, base)), ["snr_label"], "wer", overall="Overall"))
 
 
 @query(
@@ -415,7 +428,22 @@ def metrics_long(spark, base):
 
 # -- statistics -------------------------------------------------------------------------------------------------------
 
+
+def _erfc(z: str) -> str:
+    """The complementary error function of a column in SQL: a continued fraction beyond 2 and the series below."""
+    fraction = f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(60, 0, -1), lambda k: k / 2.0)), lambda acc, k: k / ({z} + acc))"
+    series = f"list_sum(list_transform(range(0, 40), lambda n: (CASE WHEN n % 2 = 0 THEN 1.0 ELSE -1.0 END) * pow({z}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+    return f"CASE WHEN {z} > 2 THEN exp(-{z} * {z}) / sqrt(pi()) / ({z} + {fraction}) ELSE 1 - 2 / sqrt(pi()) * {series} END"
+
+
 FOUR = ["faster-whisper", "whisperx", "wav2vec2", "parakeet"]
+
+
+def pairs(spark, base) -> DataFrame:
+    """One row per clip that all four models have; written once, as the tests read it several times."""
+    return cut(frames.paired(frames.successful(scores(spark, base)), "wer", FOUR))
+
+
 _PV = ", p AS (SELECT clip_id, " + ", ".join(f"round(avg(wer) FILTER (model = '{m}'), 9) AS m{i}" for i, m in enumerate(FOUR)) + " FROM ok WHERE wer IS NOT NULL AND clip_id IS NOT NULL GROUP BY clip_id), q AS (SELECT * FROM p WHERE " + " AND ".join(f"m{i} IS NOT NULL" for i in range(4)) + ")"
 
 
@@ -424,55 +452,55 @@ _PV = ", p AS (SELECT clip_id, " + ", ".join(f"round(avg(wer) FILTER (model = '{
 r AS (SELECT clip_id, t, v, rank() OVER (PARTITION BY clip_id ORDER BY v) + (count(*) OVER (PARTITION BY clip_id, v) - 1) / 2.0 AS r FROM l),
 a AS (SELECT sum(x.s * x.s) AS ss, max(x.n) AS n FROM (SELECT t, sum(r) AS s, count(*) AS n FROM r GROUP BY t) x),
 z AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM l GROUP BY clip_id, v)),
-f AS (SELECT n, (12 / (n * 4 * 5.0) * ss - 3 * n * 5) / (1 - ties / (n * 4 * 15.0)) AS chi2 FROM a, z)
-SELECT n, 4 AS k, round(chi2, 6) AS chi2, round(chi2 / (n * 3), 6) AS kendall_w FROM f"""
+f AS (SELECT n, (12 / (n * 4 * 5.0) * ss - 3 * n * 5) / (1 - ties / (n * 4 * 15.0)) AS chi2 FROM a, z), g AS (SELECT *, sqrt(chi2 / 2) AS w FROM f)
+SELECT n, 4 AS k, round(chi2, 6) AS chi2, round(""" + _erfc("w") + """ + exp(-w * w) * w * 2 / sqrt(pi()), 6) AS p, round(chi2 / (n * 3), 6) AS kendall_w FROM g"""
 )
 def friedman(spark, base):
-    p = frames.paired(frames.successful(scores(spark, base)), "wer", FOUR)
-    return rounded(stats.friedman(p, "clip_id", FOUR)).drop("p")
+    return rounded(stats.friedman(pairs(spark, base), "clip_id", FOUR))
 
 
-@query(
-    S + _PV + """, l AS (SELECT unnest([{{'a': '{0}', 'b': '{1}', 'd': m0 - m1}}, {{'a': '{0}', 'b': '{2}', 'd': m0 - m2}}, {{'a': '{0}', 'b': '{3}', 'd': m0 - m3}}, {{'a': '{1}', 'b': '{2}', 'd': m1 - m2}}, {{'a': '{1}', 'b': '{3}', 'd': m1 - m3}}, {{'a': '{2}', 'b': '{3}', 'd': m2 - m3}}]) AS x FROM q),
-b AS (SELECT x.a AS model_a, x.b AS model_b, count(*) AS n, count(*) FILTER (x.d <> 0) AS n_non_zero, avg(x.d) AS mean_diff, median(x.d) AS median_diff FROM l GROUP BY ALL),
-r AS (SELECT x.a AS model_a, x.b AS model_b, x.d AS d, rank() OVER (PARTITION BY x.a, x.b ORDER BY abs(x.d)) + (count(*) OVER (PARTITION BY x.a, x.b, abs(x.d)) - 1) / 2.0 AS r FROM l WHERE x.d <> 0),
-w AS (SELECT model_a, model_b, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS statistic FROM r GROUP BY ALL)
-SELECT model_a, model_b, n, n_non_zero, round(statistic, 6) AS statistic, round(mean_diff, 6) AS mean_diff, round(median_diff, 6) AS median_diff FROM b JOIN w USING (model_a, model_b)""".format(*FOUR)
-)
-def wilcoxon(spark, base):
-    p = frames.paired(frames.successful(scores(spark, base)), "wer", FOUR)
-    return rounded(stats.wilcoxon_pairs(p, "clip_id", FOUR)).drop("p")
+_WILCOXON = S + _PV + """, l AS (SELECT unnest([{{'a': '{0}', 'b': '{1}', 'x': m0, 'y': m1}}, {{'a': '{0}', 'b': '{2}', 'x': m0, 'y': m2}}, {{'a': '{0}', 'b': '{3}', 'x': m0, 'y': m3}}, {{'a': '{1}', 'b': '{2}', 'x': m1, 'y': m2}}, {{'a': '{1}', 'b': '{3}', 'x': m1, 'y': m3}}, {{'a': '{2}', 'b': '{3}', 'x': m2, 'y': m3}}]) AS x FROM q),
+v AS (SELECT x.a AS model_a, x.b AS model_b, x.x AS x, x.y AS y, x.x - x.y AS d FROM l),
+b AS (SELECT model_a, model_b, count(*) AS n, count(*) FILTER (d <> 0) AS n_non_zero, avg(x) AS mean_a, avg(y) AS mean_b, avg(d) AS mean_diff, median(d) AS median_diff FROM v GROUP BY ALL),
+r AS (SELECT model_a, model_b, d, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS t FROM v WHERE d <> 0),
+w AS (SELECT model_a, model_b, count(*) AS m, sum(t * t - 1) AS ties, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS statistic FROM r GROUP BY ALL),
+z AS (SELECT *, abs(statistic - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48.0) / sqrt(2) AS z FROM b JOIN w USING (model_a, model_b)),
+t AS (SELECT *, """.format(*FOUR) + _erfc("z") + """ AS p, CASE WHEN mean_diff < 0 THEN model_a WHEN mean_diff > 0 THEN model_b END AS lower_mean FROM z)
+"""
 
 
-@query("""WITH p AS (SELECT model, example_id, CASE WHEN wer IS NULL THEN NULL ELSE least(1.0, (example_id % 97 + 1) / 1000.0) END AS p FROM worst_wer_examples WHERE model IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY model, p IS NOT NULL ORDER BY p, example_id) AS r, count(p) OVER (PARTITION BY model) AS m FROM p),
-a AS (SELECT *, least(1.0, (m - r + 1) * p) AS a FROM r)
-SELECT model, example_id, CASE WHEN p IS NOT NULL THEN round(max(a) OVER (PARTITION BY model, p IS NOT NULL ORDER BY p, example_id ROWS UNBOUNDED PRECEDING), 6) END AS p_holm FROM a""")
-def holm(spark, base):
-    w = table(spark, base, "worst_wer_examples").where("model is not null")
-    p = w.select("model", "example_id", F.when(F.col("wer").isNotNull(), F.least(F.lit(1.0), (F.col("example_id") % 97 + 1) / 1000.0)).alias("p"))
-    # within equal p the larger factor comes first in either order, so the running maximum does not depend on it
-    return ranking.holm(p, "p", ["model"]).select("model", "example_id", r6("p_holm").alias("p_holm"))
+@query(_WILCOXON + "SELECT model_a, model_b, n, n_non_zero, round(statistic, 6) AS statistic, round(p, 6) AS p, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_diff, 6) AS mean_diff, round(median_diff, 6) AS median_diff, lower_mean FROM t")
+def wilcoxon(spark, base):
+    return rounded(stats.wilcoxon_pairs(pairs(spark, base), "clip_id", FOUR))
 
 
-N_PERM = 40
+@query(_WILCOXON + """, h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, model_a, model_b) + 1) * p) AS a FROM t)
+SELECT model_a, model_b, round(p, 6) AS p, round(max(a) OVER (ORDER BY p, model_a, model_b ROWS UNBOUNDED PRECEDING), 6) AS p_holm, max(a) OVER (ORDER BY p, model_a, model_b ROWS UNBOUNDED PRECEDING) <= 0.05 AS reject FROM h""")
+def holm(spark, base):
+    """The pairwise signed-rank tests with adjusted p and the decision at 0.05."""
+    p = stats.wilcoxon_pairs(pairs(spark, base), "clip_id", FOUR)
+    # one row per pair of models
+    return rounded(ranking.holm(p.select("model_a", "model_b", "p").withColumn("family", F.lit(1)), "p", ["family"]).select("model_a", "model_b", "p", "p_holm", "reject"))
+
+
+#: Row i of a group has sign + in draw d if bit d % 64 of its number d // 64 is set; the numbers are splitmix64 from a digest.
+_FLIP = """, dd AS (SELECT model, mrs_wer - wer AS d, ('0x' || substr(md5('flip|' || result_id::VARCHAR), 1, 16))::UBIGINT::UHUGEINT AS seed FROM ok WHERE mrs_wer IS NOT NULL AND wer IS NOT NULL),
+m0 AS (SELECT model, d, k - 1 AS word, (seed + k::UHUGEINT * 11400714819323198485) % 18446744073709551616 AS z FROM dd, (SELECT unnest(range(1, 158)) AS k)),
+m1 AS (SELECT model, d, word, (xor(z::UBIGINT, z::UBIGINT >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616 AS z FROM m0),
+m2 AS (SELECT model, d, word, (xor(z::UBIGINT, z::UBIGINT >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616 AS z FROM m1),
+m3 AS (SELECT model, d, word, xor(z::UBIGINT, z::UBIGINT >> 31) AS z FROM m2),
+m4 AS (SELECT model, word, b, sum(CASE WHEN (z >> b) & 1 = 1 THEN d ELSE -d END) AS s FROM m3, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL),
+o AS (SELECT model, count(*) AS n, avg(d) AS observed FROM dd GROUP BY model)
+"""
 
 
 @query(
-    S + f""", dd AS (SELECT model, result_id, mrs_wer - wer AS d FROM ok WHERE mrs_wer IS NOT NULL AND wer IS NOT NULL),
-m AS (SELECT model, p, avg(CASE WHEN md5(concat_ws('|', 'flip', p::VARCHAR, result_id::VARCHAR)) < '8' THEN d ELSE -d END) AS m FROM dd, (SELECT unnest(range(1, {N_PERM} + 1)) AS p) GROUP BY model, p),
-o AS (SELECT model, count(*) AS n, avg(d) AS observed FROM dd GROUP BY model)
-SELECT o.model, n, round(observed, 6) AS observed, round((1 + count(*) FILTER (abs(m) >= abs(observed) - 1e-12)) / {N_PERM + 1}, 6) AS p_two, round((1 + count(*) FILTER (m <= observed + 1e-12)) / {N_PERM + 1}, 6) AS p_less,
-  round((1 + count(*) FILTER (m >= observed - 1e-12)) / {N_PERM + 1}, 6) AS p_greater FROM o JOIN m ON o.model IS NOT DISTINCT FROM m.model GROUP BY o.model, n, observed"""
+    S + _FLIP + """SELECT o.model, n, 10000::BIGINT AS permutations, round(observed, 6) AS observed, round((1 + count(*) FILTER (abs(s / n) >= abs(observed) - 1e-12)) / 10001, 6) AS p_two,
+  round((1 + count(*) FILTER (s / n <= observed + 1e-12)) / 10001, 6) AS p_less, round((1 + count(*) FILTER (s / n >= observed - 1e-12)) / 10001, 6) AS p_greater
+FROM o JOIN m4 ON o.model IS NOT DISTINCT FROM m4.model WHERE word * 64 + b < 10000 GROUP BY o.model, n, observed"""
 )
 def sign_flip(spark, base):
-    rows = frames.successful(scores(spark, base)).withColumn("d", F.col("mrs_wer") - F.col("wer"))
-    return rounded(stats.sign_flip(rows, ["model"], "result_id", "d", N_PERM))
-
-
-@query()
-def sign_flip_full(spark, base):
-    """sign_flip with the published number of permutations; sign_flip itself keeps the draws that its SQL states."""
+    """The paired permutation test with the published number of permutations."""
     rows = frames.successful(scores(spark, base)).withColumn("d", F.col("mrs_wer") - F.col("wer"))
     return rounded(stats.flip_test(stats.flip_sums(rows, ["model"], "result_id", "d"), ["model"]))
 
@@ -511,7 +539,20 @@ def partial_eta(spark, base):
     return rounded(stats.effects(frames.successful(scores(spark, base)), "wer", ["snr_label", "ovr_label"]))
 
 
-@query()
+@query(
+    S + """, x AS (SELECT wer AS y, overlap_ratio AS o, CASE WHEN snr_db IS NULL THEN 0 ELSE pow(10, -snr_db / 20) END AS z, snr_label FROM ok WHERE wer IS NOT NULL AND overlap_ratio IS NOT NULL),
+a AS (SELECT *, o * z AS oz, avg(y) OVER () AS my, avg(o) OVER () AS mo, avg(z) OVER () AS mz, avg(o * z) OVER () AS moz FROM x),
+b AS (SELECT *, o - mo AS r1 FROM a), b1 AS (SELECT sum(z * r1) / sum(r1 * r1) AS b21, sum(oz * r1) / sum(r1 * r1) AS b31 FROM b),
+c AS (SELECT *, z - mz - b21 * r1 AS r2 FROM b, b1), c1 AS (SELECT sum(oz * r2) / sum(r2 * r2) AS b32 FROM c),
+d3 AS (SELECT *, oz - moz - b31 * r1 - b32 * r2 AS r3 FROM c, c1),
+g AS (SELECT sum(y * r3) / sum(r3 * r3) AS t3, sum(y * r2) / sum(r2 * r2) AS g2, sum(y * r1) / sum(r1 * r1) AS g1, any_value(b21) AS b21, any_value(b31) AS b31, any_value(b32) AS b32, any_value(my) AS my, any_value(mo) AS mo, any_value(mz) AS mz, any_value(moz) AS moz FROM d3),
+t AS (SELECT t3, g2 - t3 * b32 AS t2, g1 - (g2 - t3 * b32) * b21 - t3 * b31 AS t1, my, mo, mz, moz FROM g), u AS (SELECT t3, t2, t1, my - t1 * mo - t2 * mz - t3 * moz AS t0 FROM t),
+e3 AS (SELECT y, y - t0 - t1 * o - t2 * z - t3 * o * z AS e FROM x, u), f AS (SELECT count(*) AS n, 1 - avg(e * e) / var_pop(y) AS r2, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM e3),
+m AS (SELECT o, z, snr_label, avg(y) AS y FROM x WHERE snr_label IS NOT NULL GROUP BY ALL), me AS (SELECT y, y - t0 - t1 * o - t2 * z - t3 * o * z AS e FROM m, u),
+mf AS (SELECT count(*) AS condition_n, 1 - avg(e * e) / var_pop(y) AS condition_r2, avg(abs(e)) AS condition_mae, sqrt(avg(e * e)) AS condition_rmse FROM me)
+SELECT unnest(['intercept', 'ovr', 'z', 'ovr_z']) AS term, round(unnest([t0, t1, t2, t3]), 6) AS estimate, n, round(r2, 6) AS r2, round(mae, 6) AS mae, round(rmse, 6) AS rmse,
+  condition_n, round(condition_r2, 6) AS condition_r2, round(condition_mae, 6) AS condition_mae, round(condition_rmse, 6) AS condition_rmse FROM u, f, mf"""
+)
 def wer_surface(spark, base):
     rows = frames.successful(scores(spark, base)).where("overlap_ratio is not null")
     return rounded(stats.surface(rows, "overlap_ratio", clip.snr_amplitude(F.col("snr_db")), "wer", ["snr_label"]))
@@ -546,6 +587,14 @@ def gap_by_overlap(spark, base):
     return rounded(a.join(b, "model", "left").select("model", "ovr_label", "mean", "real_mean", (F.col("mean") - F.col("real_mean")).alias("gap")))
 
 
+@query(S + ", b AS (SELECT model, avg(wer) AS m FROM worst_wer_examples WHERE wer IS NOT NULL GROUP BY model) SELECT model, " + ", ".join(f"round(avg(wer) FILTER (ovr_label = '{o}') - any_value(b.m), 6) AS \"gap_{o}\"" for o in clip.OVR_ORDER) + " FROM ok LEFT JOIN b USING (model) WHERE wer IS NOT NULL AND model IS NOT NULL GROUP BY model")
+def gap_grid(spark, base):
+    """gap_by_overlap with a column per overlap."""
+    a = summary.grid(frames.successful(scores(spark, base)).where("wer is not null and model is not null"), "model", "ovr_label", clip.OVR_ORDER, F.avg("wer"))
+    b = table(spark, base, "worst_wer_examples").where("wer is not null").groupBy("model").agg(F.avg("wer").alias("m"))
+    return a.join(b, "model", "left").select("model", *[r6(F.col(f"`{o}`") - F.col("m")).alias(f"gap_{o}") for o in clip.OVR_ORDER])
+
+
 @query(
     S + """, a AS (SELECT model, avg(wer) FILTER (snr_label = 'clean') AS c, avg(wer) FILTER (snr_label <> 'clean') AS n FROM ok WHERE wer IS NOT NULL AND model IS NOT NULL GROUP BY model)
 SELECT count(*) AS n_models, round(avg(100 * (n - c) / c), 6) AS mean_degradation_pct FROM a WHERE c > 0 AND n IS NOT NULL"""
@@ -557,30 +606,38 @@ def degradation(spark, base):
 
 
 @query(
-    S + """, h AS (SELECT CASE WHEN abs(overlap_ratio) <= 1e-8 THEN 'non_overlap' ELSE 'overlap' END AS scope, model, mrs_wer - wer AS d FROM ok WHERE mrs_wer IS NOT NULL AND wer IS NOT NULL AND overlap_ratio IS NOT NULL AND model IS NOT NULL),
-g AS (SELECT scope, CASE WHEN grouping(model) = 1 THEN 'all_models' ELSE model END AS model, count(*) AS n, avg(d) AS mean_diff, median(d) AS median_diff, 100 * avg(CASE WHEN d < -1e-12 THEN 1.0 ELSE 0.0 END) AS pct_below, 100 * avg(CASE WHEN d > 1e-12 THEN 1.0 ELSE 0.0 END) AS pct_above FROM h GROUP BY GROUPING SETS ((scope, model), (scope)))
-SELECT scope, model, n, round(mean_diff, 6) AS mean_diff, round(median_diff, 6) AS median_diff, round(pct_below, 6) AS pct_below, round(pct_above, 6) AS pct_above, CASE WHEN mean_diff < -1e-3 THEN 'lower' WHEN mean_diff > 1e-3 THEN 'higher' ELSE 'same' END AS direction FROM g"""
+    S + """, h AS (SELECT CASE WHEN abs(overlap_ratio) <= 1e-8 THEN 'non_overlap' ELSE 'overlap' END AS scope, model, wer, mrs_wer, mrs_wer - wer AS d FROM ok WHERE mrs_wer IS NOT NULL AND wer IS NOT NULL AND overlap_ratio IS NOT NULL AND model IS NOT NULL),
+g AS (SELECT scope, model, wer, mrs_wer, d FROM h UNION ALL SELECT scope, 'all_models', wer, mrs_wer, d FROM h)
+SELECT scope, CASE scope WHEN 'overlap' THEN 'Overlap' ELSE 'Non-overlap' END AS scope_label, model, CASE model WHEN 'all_models' THEN 'All models' WHEN 'faster-whisper' THEN 'Faster-Whisper' WHEN 'whisperx' THEN 'WhisperX' WHEN 'parakeet' THEN 'Parakeet' ELSE model END AS model_label,
+  count(*) AS n, round(avg(wer), 6) AS wer_mean, round(median(wer), 6) AS wer_median, round(stddev_samp(wer), 6) AS wer_sd, round(avg(mrs_wer), 6) AS dss_wer_mean, round(median(mrs_wer), 6) AS dss_wer_median, round(stddev_samp(mrs_wer), 6) AS dss_wer_sd,
+  round(avg(d), 6) AS mean_diff, round(median(d), 6) AS median_diff, round(stddev_samp(d), 6) AS diff_sd, count(*) FILTER (abs(d) <= 1e-12) AS equal_n, count(*) FILTER (d < -1e-12) AS below_n, count(*) FILTER (d > 1e-12) AS above_n,
+  round(100 * avg(CASE WHEN abs(d) <= 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS equal_pct, round(100 * avg(CASE WHEN d < -1e-12 THEN 1.0 ELSE 0.0 END), 6) AS below_pct, round(100 * avg(CASE WHEN d > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS above_pct,
+  CASE WHEN avg(d) < -1e-3 THEN 'lower' WHEN avg(d) > 1e-3 THEN 'higher' ELSE 'same' END AS direction FROM g GROUP BY scope, model"""
 )
 def hypothesis_table(spark, base):
-    """Two-stream rate against the plain rate per scope and model and over all models, in one pass, with the direction."""
+    """Two-stream rate against the plain rate per scope and model and over all models, with the direction."""
     return rounded(_hypotheses(spark, base, tests=False))
 
 
 def _hypotheses(spark, base, tests: bool) -> DataFrame:
-    d = F.col("mrs_wer") - F.col("wer")
     rows = frames.successful(scores(spark, base)).where("mrs_wer is not null and wer is not null and overlap_ratio is not null and model is not null")
-    rows = rows.select("result_id", F.when(F.abs("overlap_ratio") <= 1e-8, "non_overlap").otherwise("overlap").alias("scope"), "model", d.alias("d"))
-    share = lambda c: 100 * F.avg(c.cast("double"))
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.median("d").alias("median_diff"), share(F.col("d") < -1e-12).alias("pct_below"), share(F.col("d") > 1e-12).alias("pct_above")]
-    out = summary.grouped_sets(rows, [["scope", "model"], ["scope"]], aggs).drop("grouping")
-    out = out.withColumn("model", F.coalesce("model", F.lit("all_models"))).withColumn("direction", F.when(F.col("mean_diff") < -1e-3, "lower").when(F.col("mean_diff") > 1e-3, "higher").otherwise("same"))
+    rows = rows.select("result_id", F.when(F.abs("overlap_ratio") <= 1e-8, "non_overlap").otherwise("overlap").alias("scope"), "model", "wer", "mrs_wer", (F.col("mrs_wer") - F.col("wer")).alias("d"))
+    keys, d = ["scope", "model"], F.col("d")
+    both = lambda df: df.withColumn("model", F.explode(F.array("model", F.lit("all_models"))))
+    tallies = {"equal": F.abs(d) <= 1e-12, "below": d < -1e-12, "above": d > 1e-12}
+    out = both(rows).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("wer").alias("wer_mean"), F.stddev_samp("wer").alias("wer_sd"), F.avg("mrs_wer").alias("dss_wer_mean"), F.stddev_samp("mrs_wer").alias("dss_wer_sd"),
+        F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("diff_sd"), *[F.count_if(c).alias(f"{k}_n") for k, c in tallies.items()], *[(100 * F.avg(c.cast("double"))).alias(f"{k}_pct") for k, c in tallies.items()],
+    )
+    out = ranking.with_percentiles(out, both(rows), keys, {"wer_median": (F.col("wer"), 0.5), "dss_wer_median": (F.col("mrs_wer"), 0.5), "median_diff": (d, 0.5)})
+    out = out.withColumn("scope_label", F.when(F.col("scope") == "overlap", "Overlap").otherwise("Non-overlap")).withColumn("model_label", clip.label(F.col("model"), clip.MODEL_LABELS | {"all_models": "All models"}))
+    out = out.withColumn("direction", F.when(F.col("mean_diff") < -1e-3, "lower").when(F.col("mean_diff") > 1e-3, "higher").otherwise("same"))
     if not tests:
         return out
-    keys = ["scope", "model"]
-    both = lambda sums: sums.withColumn("model", F.explode(F.array("model", F.lit("all_models"))))
-    p = stats.flip_test(both(stats.flip_sums(rows, keys, "result_id", "d")), keys).select(*keys, F.when(F.col("scope") == "overlap", F.col("p_less")).otherwise(F.col("p_two")).alias("p"))
+    less = F.col("scope") == "overlap"
+    p = stats.flip_test(both(stats.flip_sums(rows, keys, "result_id", "d")), keys).select(*keys, F.when(less, F.col("p_less")).otherwise(F.col("p_two")).alias("p"), F.when(less, "less").otherwise("two-sided").alias("alternative"), "permutations")
     ci = stats.bootstrap_interval(both(stats.bootstrap_sums(rows, keys, "result_id", "d")), keys).select(*keys, "ci_low", "ci_high")
-    out = out.join(p, ["scope", "model"]).join(ci, ["scope", "model"])
+    out = out.join(p, keys).join(ci, keys)
     return out.withColumn("decision", F.when((F.col("p") < 0.05) & (F.col("direction") != "same"), "different").otherwise("not shown"))
 
 
@@ -647,7 +704,12 @@ def interval_contain(spark, base):
     return rounded(segment.contained(u, w, ["session_id"], "s", "e").groupBy("session_id", "w_start").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query()
+@query(_U.replace("WITH u", "WITH RECURSIVE u") + """, f AS (SELECT DISTINCT session_id, e AS t FROM v WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.session_id = v.session_id AND x.s < v.e AND x.e > v.e)),
+d AS (SELECT DISTINCT session_id, s AS a FROM v), nb AS (SELECT d.session_id, a, min(f.t) AS b FROM d JOIN f ON f.session_id = d.session_id AND f.t > a AND f.t - a >= 30.0 GROUP BY ALL),
+nx AS (SELECT nb.session_id, nb.a, b, min(d.a) AS a2 FROM nb LEFT JOIN d ON d.session_id = nb.session_id AND d.a >= b GROUP BY ALL),
+g AS (SELECT nx.session_id, 1 AS clip_no, nx.a, nx.b, a2 FROM nx JOIN (SELECT session_id, min(a) AS a FROM d GROUP BY session_id) m ON m.session_id = nx.session_id AND m.a = nx.a
+  UNION ALL SELECT nx.session_id, clip_no + 1, nx.a, nx.b, nx.a2 FROM g JOIN nx ON nx.session_id = g.session_id AND nx.a = g.a2)
+SELECT session_id, clip_no, round(a, 6) AS w_start, round(b, 6) AS w_end FROM g""")
 def segment_greedy(spark, base):
     return rounded(segment.greedy_windows(spans(spark, base), "session_id", "s", "e", 30.0))
 

@@ -56,6 +56,18 @@ def align_ops(spark: SparkSession, base: str) -> DataFrame:
     return steps.groupBy("model", F.col("s.op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_STR = r"(?:'(?:[^'\\]|\\.)*'|" + r'"(?:[^"\\]|\\.)*")'
+_PAIR = rf"[(] *({_STR}) *, *({_STR})".replace("'", "''")
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda w: w <> '')"
+_QUOTE = r"replace(x[2:-2], '\''', '''')"
+SQL: dict[str, str] = {
+    "speaker_chains": f"""WITH r AS (SELECT trim(clip_id) AS clip_id, max_by(transcript, loaded_at) AS t FROM mixture_meta WHERE trim(clip_id) <> '' GROUP BY 1),
+s AS (SELECT clip_id, list_transform(regexp_extract_all(coalesce(t, ''), '{_PAIR}', 1, 's'), lambda x: x[2:-2]) AS who, list_transform(regexp_extract_all(coalesce(t, ''), '{_PAIR}', 2, 's'), lambda x: {_QUOTE}) AS txt FROM r),
+u AS (SELECT clip_id, unnest(who) AS who, unnest(txt) AS txt, generate_subscripts(who, 1) AS i FROM s),
+f AS (SELECT clip_id, who, row_number() OVER (PARTITION BY clip_id ORDER BY min(i)) AS place, flatten(list({_WORDS.format('txt')} ORDER BY i)) AS w, bool_or(trim(txt) <> '') AS spoken FROM u GROUP BY clip_id, who)
+SELECT s.clip_id, (count(*) FILTER (spoken))::INTEGER AS n_speakers, coalesce(max(len(w)) FILTER (place = 1), 0)::INTEGER AS n_a, coalesce(max(len(w)) FILTER (place = 2), 0)::INTEGER AS n_b,
+  md5(array_to_string(list_concat(coalesce(any_value(w) FILTER (place = 1), []), coalesce(any_value(w) FILTER (place = 2), [])), '|')) AS digest FROM s LEFT JOIN f USING (clip_id) GROUP BY s.clip_id""",
+}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (eval_scores, eval_summary, eval_wer_only, real_eval, speaker_chains, align_ops)
 }
