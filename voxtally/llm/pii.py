@@ -133,12 +133,15 @@ RUN_PARTS = frozenset("+()-./")
 NUMERIC = frozenset([f"d{k}" for k in range(1, 12)] + ["nw", "plus"])
 
 
-def runs(tokens: list[str], cls: list[str], gap: list[int]) -> dict[int, list[str]]:
-    """For the places of tokens in a run of digits or number words: features of the run as a whole."""
-    numeric = [c in NUMERIC for c in cls]
-    out: dict[int, list[str]] = {}
+def runs(tokens: list[str], cls: list[str], gap: list[int], numeric: list[int] | None = None) -> tuple[dict[int, tuple[int, str]], list[tuple[list[str], int]]]:
+    """For the places of tokens in a run of digits or number words the run and whether they begin it; and per run its
+    features and its digits (14 at most). numeric: the places of digits and number words, if known."""
+    out: dict[int, tuple[int, str]] = {}
+    found: list[tuple[list[str], int]] = []
+    numeric = [i for i, c in enumerate(cls) if c in NUMERIC] if numeric is None else numeric
+    known = set(numeric)
     n, after = len(tokens), 0
-    for i in [i for i, x in enumerate(numeric) if x]:
+    for i in numeric:
         if i < after:
             continue
         a = i
@@ -148,7 +151,7 @@ def runs(tokens: list[str], cls: list[str], gap: list[int]) -> dict[int, list[st
             a -= 1
         b = i + 1
         while b < n:
-            if numeric[b] and gap[b] <= 1 or tokens[b] in RUN_PARTS and gap[b] == 0 or tokens[b] == "(" and gap[b] <= 1 and b + 1 < n and numeric[b + 1]:
+            if b in known and gap[b] <= 1 or tokens[b] in RUN_PARTS and gap[b] == 0 or tokens[b] == "(" and gap[b] <= 1 and b + 1 in known:
                 b += 1
             else:
                 break
@@ -156,30 +159,27 @@ def runs(tokens: list[str], cls: list[str], gap: list[int]) -> dict[int, list[st
             b -= 1
         if b < n and gap[b] <= 1 and cls[b].startswith("ini") and len(tokens[b]) == 1:
             b += 1
-        digits, pattern = 0, ""
-        k = a
-        while k < b:
+        digits, pattern, words = 0, "", False
+        for k in range(a, b):
             c = cls[k]
             if c[0] == "d" and c[1:].isdigit():
                 digits += len(tokens[k])
                 pattern += ("_" if gap[k] and k > a else "") + f"d{len(tokens[k])}"
             elif c == "nw":
-                low = tokens[k].lower()
-                step = 2 if low == "double" else 3 if low == "triple" else 1
-                digits += 0 if step > 1 and k + 1 < b and cls[k + 1] == "nw" else 1
-                if step > 1 and k + 1 < b and cls[k + 1] == "nw":
-                    digits += step - 1
+                words = True
+                step = {"double": 2, "triple": 3}.get(tokens[k].lower(), 1)
+                digits += step - 1 if step > 1 and k + 1 < b and cls[k + 1] == "nw" else 1
             else:
                 pattern += ("_" if gap[k] and k > a else "") + (tokens[k] if not tokens[k].isalpha() else "A" * len(tokens[k]))
-            k += 1
-        words = any(cls[k] == "nw" for k in range(a, b))
+        size = min(digits, 14)
         before = tokens[a - 1].lower() if a else "^"
-        after = tokens[b].lower() if b < n else "$"
-        feats = [f"rn={min(digits, 14)}{'w' if words else ''}", f"rp={'w' if words else pattern[:24]}", f"rb={before}", f"ra={after}", f"rf={tokens[a].lower() if words else tokens[a][:2]}{min(digits, 14)}"]
+        behind = tokens[b].lower() if b < n else "$"
+        feats = [f"rn={size}{'w' if words else ''}", f"rp={'w' if words else pattern[:24]}", f"rb={before}", f"ra={behind}", f"rf={tokens[a].lower() if words else tokens[a][:2]}{size}"]
         for k in range(a, b):
-            out[k] = [*feats, f"rpos={'B' if k == a else 'I'}{min(digits, 14)}"]
+            out[k] = len(found), "B" if k == a else "I"
+        found.append((feats, size))
         after = b
-    return out
+    return out, found
 
 
 class _Gaps(dict):
@@ -264,6 +264,14 @@ class Tagger:
             v = self.joint[key] = self.crf.score(_joint(n[p], n[c], n[q], n[r], g, h)).astype(np.float32)
         return v
 
+    def _run(self, feature: str) -> np.ndarray:
+        v = self.run.get(feature)
+        if v is None:
+            if len(self.run) > 100_000:
+                self.run.clear()
+            v = self.run[feature] = self.crf.score([feature])
+        return v
+
     def emissions(self, docs: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, list[int]]:
         """The label scores of the tokens (tokens, gaps) of all texts, and where each text begins."""
         if self.used > self.TOKENS or len(self.names) > 4000 or len(self.joint) > self.JOINTS:
@@ -289,19 +297,17 @@ class Tagger:
         key = (((left[:-3] << 36) + (c[1:-2] << 24) + (c[2:-1] << 12) + c[3:]) * 9) + g[1:-2] * 3 + g[2:-1]
         kinds, back = np.unique(key, return_inverse=True)
         e[inner] += np.array([self._joint(x) for x in kinds.tolist()]).take(back, axis=0, mode="clip")
-        numeric = np.array([n in NUMERIC for n in self.names])[c]
-        has = np.add.reduceat(numeric, np.array([x for a, (t, _) in zip(at, docs) for x in (a, a + len(t))]))[::2] if docs else []
-        for a, (tokens, gap), any_ in zip(at, docs, has):
-            if not any_:
+        numeric = np.flatnonzero(np.array([n in NUMERIC for n in self.names])[c])
+        edges = np.searchsorted(numeric, [(a, a + len(t)) for a, (t, _) in zip(at, docs)]).reshape(-1, 2).tolist()
+        for a, (tokens, gap), (lo, hi) in zip(at, docs, edges):
+            if lo == hi:
                 continue
-            for j, feats in runs(tokens, [self.names[x] for x in c[a : a + len(tokens)].tolist()], gap).items():
-                for f in feats:
-                    v = self.run.get(f)
-                    if v is None:
-                        if len(self.run) > 100_000:
-                            self.run.clear()
-                        v = self.run[f] = self.crf.score([f])
-                    e[a + j] += v
+            where, found = runs(tokens, [self.names[x] for x in c[a : a + len(tokens)].tolist()], gap, (numeric[lo:hi] - a).tolist())
+            gains = []
+            for feats, size in found:
+                whole = sum(map(self._run, feats))
+                gains.append({p: whole + self._run(f"rpos={p}{size}") for p in "BI"})
+            e[[a + j for j in where]] += np.array([gains[r][p] for r, p in where.values()], dtype=np.float32)
         return e, at
 
     def labels(self, docs: list[tuple[list[str], list[int]]]) -> list[np.ndarray]:
@@ -322,7 +328,7 @@ class Tagger:
                 lo, hi = max(0, lo - 1), min(n, hi + 2)
                 parts.append(e[a + lo : a + hi])
                 where.append((k, lo, hi))
-        for (k, lo, hi), lab in zip(where, self.crf.viterbi(parts)):
+        for (k, lo, hi), lab in zip(where, self.crf.viterbi(parts, 1024)):
             out[k][lo:hi] = lab
         return out
 
@@ -475,8 +481,9 @@ def features(text: str, lists: Lists, hide: frozenset[int] = frozenset()) -> tup
             if 0 <= i + d < len(base):
                 f += [f"{d:+d}{x}" for x in base[i + d][1 if abs(d) == 1 else 2]]
         rows.append(f + joint_features(i, cls, gap))
-    for i, r in runs(tokens, cls, gap).items():
-        rows[i] += r
+    where, found = runs(tokens, cls, gap)
+    for i, (r, p) in where.items():
+        rows[i] += [*found[r][0], f"rpos={p}{found[r][1]}"]
     return rows, places(tokens, between), tokens
 
 
