@@ -269,6 +269,59 @@ def dss_distance(a: list[str], b: list[str], h: list[str]) -> int:
     return int(d[-1, -1])
 
 
+#: Cells of all planes that an alignment keeps at once; longer pairs are halved at a hypothesis word first.
+PLANES = 8_000_000
+Step2 = tuple[str, str, str | None, str | None]
+
+
+def _planes(a: list, b: list, h: list, keep: bool) -> list[np.ndarray]:
+    """The plane after each hypothesis word (the last one only without keep), as in dss_distance."""
+    skip = np.arange(len(a) + 1, dtype=np.int32)[:, None] + np.arange(len(b) + 1, dtype=np.int32)[None, :]
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in c], dtype=np.int64) for c in (a, b))
+    out = [skip.copy()]
+    for w in h:
+        k, d = ids.get(w, -1), out[-1]
+        new = d + 1
+        np.minimum(new[1:], d[:-1] + (x != k).astype(np.int32)[:, None], out=new[1:])
+        np.minimum(new[:, 1:], d[:, :-1] + (y != k).astype(np.int32)[None, :], out=new[:, 1:])
+        new = np.minimum.accumulate(np.minimum.accumulate(new - skip, axis=0), axis=1) + skip
+        out = [*out, new] if keep else [new]
+    return out
+
+
+def dss_align(a: list[str], b: list[str], h: list[str]) -> list[Step2]:
+    """Steps (op, chain, reference word, hypothesis word) of an exact two-stream alignment: match and sub of chain A or B,
+    insert of chain H, delete of chain A or B; as many of them are no match as dss_distance says. Of equal ways a match
+    comes before a substitution, an insertion and a deletion, and A before B, seen from the end."""
+    if len(h) > 1 and (len(a) + 1) * (len(b) + 1) * (len(h) + 1) > PLANES:
+        m = len(h) // 2
+        total = _planes(a, b, h[:m], False)[-1] + _planes(a[::-1], b[::-1], h[m:][::-1], False)[-1][::-1, ::-1]
+        i, j = np.unravel_index(int(total.argmin()), total.shape)
+        return dss_align(a[:i], b[:j], h[:m]) + dss_align(a[i:], b[j:], h[m:])
+    d = _planes(a, b, h, True)
+    i, j, t, out = len(a), len(b), len(h), []
+    while i or j or t:
+        now = d[t][i, j]
+        ways = []
+        if t and i:
+            same = a[i - 1] == h[t - 1]
+            ways.append((0 if same else 1, d[t - 1][i - 1, j] + (not same), ("match" if same else "sub", "A", a[i - 1], h[t - 1]), (1, 0, 1)))
+        if t and j:
+            same = b[j - 1] == h[t - 1]
+            ways.append((0 if same else 1, d[t - 1][i, j - 1] + (not same), ("match" if same else "sub", "B", b[j - 1], h[t - 1]), (0, 1, 1)))
+        if t:
+            ways.append((2, d[t - 1][i, j] + 1, ("insert", "H", None, h[t - 1]), (0, 0, 1)))
+        if i:
+            ways.append((3, d[t][i - 1, j] + 1, ("delete", "A", a[i - 1], None), (1, 0, 0)))
+        if j:
+            ways.append((3, d[t][i, j - 1] + 1, ("delete", "B", b[j - 1], None), (0, 1, 0)))
+        _, _, step, back = min((w for w in ways if w[1] == now), key=lambda w: w[0])
+        out.append(step)
+        i, j, t = i - back[0], j - back[1], t - back[2]
+    return out[::-1]
+
+
 def dss_wer(a: list[str], b: list[str], h: list[str]) -> float:
     """dss_distance per reference word after n3; ZeroDivisionError without reference words."""
     a, b, h = ([word_n3(w) for w in x] for x in (a, b, h))
@@ -329,9 +382,10 @@ class Beam:
             depth += 1
         return out
 
-    def _pass(self, a: list[str], b: list[str], h: list[str], width: int) -> float:
+    def _pass(self, a: list[str], b: list[str], h: list[str], width: int) -> tuple[float, list[tuple[int, int, int]]]:
+        """The cost of the best way found, and its states in order."""
         goal, most, far = (len(a), len(b), len(h)), 2 * width, float("inf")
-        least, estimate = {(0, 0, 0): 0}, {}
+        least, estimate, came = {(0, 0, 0): 0}, {}, {}
         frontier, spent = [(0, 0, 0)], 0
         while spent < self.limit and any(s != goal for s in frontier):
             reached: dict[tuple, None] = {}
@@ -341,7 +395,8 @@ class Beam:
                     continue
                 for to, cost in self._steps(a, b, h, s):
                     reached[to] = None
-                    least[to] = min(least.get(to, far), so_far + cost)
+                    if so_far + cost < least.get(to, far):
+                        least[to], came[to] = so_far + cost, s
                 spent += 1
                 if spent >= self.limit:
                     break
@@ -352,13 +407,33 @@ class Beam:
             near = sum(x[0][0] <= ranked[0][0][0] + self.margin for x in ranked[: 2 * most])
             wide = self.adaptive and near >= max(4, width // 2)
             frontier = [s for _, s in self._thin(ranked, most if wide else width)]
-        return float(least.get(goal, far))
+        way = [goal] if goal in least else []
+        while way and way[-1] in came:
+            way.append(came[way[-1]])
+        return float(least.get(goal, far)), way[::-1]
+
+    def align(self, a: list[str], b: list[str], h: list[str]) -> tuple[float, list[Step2]]:
+        """Cost and steps (as of dss_align) of the better of a pass from the front and a narrower one over the reversed
+        streams, of equal ones that from the front; words are compared after n3 and given as they are."""
+        x, y, z = ([word_n3(w) for w in c] for c in (a, b, h))
+        tail = max(8, self.width // 2) if self.adaptive else self.width
+        cost, way = self._pass(x, y, z, self.width)
+        back, other = self._pass(x[::-1], y[::-1], z[::-1], tail)
+        if back < cost:
+            cost, way = back, [(len(a) - i, len(b) - j, len(h) - t) for i, j, t in other[::-1]]
+        steps: list[Step2] = []
+        for (i, j, t), (k, m, n) in zip(way, way[1:]):
+            chain, words, norm, at = ("A", a, x, i) if k > i else ("B", b, y, j) if m > j else ("H", None, None, 0)
+            if words is None:
+                steps.append(("insert", "H", None, h[t]))
+            elif n > t:
+                steps.append(("match" if norm[at] == z[t] else "sub", chain, words[at], h[t]))
+            else:
+                steps.append(("delete", chain, words[at], None))
+        return cost, steps
 
     def distance(self, a: list[str], b: list[str], h: list[str]) -> float:
-        """The better of a pass from the front and a narrower one over the reversed streams."""
-        a, b, h = ([word_n3(w) for w in x] for x in (a, b, h))
-        tail = max(8, self.width // 2) if self.adaptive else self.width
-        return min(self._pass(a, b, h, self.width), self._pass(a[::-1], b[::-1], h[::-1], tail))
+        return self.align(a, b, h)[0]
 
 
 # -- waveforms --------------------------------------------------------------------------------------------------------

@@ -150,6 +150,31 @@ def alignment(ref: Column, hyp: Column, variant: int = 1) -> Column:
     return run(ref, hyp)
 
 
+TWO_STREAMS = "distance int, steps array<struct<op: string, chain: string, ref: string, hyp: string>>"
+
+
+def two_stream_alignment(a: Column, b: Column, hyp: Column, mode: str = "exact") -> Column:
+    """struct<distance, steps> of the words of two chains and of a hypothesis; the distance is null where a bounded search
+    did not arrive."""
+
+    @F.pandas_udf(TWO_STREAMS)
+    def run(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        beam = kernels.Beam(64, 0.4, 16, 160_000)
+        for part in rows:
+            out = []
+            for words in zip(*part):
+                x, y, h = ([] if w is None else list(w) for w in words)
+                if mode == "beam":
+                    cost, steps = beam.align(x, y, h)
+                else:
+                    steps = kernels.dss_align(x, y, h)
+                    cost = sum(s[0] != "match" for s in steps)
+                out.append((None if cost == float("inf") else int(cost), [dict(zip(("op", "chain", "ref", "hyp"), s)) for s in steps]))
+            yield pd.DataFrame(out, columns=["distance", "steps"]).astype({"distance": "Int32"})
+
+    return run(a, b, hyp)
+
+
 HYPOTHESES = "record_id long, clip_id string, model_name string, segments array<struct<speaker: string, text: string>>"
 
 

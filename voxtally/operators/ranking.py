@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def top_overall(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows of an order: a bounded heap per task, then one merge."""
@@ -26,7 +28,8 @@ def running_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 64
     into `buckets` parts, each of which one task adds up; what lies in the parts before comes from one row per part. The
     split only spreads the work, the counts are exact.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    # written once, as three steps read it
+    c = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     at = [i / buckets for i in range(1, buckets)]
     split = c.groupBy(*keys).agg(F.percentile_approx(value, at, 2000).alias("__q"))
     c = c.alias("a").join(split.alias("b"), same_keys("a", "b", keys)).select("a.*", F.size(F.filter("b.__q", lambda x: x < F.col(f"a.{value}"))).alias("__b"))

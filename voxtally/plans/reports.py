@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clip, text
 from ..operators import frames, ranking, segment, stats, summary
 from ..session import cut, spread, table
-from ..sources import readers
+from ..sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -670,6 +670,58 @@ def odd_examples(spark, base):
     return table(spark, base, "worst_wer_examples").where(F.col("hypothesis").isNull() | (F.trim("hypothesis") == "") | F.col("clip_id").startswith("real_")).select("example_id", "model")
 
 
+# -- the report of one model over its full scope ------------------------------------------------------------------------
+
+#: Section: whether it takes raw, effective, clean or noisy rows, and its keys.
+SECTIONS = {
+    "overall_raw": ("raw", []), "overall_effective": ("all", []), "clean_effective": ("clean", []), "noisy_effective": ("noisy", []), "by_snr": ("all", ["snr_label"]), "by_overlap": ("all", ["ovr_label"]),
+    "by_snr_and_overlap": ("all", ["snr_label", "ovr_label"]), "by_noise_type_noisy_only": ("noisy", ["noise_type"]), "by_noise_type_including_clean": ("all", ["noise_type"]), "condition_means": ("all", ["snr_label", "ovr_label", "noise_type"]),
+}
+_SCOPE = S + """, raw AS (SELECT * FROM ok WHERE model = 'wav2vec2'), k AS (SELECT *, row_number() OVER (PARTITION BY model, base_mixture_id, overlap_ratio, max_speakers ORDER BY noise_type NULLS FIRST, clip_id NULLS FIRST, result_id) AS rn FROM raw WHERE snr_db IS NULL),
+al AS (SELECT snr_label, ovr_label, 'clean' AS noise_type, wer, mrs_wer, cpwer, orc_wer FROM k WHERE rn = 1 UNION ALL SELECT snr_label, ovr_label, noise_type, wer, mrs_wer, cpwer, orc_wer FROM raw WHERE snr_db IS NOT NULL),
+"""
+_FROM = {"raw": "raw", "all": "al", "clean": "al WHERE snr_label = 'clean'", "noisy": "al WHERE snr_label <> 'clean'"}
+_KEYS3 = ["snr_label", "ovr_label", "noise_type"]
+
+
+@query(
+    _SCOPE + "x AS (" + " UNION ALL ".join(f"SELECT '{name}' AS section, " + ", ".join(k if k in keys else f"NULL AS {k}" for k in _KEYS3) + f", wer, mrs_wer, cpwer, orc_wer FROM {_FROM[rows]}" for name, (rows, keys) in SECTIONS.items()) + f"""),
+y AS (SELECT section, snr_label, ovr_label, noise_type, unnest([{', '.join(repr(x) for x in clip.METRICS)}]) AS metric, unnest([wer, mrs_wer, cpwer, orc_wer]) AS value FROM x)
+SELECT section, snr_label, ovr_label, noise_type, metric, count(*) AS n_rows, {DESCRIBE.format('value')} FROM y GROUP BY ALL"""
+)
+def full_scope(spark, base):
+    """Every summary of one model's results, raw and with clean rows taken once, in one pass over its rows."""
+    raw = frames.successful(scores(spark, base)).where("model = 'wav2vec2'")
+    rows = frames.dedup_clean(raw).withColumn("of", F.when(F.col("snr_label") == "clean", F.array(F.lit("all"), F.lit("clean"))).otherwise(F.array(F.lit("all"), F.lit("noisy"))))
+    rows = rows.unionByName(raw.withColumn("of", F.array(F.lit("raw"))), allowMissingColumns=True)
+    parts = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(of).alias("of"), *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(k) for k in _KEYS3]) for n, (of, keys) in SECTIONS.items()])
+    rows = rows.select(*clip.METRICS, F.explode(F.filter(parts, lambda p: F.array_contains("of", p["of"]))).alias("p")).select("p.section", *[F.col(f"p.{k}").alias(k) for k in _KEYS3], *clip.METRICS)
+    keys = ["section", *_KEYS3]
+    long = frames.unpivot(rows, keys)
+    out = long.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n_rows"), *summary.describe("value"))
+    return rounded(ranking.with_percentiles(out, long, [*keys, "metric"], {"median": (F.col("value"), 0.5)}))
+
+
+def summaries(spark, base) -> dict[str, dict[str, DataFrame]]:
+    """The tables of the four published summary files: name of the file, name of the table."""
+    q = lambda *names: {n: QUERIES[n](spark, base) for n in names}
+    return {
+        "statistical_analysis_summary": q("model_totals", "metric_summary", "condition_sets", "friedman", "wilcoxon", "holm", "hypothesis_tests", "transfer", "gap_by_overlap"),
+        "full_scope_summary": q("full_scope", "partial_eta", "wer_surface", "delta_to_clean"),
+        "wer_outlier_condition_summary": q("iqr_outliers", "outlier_shares", "outlier_profile"),
+        "worst_wer_examples": q("worst_examples"),
+    }
+
+
+def write_summaries(spark, base, folder: str) -> list[str]:
+    """The four files, their members sorted; small report tables only, as sinks.summary_json refuses others."""
+    paths = []
+    for name, tables in summaries(spark, base).items():
+        paths.append(f"{folder}/{name}.json")
+        sinks.summary_json(tables, paths[-1])
+    return paths
+
+
 # -- utterances -------------------------------------------------------------------------------------------------------
 
 _U = r"""WITH u AS (SELECT DISTINCT utt_id, session_id, (x[1]::BIGINT * 3600 + x[2]::BIGINT * 60)::DOUBLE + x[3]::DOUBLE AS s, (y[1]::BIGINT * 3600 + y[2]::BIGINT * 60)::DOUBLE + y[3]::DOUBLE AS e

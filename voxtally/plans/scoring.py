@@ -56,6 +56,16 @@ def align_ops(spark: SparkSession, base: str) -> DataFrame:
     return steps.groupBy("model", F.col("s.op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def chain_ops(spark: SparkSession, base: str) -> DataFrame:
+    """Steps of the exact two-stream alignments per model and chain, over all clips with a hypothesis."""
+    c = text.chains(F.col("segments"), text.n1)
+    refs = references(spark, base).select("clip_id", c.alias("c"))
+    hyps = hypotheses(spark, base).select("clip_id", "model_name", F.flatten(F.transform("segments", lambda s: text.n1(s["text"]))).alias("h"))
+    pairs = refs.join(hyps, "clip_id").repartition("clip_id", "model_name")
+    steps = pairs.withColumn("x", metrics.two_stream_alignment(F.col("c.a"), F.col("c.b"), F.col("h"))).select("model_name", F.explode("x.steps").alias("s"))
+    return steps.groupBy("model_name", F.col("s.chain").alias("chain"), F.col("s.op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _STR = r"(?:'(?:[^'\\]|\\.)*'|" + r'"(?:[^"\\]|\\.)*")'
 _PAIR = rf"[(] *({_STR}) *, *({_STR})".replace("'", "''")
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda w: w <> '')"
@@ -69,5 +79,5 @@ SELECT s.clip_id, (count(*) FILTER (spoken))::INTEGER AS n_speakers, coalesce(ma
   md5(array_to_string(list_concat(coalesce(any_value(w) FILTER (place = 1), []), coalesce(any_value(w) FILTER (place = 2), [])), '|')) AS digest FROM s LEFT JOIN f USING (clip_id) GROUP BY s.clip_id""",
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (eval_scores, eval_summary, eval_wer_only, real_eval, speaker_chains, align_ops)
+    f.__name__: f for f in (eval_scores, eval_summary, eval_wer_only, real_eval, speaker_chains, align_ops, chain_ops)
 }
