@@ -109,3 +109,24 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "src/2.json").write_text('{"clip_id": "a", "model_name": "m", "wer": 0.9}\n{"clip_id": "b", "model_name": "m", "wer": 0.2}\n')
     ingest.follow(spark, src, schema, out, cp).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(out).select("clip_id", "model_name", "wer").collect()) == [("a", "m", 0.1), ("b", "m", 0.2)]
+
+
+def test_prune_actions(spark, tmp_path):
+    for f in ("a.wav", "b.wav", "c.wav"):
+        (tmp_path / f).write_bytes(b"x")
+    files = spark.createDataFrame([(f"file:{tmp_path}/{f}",) for f in ("a.wav", "b.wav", "c.wav")], "file string")
+    wanted = spark.createDataFrame([("a",), ("z",)], "clip_id string")
+    assert {(r.clip_id, r.done) for r in sinks.prune(files, wanted).collect()} == {("b", False), ("c", False)} and (tmp_path / "b.wav").exists()
+    only_b = files.where("file like '%b.wav'")
+    assert [r.done for r in sinks.prune(only_b, wanted, "move", str(tmp_path / "out")).collect()] == [True] and (tmp_path / "out/b.wav").exists()
+    assert [r.clip_id for r in sinks.prune(files, wanted, "delete").where("done").collect()] == ["c"] and (tmp_path / "a.wav").exists()
+    for bad in (("erase", None), ("move", None), ("delete", "x")):
+        with pytest.raises(ValueError):
+            sinks.prune(files, wanted, *bad)
+
+
+def test_unreadable_texts_are_listed(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"results": [{"clip_id": "a", "metrics": {"wer": "0.5", "orc_wer": true}, "ref_segments": "2"}]}\n{"results": [\n\n{"results": []}\n')
+    assert [(r.file.rsplit("/", 1)[1], r.n_chars) for r in readers.unreadable(spark, str(tmp_path), lines=True).collect()] == [("x.json", 13)]
+    r = readers.results(spark, str(tmp_path), lines=True).collect()
+    assert [(x.clip_id, x.wer, x.orc_wer, x.ref_segments) for x in r] == [("a", 0.5, None, 2)]

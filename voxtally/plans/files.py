@@ -1,0 +1,76 @@
+"""Registered queries that go through files: a table is written in a file format of the project to the shared folder and
+read back by the reader of that format."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch, table
+from ..sources import readers, sinks
+from .reports import nudged, rounded
+
+COLUMNS = "clip_id audio_path transcript overlap_ratio_target overlap_ratio_actual max_speakers snr_db noise_type overlap_mask_path source_files noise_files".split()
+
+
+def manifest_csv(spark: SparkSession, base: str) -> DataFrame:
+    """The manifest written as CSV and read again."""
+    path = scratch(spark)
+    sinks.manifest_csv(table(spark, base, "mixture_meta").select(*COLUMNS), path)
+    return readers.manifest(spark, path)
+
+
+def manifest_texts(spark: SparkSession, base: str) -> DataFrame:
+    """The joined reference texts of every clip of a CSV manifest."""
+    path = scratch(spark)
+    sinks.manifest_csv(table(spark, base, "mixture_meta").select(*COLUMNS).dropDuplicates(), path)
+    t = readers.reference_texts(readers.manifest(spark, path))
+    return t.select("clip_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def result_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Score rows of result files, one file's JSON on a line."""
+    path = scratch(spark)
+    table(spark, base, "wer_result_files").select(F.to_json(F.parse_json("payload")).alias("value")).write.text(path)
+    r = readers.results(spark, path, lines=True)
+    return rounded(r.select("clip_id", "model", "status", "error", "wer", "mrs_wer", "cpwer", "orc_wer"))
+
+
+def utterance_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Utterances written as JSON lines and read again."""
+    path = scratch(spark)
+    u = table(spark, base, "utterances")
+    u.select("start_time", "end_time", "speaker", "words", "session_id", F.col("ref_id").alias("ref"), F.col("room").alias("location")).write.json(path)
+    return rounded(readers.utterances(spark, path, lines=True))
+
+
+def results_by_model(spark: SparkSession, base: str) -> DataFrame:
+    """Rows per model after writing a folder of JSON lines for each."""
+    path = scratch(spark)
+    r = table(spark, base, "wer_results").where("model_name is not null")
+    sinks.results_by_model(r.select("result_id", "clip_id", "model_name", "status"), path)
+    back = spark.read.schema("result_id long, clip_id string, status string, model_name string").json(path)
+    per = back.groupBy("model_name", "status", "result_id").agg(F.count(F.lit(1)).alias("k"))
+    return per.groupBy("model_name", "status").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_results"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (manifest_csv, manifest_texts, result_lines, utterance_lines, results_by_model)}
+
+_STR = r"(?:'(?:[^'\\]|\\.)*'|" + r'"(?:[^"\\]|\\.)*")'
+_PAIR = rf"[(] *{_STR} *, *({_STR})".replace("'", "''")
+_QUOTE = r"replace(x[2:-2], '\''', '''')"
+SQL: dict[str, str] = {
+    "manifest_csv": f"SELECT {', '.join(COLUMNS)} FROM mixture_meta",
+    "manifest_texts": f"""WITH r AS (SELECT DISTINCT clip_id, transcript AS t FROM mixture_meta WHERE trim(clip_id) <> ''),
+s AS (SELECT clip_id, array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(t, ''), '{_PAIR}', 1, 's'), lambda x: {_QUOTE}), lambda x: trim(x) <> ''), ' ') AS text FROM r)
+SELECT clip_id, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM s WHERE text <> ''""",
+    "result_lines": nudged("""WITH r AS (SELECT json_extract(payload, '$.results[*]') AS r, payload ->> '$.model' AS m FROM wer_result_files), e AS (SELECT unnest(r) AS x, m FROM r)
+SELECT x ->> '$.clip_id' AS clip_id, coalesce(x ->> '$.model_name', m) AS model, x ->> '$.status' AS status, x ->> '$.error' AS error, round(try_cast(x ->> '$.metrics.wer' AS DOUBLE), 6) AS wer, round(try_cast(x ->> '$.metrics.mrs_wer' AS DOUBLE), 6) AS mrs_wer,
+  round(try_cast(x ->> '$.metrics.cpwer' AS DOUBLE), 6) AS cpwer, round(try_cast(x ->> '$.metrics.orc_wer' AS DOUBLE), 6) AS orc_wer FROM e"""),
+    "utterance_lines": nudged("""WITH u AS (SELECT *, string_split(start_time, ':') AS a, string_split(end_time, ':') AS b FROM utterances), t AS (
+  SELECT coalesce(session_id, 'S01') AS session_id, speaker, words, ref_id AS ref, room AS location, try_cast(a[1] AS DOUBLE) * 3600 + try_cast(a[2] AS DOUBLE) * 60 + try_cast(a[3] AS DOUBLE) AS s, try_cast(b[1] AS DOUBLE) * 3600 + try_cast(b[2] AS DOUBLE) * 60 + try_cast(b[3] AS DOUBLE) AS e FROM u WHERE len(a) = 3 AND len(b) = 3)
+SELECT session_id, speaker, words, ref, location, round(s, 6) AS start, round(e, 6) AS end FROM t WHERE e > s"""),
+    "results_by_model": "SELECT model_name, status, count(*)::BIGINT AS n, count(DISTINCT result_id) AS n_results FROM wer_results WHERE model_name IS NOT NULL GROUP BY ALL",
+}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems, reports, scoring
+from . import files, problems, reports, scoring
 
 FLAGSHIP = "wer_by_model"
-QUERIES = {**problems.QUERIES, **reports.QUERIES, **scoring.QUERIES}
-SQL = {**problems.SQL, **reports.SQL, **scoring.SQL}
+QUERIES = {**problems.QUERIES, **reports.QUERIES, **scoring.QUERIES, **files.QUERIES}
+SQL = {**problems.SQL, **reports.SQL, **scoring.SQL, **files.SQL}

@@ -76,12 +76,17 @@ def cut(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """As cut, but as a compressed table of which later steps read only the columns they use; for rows with texts. The
     table is removed when the driver ends."""
-    spark = df.sparkSession
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
     ensure_shared(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -1,7 +1,8 @@
 """Readers for manifests, hypotheses, score files, timings, utterances and audio listings.
 
 Schemas are fixed; files are read by Spark's own formats. JSON whose keys are data (clips, models) is read with map
-types, so nothing is inferred. Unreadable JSON gives no rows, as do missing files where the reader is lenient.
+types, so nothing is inferred. Unreadable JSON gives no rows but is listed by unreadable(); missing files give none where
+the reader is lenient.
 """
 
 from __future__ import annotations
@@ -17,21 +18,28 @@ from ..functions import clip, literal
 from ..operators import badrows
 
 MANIFEST = "clip_id string, audio_path string, transcript string, overlap_ratio_target double, overlap_ratio_actual double, max_speakers int, snr_db double, noise_type string, overlap_mask_path string, source_files string, noise_files string"
-METRICS = "struct<wer: double, mrs_wer: double, cpwer: double, orc_wer: double>"
-RESULT = f"struct<clip_id: string, model_name: string, status: string, ref_segments: int, hyp_segments: int, is_segmented: boolean, metrics: {METRICS}, wer_method: string, metric_type: string, error: string>"
+#: Numbers are read as text and cast, so that one in quotes counts and one of another kind is null without its neighbours.
+METRICS = "struct<wer: string, mrs_wer: string, cpwer: string, orc_wer: string>"
+RESULT = f"struct<clip_id: string, model_name: string, status: string, ref_segments: string, hyp_segments: string, is_segmented: string, metrics: {METRICS}, wer_method: string, metric_type: string, error: string>"
 TIMING = "struct<model: string, sample_count: long, duration_sec: double, total_processing_time_sec: double, sec_per_audio: double, rtfx: double>"
 
 
-def _texts(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """value, file: whole files."""
+def _texts(spark: SparkSession, path: str, lenient: bool = False, lines: bool = False) -> DataFrame:
+    """value, file: whole files, one task a file, or with `lines` the lines of files that hold one JSON text on each,
+    which is the form for large data."""
     try:
-        return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        return spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException:
         if lenient:
             return spark.createDataFrame([], "value string, file string")
         raise
 
 
+def unreadable(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file, n_chars of the JSON texts that cannot be read and so give no rows elsewhere."""
+    return _texts(spark, path, lines=lines).where((F.trim("value") != "") & F.try_parse_json("value").isNull()).select("file", F.length("value").alias("n_chars"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest CSV with header; quoted fields may hold line breaks and doubled quotes."""
     return spark.read.csv(path, schema=MANIFEST, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
@@ -88,16 +96,18 @@ def hypotheses(spark: SparkSession, path: str, lenient: bool = True) -> DataFram
     return rows.where("s is not null").select("clip_id", "model_name", segment_list(F.col("s")).alias("segments"))
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """Flat score rows of result files; the model is the row's, else the file's, else part of the file name."""
+def results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Flat score rows of result files, or of lines that hold a file's content each; the model is the row's, else the file's, else part of the file name."""
     schema = f"struct<model: string, results: array<{RESULT}>, timestamp: string>"
-    f = _texts(spark, path).select("file", F.from_json("value", schema).alias("j"))
+    f = _texts(spark, path, lines=lines).select("file", F.from_json("value", schema).alias("j"))
     stem = F.regexp_extract("file", r"([^/]+?)(?:_wer_results)?\.json$", 1)
     stem = F.regexp_replace(stem, r"^WER_results_", "")
     rows = f.select("file", "j.model", F.posexplode("j.results").alias("file_pos", "r"))
-    return rows.select("file", "file_pos", "r.*", F.coalesce("r.model_name", "model", stem).alias("model")).select(
-        "file", "file_pos", "model", "clip_id", "status", "ref_segments", "hyp_segments", "is_segmented", "wer_method", "metric_type", "error", "metrics.*"
-    )
+    cast = lambda c, t: F.col(f"r.{c}").try_cast(t).alias(c.split(".")[-1])
+    return rows.select(
+        "file", "file_pos", F.coalesce("r.model_name", "model", stem).alias("model"), "r.clip_id", "r.status", cast("ref_segments", "int"), cast("hyp_segments", "int"), cast("is_segmented", "boolean"),
+        "r.wer_method", "r.metric_type", "r.error", *[cast(f"metrics.{m}", "double") for m in clip.METRICS],
+    )
 
 
 def real_evaluation(spark: SparkSession, path: str, models: list[str] = clip.MODELS[:4]) -> DataFrame:
@@ -126,10 +136,10 @@ def timings(spark: SparkSession, path: str) -> DataFrame:
     return new.unionByName(old).where("model <> '' and sample_count > 0 and processing_sec is not null")
 
 
-def utterances(spark: SparkSession, path: str) -> DataFrame:
+def utterances(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """session_id, speaker, words, start, end (seconds) of utterance rows whose end is after the start."""
     schema = "start_time string, end_time string, speaker string, words string, session_id string, ref string, location string"
-    u = spark.read.schema(schema).json(path, multiLine=True)
+    u = spark.read.schema(schema).json(path, multiLine=not lines)
     u = u.withColumn("start", clip.clock_seconds(F.col("start_time"))).withColumn("end", clip.clock_seconds(F.col("end_time")))
     return u.where("end > start").select(F.coalesce("session_id", F.lit("S01")).alias("session_id"), "speaker", "words", "ref", "location", "start", "end")
 

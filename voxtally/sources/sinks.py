@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+import shutil
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,29 @@ def prune_plan(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("clip_id", "file", F.when(F.col("wanted").isNull(), "extra").when(F.col("file").isNull(), "missing").otherwise("keep").alias("action"))
 
 
+def prune(files: DataFrame, manifest: DataFrame, action: str = "dry-run", target: str | None = None) -> DataFrame:
+    """clip_id, file, done of the audio files of no clip: `dry-run` leaves them, `delete` removes them, `move` takes them to
+    the folder target. Files are local or on a mount that all executors share; a file that is gone already is not done."""
+    if action not in ("dry-run", "delete", "move") or (action == "move") != (target is not None):
+        raise ValueError("action must be dry-run, delete, or move with a target folder")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = []
+            for f in b.file:
+                at = Path(f.removeprefix("file://").removeprefix("file:"))
+                there = action != "dry-run" and at.exists()
+                if there and action == "delete":
+                    at.unlink()
+                elif there:
+                    Path(target).mkdir(parents=True, exist_ok=True)
+                    shutil.move(at, Path(target) / at.name)
+                done.append(there)
+            yield b.assign(done=done)
+
+    return prune_plan(files, manifest).where("action = 'extra'").select("clip_id", "file").mapInPandas(run, "clip_id string, file string, done boolean")
+
+
 def upsert_clips(old: DataFrame, new: DataFrame, wanted: DataFrame) -> DataFrame:
     """clip_id, audio_path, reference_segments: an old entry stays, is replaced where it lacks segments, and always takes
     the new audio path; only the wanted clips come out."""
