@@ -64,17 +64,20 @@ w AS (SELECT line_id, f, CASE WHEN f IS NULL THEN 'quoting' WHEN len(f) <> 11 TH
   WHEN f[3] <> '' AND NOT regexp_full_match(f[3], {_quoted(_LIST)}, 's') THEN 'transcript' END AS reason FROM f)
 """
 
-SQL: dict[str, str] = {
-    "p2_found": _LINES + "SELECT line_id, reason FROM w WHERE reason IS NOT NULL",
-    "p2_manifest": _LINES + """SELECT line_id, f[1] AS clip_id, f[2] AS audio_path, f[3] AS transcript, f[4]::DOUBLE AS overlap_ratio_target, f[5]::DOUBLE AS overlap_ratio_actual, try_cast(f[6] AS INTEGER) AS max_speakers,
-  nullif(f[7], '')::DOUBLE AS snr_db, nullif(f[8], '') AS noise_type, f[9] AS overlap_mask_path, f[10] AS source_files, f[11] AS noise_files FROM w WHERE reason IS NULL""",
-    "p5_found": """
-WITH t AS (SELECT record_id, json_extract(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END, '$.transcript') AS t FROM mixture_transcription),
+#: Every segment of the transcription payloads: l has a row per model, seg one per element that is not null.
+SEGMENTS = """WITH t AS (SELECT record_id, json_extract(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END, '$.transcript') AS t FROM mixture_transcription),
 m AS (SELECT record_id, unnest(json_keys(t)) AS model, t FROM t WHERE json_type(t) = 'OBJECT'),
 v AS (SELECT record_id, model, json_extract(t, '$.' || json_quote(model)::VARCHAR) AS v FROM m),
 l AS (SELECT record_id, model, CASE json_type(v) WHEN 'OBJECT' THEN json_extract(v, '$.segments') ELSE v END AS v, json_type(v) AS kind FROM v),
 s AS (SELECT record_id, model, generate_subscripts(json_extract(v, '$[*]'), 1) - 1 AS i, unnest(json_extract(v, '$[*]')) AS x FROM l WHERE json_type(v) = 'ARRAY'),
-seg AS (SELECT record_id, model, i, x FROM s WHERE json_type(x) <> 'NULL' UNION ALL SELECT record_id, model, 0, v FROM l WHERE kind = 'VARCHAR'),
+seg AS (SELECT record_id, model, i, x FROM s WHERE json_type(x) <> 'NULL' UNION ALL SELECT record_id, model, 0, v FROM l WHERE kind = 'VARCHAR')
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _LINES + "SELECT line_id, reason FROM w WHERE reason IS NOT NULL",
+    "p2_manifest": _LINES + """SELECT line_id, f[1] AS clip_id, f[2] AS audio_path, f[3] AS transcript, f[4]::DOUBLE AS overlap_ratio_target, f[5]::DOUBLE AS overlap_ratio_actual, try_cast(f[6] AS INTEGER) AS max_speakers,
+  nullif(f[7], '')::DOUBLE AS snr_db, nullif(f[8], '') AS noise_type, f[9] AS overlap_mask_path, f[10] AS source_files, f[11] AS noise_files FROM w WHERE reason IS NULL""",
+    "p5_found": SEGMENTS + """,
 r AS (SELECT record_id, json_extract(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END, '$.results[*]') AS r FROM wer_result_files),
 e AS (SELECT record_id, generate_subscripts(r, 1) - 1 AS i, unnest(r) AS x FROM r),
 k AS (SELECT record_id, i, unnest(json_keys(json_extract(x, '$.metrics'))) AS k, json_extract(x, '$.metrics') AS m FROM e WHERE json_type(json_extract(x, '$.metrics')) = 'OBJECT'),
