@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.problems import SEGMENTS
 from ..session import table
 from . import bpe, leak, pii, quantile, repetition, topn
 
@@ -62,15 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Words and repeated words of every text: window by window, the first of equal ones left out.
-_SHARES = """
-WITH t AS (SELECT record_id, json_extract(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END, '$.transcript') AS t FROM mixture_transcription),
-m AS (SELECT record_id, unnest(json_keys(t)) AS model, t FROM t WHERE json_type(t) = 'OBJECT'),
-v AS (SELECT record_id, model, json_extract(t, '$.' || json_quote(model)::VARCHAR) AS v FROM m),
-l AS (SELECT record_id, model, CASE json_type(v) WHEN 'OBJECT' THEN json_extract(v, '$.segments') ELSE v END AS v, json_type(v) AS kind FROM v),
-s AS (SELECT record_id, model, generate_subscripts(json_extract(v, '$[*]'), 1) - 1 AS i, unnest(json_extract(v, '$[*]')) AS x FROM l WHERE json_type(v) = 'ARRAY'),
-seg AS (SELECT record_id, model, i, x FROM s WHERE json_type(x) <> 'NULL' UNION ALL SELECT record_id, model, 0, v FROM l WHERE kind = 'VARCHAR'), h AS (SELECT 'hypothesis' AS text_source, example_id AS row_id, model, coalesce(hypothesis, '') AS text FROM worst_wer_examples
+_SHARES = SEGMENTS + r""", h AS (SELECT 'hypothesis' AS text_source, example_id AS row_id, model, coalesce(hypothesis, '') AS text FROM worst_wer_examples
   UNION ALL SELECT 'transcript', l.record_id, l.model, coalesce(g.text, '') FROM l LEFT JOIN (SELECT record_id, model, string_agg(CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' WHEN 'ARRAY' THEN CASE WHEN json_type(x, '$[1]') = 'VARCHAR' THEN x ->> '$[1]' ELSE '' END WHEN 'OBJECT' THEN CASE WHEN json_type(x, '$.text') = 'VARCHAR' THEN x ->> '$.text' ELSE '' END ELSE '' END, ' ' ORDER BY i) AS text FROM seg GROUP BY ALL) g USING (record_id, model)),
-p AS (SELECT row_number() OVER () AS id, * FROM h), w AS (SELECT *, list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x)) AS w FROM p),
+p AS (SELECT row_number() OVER () AS id, * FROM h), w AS (SELECT *, list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: lower(x)) AS w FROM p),
 n AS (SELECT id, i, hash(w[i:i + 4]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 b AS (SELECT id, i FROM (SELECT id, i, min(i) OVER (PARTITION BY id, g) AS first FROM n) WHERE i > first),
 c AS (SELECT id, count(DISTINCT i + k) AS r FROM b, (SELECT unnest(range(0, 5)) AS k) GROUP BY id)
