@@ -75,7 +75,7 @@ _REFS = f"""ref AS (SELECT trim(clip_id) AS clip_id, max_by(transcript, loaded_a
 s AS (SELECT clip_id, list_transform(regexp_extract_all(coalesce(t, ''), '{_PAIR}', 1, 's'), lambda x: x[2:-2]) AS who, list_transform(regexp_extract_all(coalesce(t, ''), '{_PAIR}', 2, 's'), lambda x: {_QUOTE}) AS txt FROM ref)"""
 _TEXT = "CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' WHEN 'ARRAY' THEN CASE WHEN json_type(x, '$[1]') = 'VARCHAR' THEN x ->> '$[1]' ELSE '' END WHEN 'OBJECT' THEN CASE WHEN json_type(x, '$.text') = 'VARCHAR' THEN x ->> '$.text' ELSE '' END ELSE '' END"
 #: The words of references and hypotheses, then the rate by the classical table.
-_PLAIN = SEGMENTS.replace("s AS (SELECT record_id, model, generate", "sg AS (SELECT record_id, model, generate").replace("FROM s WHERE json_type(x)", "FROM sg WHERE json_type(x)") + f""", {_REFS},
+PLAIN = SEGMENTS.replace("s AS (SELECT record_id, model, generate", "sg AS (SELECT record_id, model, generate").replace("FROM s WHERE json_type(x)", "FROM sg WHERE json_type(x)") + f""", {_REFS},
 hs AS (SELECT l.record_id, l.model, coalesce(any_value(g.txt), []) AS txt FROM l LEFT JOIN (SELECT record_id, model, list({_TEXT} ORDER BY i) AS txt FROM seg GROUP BY ALL) g USING (record_id, model) GROUP BY ALL),
 hyp AS (SELECT clip_id, model, max_by(txt, (received_at, record_id)) AS htxt FROM hs JOIN mixture_transcription USING (record_id) WHERE clip_id IS NOT NULL AND payload IS NOT NULL GROUP BY ALL),
 c AS (SELECT DISTINCT clip_id FROM (SELECT clip_id FROM s UNION ALL SELECT clip_id FROM hyp)), g AS (SELECT clip_id, unnest({clip.MODELS}) AS model FROM c),
@@ -87,7 +87,7 @@ x AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN len(h) = 0 THEN 1.0 E
         lambda acc, jj: list_append(acc, least(acc[len(acc)] + 1, prev[jj[1] + 1] + 1, prev[jj[1]] + CASE WHEN r[cur[1]] = h[jj[1]] THEN 0 ELSE 1 END))))[-1] / len(r) END AS wer FROM k)
 """
 SQL: dict[str, str] = {
-    "eval_wer_only": nudged(_PLAIN + """SELECT clip_id, model AS model_name, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(rtxt)::INTEGER END AS ref_segments,
+    "eval_wer_only": nudged(PLAIN + """SELECT clip_id, model AS model_name, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(rtxt)::INTEGER END AS ref_segments,
   CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(htxt)::INTEGER END AS hyp_segments, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(htxt) > 1 END AS is_segmented, round(wer, 6) AS wer,
   NULL::DOUBLE AS mrs_wer, NULL::DOUBLE AS cpwer, NULL::DOUBLE AS orc_wer, 'wer_only' AS wer_method, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN CASE WHEN len(htxt) > 1 THEN 'segmented' ELSE 'not segmented' END END AS metric_type FROM x"""),
     "speaker_chains": f"""WITH {_REFS},

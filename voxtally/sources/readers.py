@@ -88,10 +88,10 @@ def segment_list(value: Column) -> Column:
     )
 
 
-def hypotheses(spark: SparkSession, path: str, lenient: bool = True) -> DataFrame:
-    """clip_id, model_name, segments from one JSON object keyed by clip."""
+def hypotheses(spark: SparkSession, path: str, lenient: bool = True, lines: bool = False) -> DataFrame:
+    """clip_id, model_name, segments from one JSON object keyed by clip, or from one on each line."""
     schema = "map<string, struct<clip_id: string, transcript: map<string, array<array<string>>>>>"
-    rows = _texts(spark, path, lenient).select(F.explode(F.from_json("value", schema)).alias("clip", "v"))
+    rows = _texts(spark, path, lenient, lines).select(F.explode(F.from_json("value", schema)).alias("clip", "v"))
     rows = rows.select(F.coalesce("v.clip_id", "clip").alias("clip_id"), F.explode("v.transcript").alias("model_name", "s"))
     return rows.where("s is not null").select("clip_id", "model_name", segment_list(F.col("s")).alias("segments"))
 
