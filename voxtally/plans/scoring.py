@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clip, text
-from ..operators import metrics
+from ..operators import metrics, ranking
 from ..session import spread, table
 from ..sources import readers
 from .problems import SEGMENTS
@@ -43,6 +43,13 @@ def real_eval(spark: SparkSession, base: str) -> DataFrame:
     return rounded(metrics.real_scores(references(spark, base), hypotheses(spark, base)))
 
 
+def real_summary(spark: SparkSession, base: str) -> DataFrame:
+    """Rates over raw words per model: count, mean, median, least, greatest, deviation (0 for one)."""
+    e = metrics.real_scores(references(spark, base), hypotheses(spark, base)).select("model_name", "wer")
+    out = e.groupBy("model_name").agg(F.count("wer").alias("n"), F.avg("wer").alias("mean"), F.min("wer").alias("min"), F.max("wer").alias("max"), F.coalesce(F.stddev_samp("wer"), F.lit(0.0)).alias("sd"))
+    return rounded(ranking.with_percentiles(out, e, ["model_name"], {"median": (F.col("wer"), 0.5)}))
+
+
 def speaker_chains(spark: SparkSession, base: str) -> DataFrame:
     """The two chains of the first two speakers of every clip."""
     c = text.chains(F.col("segments"), text.n1)
@@ -86,7 +93,13 @@ x AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN len(h) = 0 THEN 1.0 E
       lambda prev, cur: list_reduce(list_prepend([cur[1]], list_transform(range(1, len(h) + 1), lambda j: [j])),
         lambda acc, jj: list_append(acc, least(acc[len(acc)] + 1, prev[jj[1] + 1] + 1, prev[jj[1]] + CASE WHEN r[cur[1]] = h[jj[1]] THEN 0 ELSE 1 END))))[-1] / len(r) END AS wer FROM k)
 """
+_RAW = r"flatten(list_transform(list_filter({0}, lambda z: trim(z) <> ''), lambda z: list_filter(regexp_split_to_array(z, '\s+'), lambda w: w <> '')))"
 SQL: dict[str, str] = {
+    "real_summary": nudged(PLAIN[: PLAIN.index("c AS (SELECT DISTINCT clip_id")] + f"""p AS (SELECT model, {_RAW.format('s.txt')} AS r, {_RAW.format('htxt')} AS h FROM hyp JOIN s USING (clip_id)),
+y AS (SELECT model, CASE WHEN len(h) = 0 THEN 1.0 ELSE list_reduce(list_prepend(range(0, len(h) + 1), list_transform(range(1, len(r) + 1), lambda i: [i])),
+      lambda prev, cur: list_reduce(list_prepend([cur[1]], list_transform(range(1, len(h) + 1), lambda j: [j])),
+        lambda acc, jj: list_append(acc, least(acc[len(acc)] + 1, prev[jj[1] + 1] + 1, prev[jj[1]] + CASE WHEN r[cur[1]] = h[jj[1]] THEN 0 ELSE 1 END))))[-1] / len(r) END AS wer FROM p WHERE len(r) > 0)
+SELECT model AS model_name, count(wer) AS n, round(avg(wer), 6) AS mean, round(median(wer), 6) AS median, round(min(wer), 6) AS min, round(max(wer), 6) AS max, round(coalesce(stddev_samp(wer), 0), 6) AS sd FROM y GROUP BY model"""),
     "eval_wer_only": nudged(PLAIN + """SELECT clip_id, model AS model_name, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(rtxt)::INTEGER END AS ref_segments,
   CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(htxt)::INTEGER END AS hyp_segments, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN len(htxt) > 1 END AS is_segmented, round(wer, 6) AS wer,
   NULL::DOUBLE AS mrs_wer, NULL::DOUBLE AS cpwer, NULL::DOUBLE AS orc_wer, 'wer_only' AS wer_method, CASE WHEN htxt IS NOT NULL AND rtxt IS NOT NULL THEN CASE WHEN len(htxt) > 1 THEN 'segmented' ELSE 'not segmented' END END AS metric_type FROM x"""),
@@ -97,5 +110,5 @@ SELECT s.clip_id, (count(*) FILTER (spoken))::INTEGER AS n_speakers, coalesce(ma
   md5(array_to_string(list_concat(coalesce(any_value(w) FILTER (place = 1), []), coalesce(any_value(w) FILTER (place = 2), [])), '|')) AS digest FROM s LEFT JOIN f USING (clip_id) GROUP BY s.clip_id""",
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (eval_scores, eval_summary, eval_wer_only, real_eval, speaker_chains, align_ops, chain_ops)
+    f.__name__: f for f in (eval_scores, eval_summary, eval_wer_only, real_eval, real_summary, speaker_chains, align_ops, chain_ops)
 }
