@@ -210,3 +210,18 @@ def test_bpe_table(spark, base, public):
     got = {r.doc_id: r.ids for r in queries.p7_ids(spark, base).collect()}
     docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").collect()
     assert got == {d.doc_id: public.encode_ordinary(d.text) if d.text else [] for d in docs}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, base, name):
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(base):
+        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{base}/{f}'")
+    got, want = queries.QUERIES[name](spark, base).toPandas(), c.execute(queries.SQL[name]).fetchdf()
+    cell = lambda v: "NULL" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    rows = lambda d: sorted(tuple(cell(v) for v in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
