@@ -702,23 +702,22 @@ def full_scope(spark, base):
     return rounded(ranking.with_percentiles(out, long, [*keys, "metric"], {"median": (F.col("value"), 0.5)}))
 
 
-def summaries(spark, base) -> dict[str, dict[str, DataFrame]]:
-    """The tables of the four published summary files: name of the file, name of the table."""
-    q = lambda *names: {n: QUERIES[n](spark, base) for n in names}
-    return {
-        "statistical_analysis_summary": q("model_totals", "metric_summary", "condition_sets", "friedman", "wilcoxon", "holm", "hypothesis_tests", "transfer", "gap_by_overlap"),
-        "full_scope_summary": q("full_scope", "partial_eta", "wer_surface", "delta_to_clean"),
-        "wer_outlier_condition_summary": q("iqr_outliers", "outlier_shares", "outlier_profile"),
-        "worst_wer_examples": q("worst_examples"),
-    }
-
-
-def write_summaries(spark, base, folder: str) -> list[str]:
-    """The four files, their members sorted; small report tables only, as sinks.summary_json refuses others."""
+#: The four published summary files and the queries whose tables they hold.
+SUMMARY_FILES = {
+    "statistical_analysis_summary": ["model_totals", "metric_summary", "condition_sets", "friedman", "wilcoxon", "holm", "hypothesis_tests", "transfer", "gap_by_overlap"],
+    "full_scope_summary": ["full_scope", "partial_eta", "wer_surface", "delta_to_clean"],
+    "wer_outlier_condition_summary": ["iqr_outliers", "outlier_shares", "outlier_profile"],
+    "worst_wer_examples": ["worst_examples"],
+}
+
+
+def write_summaries(spark, base, folder: str, files: list[str] | None = None) -> list[str]:
+    """The files (all four, or those named), their members sorted; small report tables only, as sinks.summary_json refuses
+    others."""
     paths = []
-    for name, tables in summaries(spark, base).items():
+    for name in files or SUMMARY_FILES:
         paths.append(f"{folder}/{name}.json")
-        sinks.summary_json(tables, paths[-1])
+        sinks.summary_json({q: QUERIES[q](spark, base) for q in SUMMARY_FILES[name]}, paths[-1])
     return paths
 
 
