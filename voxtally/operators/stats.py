@@ -186,11 +186,11 @@ _CUTS16 = (_CUTS >> np.uint64(48)).astype(np.uint16)
 def poisson_weights(seeds: np.ndarray, draws: int) -> np.ndarray:
     """Poisson(1) weights of each row in each draw: 16 bits a draw, 48 more where a threshold has the same 16."""
     lanes = _stream(seeds, -(-draws // 4)).view(np.uint16)[:, :draws]
-    w, tie = np.zeros(lanes.shape, np.uint8), np.zeros(lanes.shape, bool)
+    w, tie, is_ = np.zeros(lanes.shape, np.uint8), np.zeros(lanes.shape, bool), np.empty(lanes.shape, bool)
     for c in np.unique(_CUTS16):
-        w += lanes > c
-        tie |= lanes == c
-    i, j = np.nonzero(tie)
+        w += np.greater(lanes, c, out=is_).view(np.uint8)
+        tie |= np.equal(lanes, c, out=is_)
+    i, j = np.divmod(np.flatnonzero(tie.ravel()), draws)
     more = _mix(_mix(seeds[i] ^ np.uint64(0xD1B54A32D192ED03)) + j.astype(np.uint64) * _STEP)
     w[i, j] = np.searchsorted(_CUTS, (lanes[i, j].astype(np.uint64) << np.uint64(48)) | (more >> np.uint64(16)), "right")
     return w
