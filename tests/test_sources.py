@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from voxtally.plans import files
 from voxtally.sources import readers, sinks
 from voxtally.streaming import ingest
 
@@ -24,6 +25,14 @@ def test_manifest(spark, tmp_path):
     assert readers.manifest(spark, str(tmp_path / "out")).exceptAll(m).count() == 0
 
 
+def test_manifest_csv_keeps_empty_texts_and_odd_numbers(spark, tmp_path):
+    rows = [("", "", "", 0.1, 0.2, 2, 7.4, "", "", "", ""), (None, None, None, None, None, None, None, None, None, None, None), ("a", '"', "\\", float("nan"), float("inf"), -1, float("-inf"), "\r\n", ' "" ', ",\0", "NaN")]
+    spark.createDataFrame(rows, readers.MANIFEST).write.parquet(str(tmp_path / "mixture_meta.parquet"))
+    assert sorted(map(str, (tuple(r) for r in files.manifest_csv(spark, str(tmp_path)).collect()))) == sorted(map(str, rows))
+    (tmp_path / "m.csv").write_text(",".join(files.COLUMNS) + '\n"c","","","","",,"","D","",,"[]"\n')
+    assert tuple(readers.manifest(spark, str(tmp_path / "m.csv")).first()) == ("c", "", "", None, None, None, None, "D", "", None, "[]")
+
+
 def test_hypotheses_and_results(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"c1": {"clip_id": "c1", "transcript": {"m": [["d", "a b"], ["e", "c"]], "n": []}}, "c2": {"clip_id": "c2", "transcript": {"m": [["d", ""]]}}}))
     h = {(r.clip_id, r.model_name): [(s.seg_no, s.speaker, s.text) for s in r.segments] for r in readers.hypotheses(spark, str(tmp_path / "h.json")).collect()}

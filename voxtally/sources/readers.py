@@ -7,6 +7,7 @@ the reader is lenient.
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,8 +42,11 @@ def unreadable(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest CSV with header; quoted fields may hold line breaks and doubled quotes."""
-    return spark.read.csv(path, schema=MANIFEST, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+    """A manifest CSV with header; quoted fields may hold line breaks and doubled quotes. An empty field is null, a quoted
+    empty one an empty text (null in a column of numbers)."""
+    null = uuid.uuid4().hex  # what the parser puts for an empty field; with "" it could not tell the two apart
+    # the last escape is NUL by default, which would drop that character from quoted fields
+    return spark.read.csv(path, schema=MANIFEST, header=True, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', nullValue=null, mode="PERMISSIVE")
 
 
 def manifest_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
