@@ -86,6 +86,15 @@ def test_codes_keep_order():
     assert abs(quantile.decode(int(quantile.encode(np.array([7.4]))[0])) - 7.4) < 7.4 * 2.0**-12
 
 
+def test_percentiles_of_the_largest_doubles_are_finite():
+    for x in [1.7976931348623157e308, 1.797e308, 1.2e308, -1.2e308, -1.797e308, -1.7976931348623157e308]:
+        s = np.zeros(quantile.CELLS, dtype=np.int64)
+        quantile.add(s, quantile.encode(np.full(3, x)), np.ones(3))
+        assert abs(quantile.percentile(s, 0.5) - x) <= abs(x) * 2.0**-12
+    for x in [5e-324, 1e-315, -3e-310, 1.7e-308]:
+        assert abs(quantile.decode(int(quantile.encode(np.array([x]))[0])) - x) <= 2.0**-1034
+
+
 def test_days_add_up_to_the_whole(spark, base):
     res, meta = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("wer_results", "mixture_meta"))
     got = {(r.metric, r.group_kind, r.group_key, r.p): r for r in quantile.score_percentiles(res, meta, [0.5, 0.9]).collect()}
